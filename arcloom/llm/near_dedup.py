@@ -57,7 +57,8 @@ def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
 
 def _popcounts(fp: Column) -> Column:
     """The embedding: in each two-bit segment, the number of its bits that are set (0 to 2)."""
-    return fp - F.shiftrightunsigned(fp, 1).bitwiseAND(F.lit(_EVEN_BITS))
+    low, high = fp.bitwiseAND(F.lit(_EVEN_BITS)), F.shiftrightunsigned(fp, 1).bitwiseAND(F.lit(_EVEN_BITS))
+    return low.bitwiseXOR(high).bitwiseOR(F.shiftleft(low.bitwiseAND(high), 1))
 
 
 def _manhattan(a: Column, b: Column) -> Column:
