@@ -59,6 +59,11 @@ class WordIndex(dict):
             self.clear()
         return np.fromiter(map(self.__getitem__, words), np.int64, len(words))
 
+    def gather(self, words: list[bytes]) -> np.ndarray:
+        """The words' rows; ``of`` may replace the table, so it comes first."""
+        at = self.of(words)
+        return self.rows[at]
+
 
 def chosen(df: DataFrame, key: str, n: int, *, salt: int = 0) -> list:
     """The keys of at most ``n`` rows with the smallest hash of the key: a bounded sample, the same on every run."""

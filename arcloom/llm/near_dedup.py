@@ -122,7 +122,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     return members.join(of_fp, "fp").select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
 
 
-def first_of_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words_in_shingle: int = 5, radius: int = RADIUS) -> DataFrame:
+def first_of_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words_in_shingle: int = 4, radius: int = RADIUS) -> DataFrame:
     """The input's rows without near-duplicates: of each class the row with the smallest id stays (null ids last).
 
     Of rows that repeat that id, the one whose text has the smallest hash stays. All columns are returned as they were.
