@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterable
+from collections.abc import Callable, Iterable
 
 import numpy as np
 import pyarrow as pa
@@ -39,24 +39,23 @@ def raw(batch: pa.RecordBatch, column: str) -> list[bytes]:
 
 
 class WordIndex(dict):
-    """Words to rows of ``self.rows``; a new word's row comes from ``make``. It is emptied when it holds ``most`` words."""
+    """Words to rows of ``self.rows``; ``make`` gives new words' rows, many at a time. It is emptied when it holds ``most`` words."""
 
-    def __init__(self, make, width: int, most: int = 250_000):
+    def __init__(self, make: Callable[[list[bytes]], np.ndarray], width: int, most: int = 250_000):
         super().__init__()
         self.make, self.most = make, most
         self.rows = np.zeros((4096, width), np.float32)
 
-    def __missing__(self, word: bytes) -> int:
-        at = len(self)
-        if at == len(self.rows):
-            self.rows = np.concatenate([self.rows, np.zeros_like(self.rows)])
-        self.rows[at] = self.make(word)
-        self[word] = at
-        return at
-
     def of(self, words: list[bytes]) -> np.ndarray:
         if len(self) > self.most:
             self.clear()
+        new = [w for w in {*words} if w not in self]
+        if new:
+            first = len(self)
+            while len(self.rows) < first + len(new):
+                self.rows = np.concatenate([self.rows, np.zeros_like(self.rows)])
+            self.rows[first : first + len(new)] = self.make(new)
+            self.update(zip(new, range(first, first + len(new)), strict=True))
         return np.fromiter(map(self.__getitem__, words), np.int64, len(words))
 
     def gather(self, words: list[bytes]) -> np.ndarray:

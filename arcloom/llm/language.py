@@ -3,8 +3,10 @@
 from __future__ import annotations
 
 import zlib
+from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -22,7 +24,7 @@ class Settings:
 
     buckets: int = 1 << 14
     width: int = 16
-    grams: tuple[int, ...] = (2, 3, 4)
+    gram: int = 3
     train_rows: int = 4000
     epochs: int = 6
     rate: float = 0.5
@@ -31,10 +33,10 @@ class Settings:
 
 
 def subwords(word: bytes, s: Settings) -> list[int]:
-    """Hashed character n-grams (of the UTF-8 bytes) of a word with its ends marked."""
+    """Hash buckets of a word with its ends marked, and of each character n-gram (of its UTF-8 bytes)."""
     marked = b"<" + word + b">"
-    n = len(marked)
-    return [zlib.crc32(marked[i : i + g]) % s.buckets for g in s.grams for i in range(n - g + 1)]
+    g = s.gram
+    return [zlib.crc32(marked) % s.buckets, *[zlib.crc32(marked[i : i + g]) % s.buckets for i in range(len(marked) - g + 1)]]
 
 
 def words_of(text: bytes) -> list[bytes]:
@@ -45,14 +47,13 @@ def words_of(text: bytes) -> list[bytes]:
 
 def bag(words: list[bytes], s: Settings, seen: dict[bytes, list[int]]) -> tuple[np.ndarray, np.ndarray]:
     """Subwords of a text and how often each occurs: at most one entry for each bucket, however long the text."""
+    if len(seen) > 100_000:
+        seen.clear()
     total = np.zeros(s.buckets, np.int64)
-    for word in set(words):
+    for word, n in Counter(words).items():
         if word not in seen:
-            if len(seen) > 100_000:
-                seen.clear()
             seen[word] = subwords(word, s)
-    for word in words:
-        total[seen[word]] += 1
+        np.add.at(total, seen[word], n)
     at = np.flatnonzero(total)
     return at.astype(np.int32), total[at].astype(np.float32)
 
@@ -68,8 +69,13 @@ class Model:
 
     def index(self) -> WordIndex:
         """For each word, the sum of its subwords' rows, and their number."""
-        wide = np.concatenate([self.table, np.ones((len(self.table), 1), np.float32)], axis=1)
-        return WordIndex(lambda w: wide[subwords(w, self.settings)].sum(0), wide.shape[1])
+        return WordIndex(self.sums, self.table.shape[1] + 1)
+
+    def sums(self, words: list[bytes]) -> np.ndarray:
+        found = [subwords(w, self.settings) for w in words]
+        n = np.fromiter(map(len, found), np.int64, len(found))
+        flat = np.fromiter(chain.from_iterable(found), np.int64, int(n.sum()))
+        return np.concatenate([np.add.reduceat(self.table[flat], np.cumsum(n) - n), n[:, None]], axis=1)
 
     def probabilities(self, words: list[bytes], index: WordIndex) -> np.ndarray:
         total = index.gather(words).sum(0, dtype=np.float64) if words else np.zeros(len(self.languages) + 1)
