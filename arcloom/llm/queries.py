@@ -8,7 +8,7 @@ import corpus_pipeline
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from arcloom.llm import decontaminate, language, line_dedup, lm, near_dedup, packing, quality, topk, toxicity
+from arcloom.llm import decontaminate, language, line_dedup, lm, near_dedup, packing, quality, secrets, topk, toxicity
 from arcloom.llm.common import held_out, table
 
 
@@ -44,6 +44,10 @@ def op7_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
+def op8_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return secrets.scan(table(spark, sf_dir, "documents"))
+
+
 def op9_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.score(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"), held_out(4, 2))
 
@@ -53,7 +57,7 @@ def op10_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    named = (op1_best_fit_packing, op2_lm_scoring, op3_language_id, op4_exact_topk, op5_line_dedup, op6_toxicity, op7_decontamination, op9_quality, op10_simhash_near_dedup)
+    named = (op1_best_fit_packing, op2_lm_scoring, op3_language_id, op4_exact_topk, op5_line_dedup, op6_toxicity, op7_decontamination, op8_secret_scan, op9_quality, op10_simhash_near_dedup)
     return {f.__name__: f for f in named} | {"pipeline": corpus_pipeline.run}
 
 
