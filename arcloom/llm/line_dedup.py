@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Iterator
 
 import numpy as np
@@ -13,13 +14,24 @@ from pyspark.sql import functions as F
 from arcloom.llm.common import raw, small_batches
 from arcloom.scratch import cut
 
-WINDOW, MEAN, LEAST = 2, 2, 2
+#: Lines that the rolling hash covers, classes of it of which one makes a boundary, and lines and words that a chunk has at least.
+WINDOW, MEAN, LEAST, LEAST_WORDS = 2, 2, 2, 10
+#: A line ends with a line break, or with a sentence: passages are often copied into the middle of a paragraph.
+_END = re.compile(rb"\n|(?<=[.!?])[ \t]+")
 #: Bits of the filter that says which chunk hashes repeat: a fixed size, whatever the corpus.
 FILTER_BITS = 1 << 23
 _PRIME = 0x9E3779B185EBCA87
 _MASK = (1 << 64) - 1
 
 
+def lines_of(text: bytes) -> list[bytes]:
+    """The text cut after each line's end; the parts joined are the text."""
+    stops = [m.end() for m in _END.finditer(text)]
+    if not stops or stops[-1] < len(text):
+        stops.append(len(text))
+    return [text[a:b] for a, b in zip([0, *stops], stops, strict=False)]
+
+
 def chunks(lines: list[bytes]) -> list[tuple[int, int]]:
     """Line ranges ``(first, after)``. A boundary follows a line where the rolling hash of the last ``WINDOW`` lines'
     hashes falls in one of ``MEAN`` classes and the chunk has ``LEAST`` lines, so that it depends on nearby lines alone and an
@@ -29,7 +41,7 @@ def chunks(lines: list[bytes]) -> list[tuple[int, int]]:
     digest, drop = xxhash.xxh64_intdigest, pow(_PRIME, WINDOW, 1 << 64)
     out, first, roll, recent = [], 0, 0, [0] * WINDOW
     for i, line in enumerate(lines):
-        h = digest(line)
+        h = digest(line.strip())
         roll = (roll * _PRIME + h - recent[i % WINDOW] * drop) & _MASK
         recent[i % WINDOW] = h
         if i + 1 - first >= LEAST and (roll >> 32) % MEAN == 0:
@@ -41,11 +53,21 @@ def chunks(lines: list[bytes]) -> list[tuple[int, int]]:
 
 
 def multi_line(lines: list[bytes]) -> Iterator[tuple[int, int, bytes]]:
-    """``(chunk number, hash, bytes)`` of the chunks with at least two lines that aren't blank."""
+    """``(chunk number, hash, bytes)`` of the chunks with at least two lines that aren't blank and ten words; white space at lines' ends doesn't count."""
     for k, (a, b) in enumerate(chunks(lines)):
-        if b - a >= LEAST and sum(map(bool, map(bytes.strip, lines[a:b]))) >= LEAST:
-            text = b"\n".join(lines[a:b])
-            yield k, xxhash.xxh64_intdigest(text, 1), text
+        own = [x for x in map(bytes.strip, lines[a:b]) if x]
+        if len(own) >= LEAST:
+            text = b"\n".join(own)
+            if len(text.split(None, LEAST_WORDS)) >= LEAST_WORDS:
+                yield k, xxhash.xxh64_intdigest(text, 1), text
+
+
+def without(text: bytes, drop: set[int]) -> tuple[bytes, int]:
+    """The text without these chunks, and how many lines went."""
+    lines = lines_of(text)
+    kept = [x for k, (a, b) in enumerate(chunks(lines)) if k not in drop for x in lines[a:b]]
+    out = b"".join(kept)
+    return (out if text.endswith(b"\n") else out.rstrip()), len(lines) - len(kept)
 
 
 def _signed(h: int) -> int:
@@ -62,7 +84,7 @@ def _occurrences(docs: DataFrame, repeats: object | None) -> DataFrame:
         for batch in batches:
             row, no, hashes, texts = [], [], [], []
             for i, text in enumerate(raw(batch, "text")):
-                for k, h, chunk in multi_line(text.split(b"\n")):
+                for k, h, chunk in multi_line(lines_of(text)):
                     at = h % FILTER_BITS
                     if bits is None or bits[at >> 3] >> (at & 7) & 1:
                         row.append(i), no.append(k), hashes.append(_signed(h)), texts.append(chunk)
@@ -76,10 +98,12 @@ def _occurrences(docs: DataFrame, repeats: object | None) -> DataFrame:
 def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """The documents with every later occurrence of a multi-line chunk removed, wherever in the corpus it repeats.
 
+    A line ends at a line break or after a sentence's last mark, so that passages inside paragraphs count too; a chunk has two lines and ten words at least.
+
     All columns come back, ``text_col`` without the removed lines, with ``n_lines`` and ``n_removed`` (lines; an input column of
     one of these names is replaced). The first occurrence, by id (nulls last), text hash and place, stays; a chunk equal
     in hash but not in bytes is another chunk. Rows that repeat both id and text are one document and get the same result;
-    a null text stays null with no lines; an empty text has one line; a chunk needs two lines that aren't blank.
+    a null text stays null with no lines; an empty text has one line.
 
     Chunk hashes alone find what repeats; a filter of a fixed number of bits, which can only let too much
     through, then limits the bytes that are grouped and compared. The copies of a chunk are never gathered: its first
@@ -111,20 +135,13 @@ def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
 
     def rebuild(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            texts, lines_of, removed = [], [], []
+            texts, lines, removed = [], [], []
             for text, drop in zip(batch.column(place_of_text).cast(pa.binary()).to_pylist(), batch.column(n).to_pylist(), strict=True):
-                lines = [] if text is None else text.split(b"\n")
-                lines_of.append(len(lines))
-                if drop:
-                    gone = set(drop)
-                    kept = [x for k, (a, b) in enumerate(chunks(lines)) if k not in gone for x in lines[a:b]]
-                    removed.append(len(lines) - len(kept))
-                    texts.append(b"\n".join(kept))
-                else:
-                    removed.append(0)
-                    texts.append(text)
+                lines_of_text = 0 if text is None else len(lines_of(text))
+                out, gone = without(text, set(drop)) if drop else (text, 0)
+                lines.append(lines_of_text), removed.append(gone), texts.append(out)
             columns = [pa.array(texts, pa.binary()).cast(pa.string()) if i == place_of_text else batch.column(i) for i in range(n)]
-            yield pa.RecordBatch.from_arrays([*columns, pa.array(lines_of, pa.int32()), pa.array(removed, pa.int32())], [*(f"c{i}" for i in range(n)), "n_lines", "n_removed"])
+            yield pa.RecordBatch.from_arrays([*columns, pa.array(lines, pa.int32()), pa.array(removed, pa.int32())], [*(f"c{i}" for i in range(n)), "n_lines", "n_removed"])
 
     out = joined.toDF(*(f"c{i}" for i in range(n)), "_drop").mapInArrow(rebuild, f"{kinds}, n_lines int, n_removed int")
     return out.toDF(*others, "n_lines", "n_removed")
