@@ -18,8 +18,10 @@ from arcloom.scratch import cut
 CAPACITY = 2048
 TOKENIZER = "word_bpe_49k.json"
 END = b"\0\0\0\0"
-#: Words whose ids a worker keeps, and the longest such word in bytes.
-CACHED_WORDS, CACHED_BYTES = 250_000, 64
+#: Words in each of the two generations of words whose ids a worker keeps, and the longest such word in bytes.
+CACHED_WORDS, CACHED_BYTES = 400_000, 64
+#: Words of letters that are encoded together.
+TOGETHER = 256
 #: Pieces of one length that are numbered in one task.
 PIECES_PER_BUCKET = 50_000
 
@@ -27,8 +29,9 @@ PIECES_PER_BUCKET = 50_000
 class WordIds:
     """Token ids of texts as little-endian unsigned 32-bit integers.
 
-    The tokenizer drops white space and no token crosses it, so a text's ids are those of its words in turn; the
-    ids of frequent words are kept.
+    The tokenizer drops white space and no token crosses it, so a text's ids are those of its words in turn. Ids are
+    kept in two generations of words: a word that is used again moves from the older to the younger, and when the younger is
+    full the older one goes. A text that may hold a special token's string is encoded whole.
     """
 
     def __init__(self, path: str | None):
@@ -39,26 +42,74 @@ class WordIds:
             import public_tokenizers
 
             path = public_tokenizers.path(TOKENIZER)
-        self.tokenizer, self.ids = Tokenizer.from_file(path), {}
-
-    def _encode(self, words: list[bytes]) -> list[bytes]:
-        got = self.tokenizer.encode_batch_fast([w.decode("utf-8", "replace") for w in words], add_special_tokens=False)
-        return [np.array(x.ids, "<u4").tobytes() for x in got]
+        self.tokenizer, self.young, self.old = Tokenizer.from_file(path), {}, {}
+        self.ends = np.zeros(self.tokenizer.get_vocab_size(), bool)
+        for token, i in self.tokenizer.get_vocab().items():
+            self.ends[i] = token.endswith("</w>")
+
+    def _encode(self, words: list[bytes]) -> Iterator[tuple[bytes, bytes]]:
+        """Words and their ids. Words of letters are encoded many at a time and divided after the tokens that end a
+        word; if the count doesn't come out, and for all other words, one by one."""
+        readable = [w.decode("utf-8", "replace") for w in words]
+        letters = [i for i, w in enumerate(readable) if w.isalpha()]
+        single = [i for i, w in enumerate(readable) if not w.isalpha()]
+        groups = [letters[k : k + TOGETHER] for k in range(0, len(letters), TOGETHER)]
+        lines = self.tokenizer.encode_batch_fast([" ".join([readable[i] for i in g]) for g in groups], add_special_tokens=False)
+        for group, line in zip(groups, lines, strict=True):
+            ids = np.array(line.ids, "<u4")
+            stops = (4 * (np.flatnonzero(self.ends[ids]) + 1)).tolist()
+            if len(stops) != len(group):
+                single += group
+                continue
+            data, first = ids.tobytes(), 0
+            for i, stop in zip(group, stops, strict=True):
+                yield words[i], data[first:stop]
+                first = stop
+        for i, x in zip(single, self.tokenizer.encode_batch_fast([readable[i] for i in single], add_special_tokens=False), strict=True):
+            yield words[i], np.array(x.ids, "<u4").tobytes()
+
+    def whole(self, text: bytes) -> bytes:
+        return np.array(self.tokenizer.encode(text.decode("utf-8", "replace"), add_special_tokens=False).ids, "<u4").tobytes()
+
+    def _learn(self, words: set[bytes]) -> dict[bytes, bytes]:
+        """Make the words known; returns those too long to be kept."""
+        if len(self.young) > CACHED_WORDS:
+            self.old, self.young = self.young, {}
+        young, old, new, ended = self.young, self.old, set(), []
+        for w in words:
+            if w not in young:
+                if w in old:
+                    young[w] = old[w]
+                elif w[-1:] in (b".", b",") and w[-2:-1].isalnum():  # a letter or digit and then a mark: two runs
+                    ended.append(w)
+                else:
+                    new.add(w)
+        for stem in {x for w in ended for x in (w[:-1], w[-1:])}:
+            if stem not in young:
+                if stem in old:
+                    young[stem] = old[stem]
+                else:
+                    new.add(stem)
+        once = {}
+        for w, ids in self._encode(list(new)):
+            (young if len(w) <= CACHED_BYTES else once)[w] = ids
+        for w in ended:
+            ids = (once.get(w[:-1]) or young[w[:-1]]) + young[w[-1:]]
+            (young if len(w) <= CACHED_BYTES else once)[w] = ids
+        return once
 
     def of(self, texts: list[bytes]) -> list[bytes]:
-        if len(self.ids) > CACHED_WORDS:
-            self.ids.clear()
-        split = [x.split() for x in texts]
-        new = list(set().union(*split).difference(self.ids))
-        once = {}
-        for i in range(0, len(new), 20_000):
-            part = new[i : i + 20_000]
-            for w, x in zip(part, self._encode(part), strict=True):
-                (self.ids if len(w) <= CACHED_BYTES else once)[w] = x
+        special = {i: self.whole(x) for i, x in enumerate(texts) if b"<|" in x}
+        split = [[] if i in special else x.lower().split() for i, x in enumerate(texts)]
+        once = self._learn(set().union(*split))
         if once:
-            return [b"".join([self.ids.get(w) or once.get(w, b"") for w in words]) for words in split]
-        get = self.ids.__getitem__
-        return [b"".join(map(get, words)) for words in split]
+            ids = [b"".join([once.get(w) or self.young[w] for w in words]) for words in split]
+        else:
+            get = self.young.__getitem__
+            ids = [b"".join(map(get, words)) for words in split]
+        for i, x in special.items():
+            ids[i] = x
+        return ids
 
 
 _loaded: dict[str | None, WordIds] = {}
