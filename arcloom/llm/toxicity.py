@@ -194,7 +194,10 @@ class Model:
 
 
 def fit(rows: list[tuple[object, int, bytes]], sizes: dict[int, int], languages: language.Model | None, s: Settings) -> Model | None:
-    """Train on three quarters of the sample, calibrate on the rest: there each class weighs as in all labelled rows."""
+    """Train on three quarters of the sample, calibrate on the rest: there each class weighs as in all labelled rows.
+
+    A cut lies midway between that of highest F1, which a few rows can move, and that of an even calibrated chance.
+    """
     if len({y for _, y, _ in rows}) < 2:
         return None
     rng, net = np.random.default_rng(0), Network(s)
@@ -215,14 +218,16 @@ def fit(rows: list[tuple[object, int, bytes]], sizes: dict[int, int], languages:
     weight = np.array([sizes[int(v)] / max(1, (truth == v).sum()) for v in truth])
     weight *= len(weight) / weight.sum()
     slope, intercept = platt(z, truth, weight)
-    model = Model(tables, slope, intercept, {"": threshold(z, truth, weight)}, languages)
+    even = -intercept / slope
+    cut = lambda own: (threshold(z[own], truth[own], weight[own]) + even) / 2
+    model = Model(tables, slope, intercept, {"": cut(weight > 0)}, languages)
     if languages:
         index = model.index()
         langs = [model.read(rows[i][2], index)[1] for i in held]
         for lang in sorted({*langs} - {""}):
             own = np.array([x == lang for x in langs])
             if (truth[own] == 1).sum() >= 15 and (truth[own] == 0).sum() >= 15:
-                model.cuts[lang] = threshold(z[own], truth[own], weight[own])
+                model.cuts[lang] = cut(own)
     return model
 
 
@@ -230,7 +235,7 @@ def score(docs: DataFrame, labels: DataFrame, held: Column, id_col: str = "doc_i
     """``doc_id, held_out, score, predicted`` for every row, from its whole text alone.
 
     Labels come only from rows that aren't ``held``, at most ``settings.each`` of either class. ``score`` is a calibrated
-    probability, moved so that the threshold of highest F1 within the text's language (as a model of languages, trained from
+    probability, moved so that the cut for the text's language (as a model of languages, trained from
     the same rows' texts, reads it) lies at 0.3; ``predicted`` is 1 from there on. Null and empty texts are scored as a text
     without words; without labels of both classes every score is 0; repeated rows are scored each; an empty table
     gives no rows; of other columns of the documents only ``lang_col`` is read, in training the language model.
