@@ -44,7 +44,7 @@ cypher("node_scan_label", "MATCH (c:Customer) RETURN c.custkey, c.name, c.acctba
 cypher("node_scan_whole", "MATCH (r:Region) RETURN r.name, id(r)", "name node", f"SELECT r_name AS name, {REGION} AS node FROM region")
 cypher("prop_eq", "MATCH (c:Customer) WHERE c.mktsegment = 'BUILDING' RETURN c.custkey", "custkey", "SELECT c_custkey AS custkey FROM customer WHERE c_mktsegment = 'BUILDING'")
 cypher("prop_inline", "MATCH (o:SalesOrder {orderstatus: 'F', orderpriority: '1-URGENT'}) RETURN o.orderkey", "orderkey", "SELECT o_orderkey AS orderkey FROM orders WHERE o_orderstatus = 'F' AND o_orderpriority = '1-URGENT'")
-cypher("prop_param", "MATCH (p:Part {size: $size}) WHERE p.retailprice > $price RETURN p.partkey, p.name", "partkey name", "SELECT p_partkey AS partkey, p_name AS name FROM part WHERE p_size = 10 AND p_retailprice > 1000", size=10, price=1000)
+cypher("prop_param", "MATCH (p:Part {size: $size}) WHERE p.retailprice > $price RETURN p.partkey, p.name", "partkey name", "SELECT p_partkey AS partkey, p_name AS name FROM part WHERE p_size = 10 AND p_retailprice > 920", size=10, price=920)
 cypher("where_and_or_not", "MATCH (c:Customer) WHERE c.acctbal > 5000 AND NOT c.mktsegment = 'BUILDING' OR c.nationkey = 3 RETURN c.custkey", "custkey", "SELECT c_custkey AS custkey FROM customer WHERE (c_acctbal > 5000 AND c_mktsegment <> 'BUILDING') OR c_nationkey = 3")
 cypher("where_lt_nulls", "MATCH (n) WHERE n.acctbal < 0 RETURN id(n)", "node", f"""
     SELECT {CUSTOMER} AS node FROM customer WHERE c_acctbal < 0 OR c_acctbal IS NULL UNION ALL SELECT {SUPPLIER} FROM supplier WHERE s_acctbal < 0 OR s_acctbal IS NULL
