@@ -13,7 +13,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from arcloom.llm.common import raw, small_batches
+from arcloom.llm.common import lean, raw, small_batches
 
 SHINGLE, SIMILARITY = 5, 0.8
 #: Of 64 bits. At a similarity of 0.8 about 10 bits differ, with a deviation of 3: the radius is five deviations off.
@@ -190,7 +190,7 @@ def leaks(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_co
                 row, item, similarity, first, n = zip(*rows, strict=True) if rows else ([],) * 5
                 yield pa.RecordBatch.from_arrays([batch.column("doc_id").take(pa.array(row, pa.int64())), pa.array(item, item_kind), pa.array(similarity, pa.float64()), pa.array(first, pa.int64()), pa.array(n, pa.int64())], names)
 
-        return narrow.mapInArrow(run, kinds)
+        return narrow.mapInArrow(lean(run), kinds)
 
     found = [one(part) for part in passes(benchmark, item_col, item_text)]
     return reduce(DataFrame.unionAll, found) if found else spark.createDataFrame([], kinds)

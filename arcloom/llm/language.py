@@ -13,7 +13,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from arcloom.llm.common import WordIndex, chosen, raw, small_batches, with_keys
+from arcloom.llm.common import WordIndex, chosen, lean, raw, small_batches, with_keys
 
 UNKNOWN = "und"
 
@@ -140,7 +140,7 @@ def bags_of(docs: DataFrame, id_col: str, text_col: str, s: Settings, *more: str
             kept = [batch.column(c) for c in ("id", *more)]
             yield pa.RecordBatch.from_arrays([*kept, pa.array([a.tobytes() for a, _ in made], pa.binary()), pa.array([n.tobytes() for _, n in made], pa.binary())], ["id", *more, "buckets", "counts"])
 
-    return docs.select(F.col(id_col).alias("id"), *more, F.col(text_col).alias("text")).mapInArrow(run, f"id {docs.schema[id_col].dataType.simpleString()}{kinds}, buckets binary, counts binary")
+    return docs.select(F.col(id_col).alias("id"), *more, F.col(text_col).alias("text")).mapInArrow(lean(run), f"id {docs.schema[id_col].dataType.simpleString()}{kinds}, buckets binary, counts binary")
 
 
 def train(docs: DataFrame, learn: Column, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", settings: Settings = Settings()) -> Model | None:
@@ -188,5 +188,5 @@ def identify(docs: DataFrame, model: Model | None, id_col: str = "doc_id", text_
 
     given = docs.select(*(F.col(c).alias(f"k{i}") for i, c in enumerate(keep)), F.col(text_col).alias("text"))
     kinds = ", ".join(f"k{i} {f.dataType.simpleString()}" for i, f in enumerate(fields))
-    out = given.mapInArrow(run, f"{kinds}, lang_pred string, score double, accepted boolean")
+    out = given.mapInArrow(lean(run), f"{kinds}, lang_pred string, score double, accepted boolean")
     return out.toDF(*keep, *names[len(keep) :])

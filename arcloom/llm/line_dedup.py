@@ -11,7 +11,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from arcloom.llm.common import raw, small_batches
+from arcloom.llm.common import lean, raw, small_batches
 from arcloom.scratch import cut
 
 #: Lines that the rolling hash covers, classes of it of which one makes a boundary, and lines and words that a chunk has at least.
@@ -92,7 +92,7 @@ def _occurrences(docs: DataFrame, repeats: object | None) -> DataFrame:
             columns = [batch.column("id").take(at), batch.column("h").take(at), pa.array(no, pa.int32()), pa.array(hashes, pa.int64())]
             yield pa.RecordBatch.from_arrays(columns + [pa.array(texts, pa.binary())] * bool(repeats), names)
 
-    return docs.mapInArrow(run, fields)
+    return docs.mapInArrow(lean(run), fields)
 
 
 def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -143,5 +143,5 @@ def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
             columns = [pa.array(texts, pa.binary()).cast(pa.string()) if i == place_of_text else batch.column(i) for i in range(n)]
             yield pa.RecordBatch.from_arrays([*columns, pa.array(lines, pa.int32()), pa.array(removed, pa.int32())], [*(f"c{i}" for i in range(n)), "n_lines", "n_removed"])
 
-    out = joined.toDF(*(f"c{i}" for i in range(n)), "_drop").mapInArrow(rebuild, f"{kinds}, n_lines int, n_removed int")
+    out = joined.toDF(*(f"c{i}" for i in range(n)), "_drop").mapInArrow(lean(rebuild), f"{kinds}, n_lines int, n_removed int")
     return out.toDF(*others, "n_lines", "n_removed")

@@ -10,7 +10,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from arcloom.llm.common import raw, small_batches
+from arcloom.llm.common import lean, raw, small_batches
 from arcloom.operators.components import star_components
 from arcloom.scratch import cut
 
@@ -52,7 +52,7 @@ def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("h"), pa.array(fps)], ["doc_id", "h", "fp"])
 
     narrow = docs.select(F.col(id_col).alias("doc_id"), F.xxhash64(text_col).alias("h"), F.col(text_col).alias("text"))
-    return narrow.mapInArrow(run, f"doc_id {docs.schema[id_col].dataType.simpleString()}, h long, fp long")
+    return narrow.mapInArrow(lean(run), f"doc_id {docs.schema[id_col].dataType.simpleString()}, h long, fp long")
 
 
 def _popcounts(fp: Column) -> Column:

@@ -12,14 +12,14 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from arcloom.llm.common import raw, small_batches
+from arcloom.llm.common import lean, raw, small_batches
 from arcloom.scratch import cut
 
 CAPACITY = 2048
 TOKENIZER = "word_bpe_49k.json"
 END = b"\0\0\0\0"
 #: Words in each of the two generations of words whose ids a worker keeps, and the longest such word in bytes.
-CACHED_WORDS, CACHED_BYTES = 400_000, 64
+CACHED_WORDS, CACHED_BYTES = 250_000, 64
 #: Words of letters that are encoded together.
 TOGETHER = 256
 #: Pieces of one length that are numbered in one task.
@@ -137,7 +137,7 @@ def pieces(docs: DataFrame, id_col: str, text_col: str, tokenizer: str | None, c
             columns = [of_row, pa.array(piece, pa.int32()), pa.array(start, pa.int64()), pa.array(length, pa.int64()), pa.array(crc, pa.int64())]
             yield pa.RecordBatch.from_arrays(columns + [pa.array(cut_ids, pa.binary())] * with_ids, names)
 
-    return docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text")).mapInArrow(run, fields)
+    return docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text")).mapInArrow(lean(run), fields)
 
 
 class Capacities:

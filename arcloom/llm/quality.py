@@ -11,7 +11,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from arcloom.llm.calibrate import logit, platt, sigmoid, threshold
-from arcloom.llm.common import raw, small_batches
+from arcloom.llm.common import lean, raw, small_batches
 from arcloom.llm.labelled import sample
 
 DECIDES = 0.7
@@ -161,5 +161,5 @@ def score(docs: DataFrame, labels: DataFrame, held: Column, id_col: str = "doc_i
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("held_out"), pa.array(scores, pa.float64())], ["doc_id", "held_out", "score"])
 
     narrow = docs.select(F.col(id_col).alias("doc_id"), held.alias("held_out"), F.col(text_col).alias("text"))
-    scored = narrow.mapInArrow(run, f"doc_id {docs.schema[id_col].dataType.simpleString()}, held_out boolean, score double")
+    scored = narrow.mapInArrow(lean(run), f"doc_id {docs.schema[id_col].dataType.simpleString()}, held_out boolean, score double")
     return scored.withColumn("predicted", (F.col("score") >= DECIDES).cast("int"))
