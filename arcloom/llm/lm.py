@@ -14,12 +14,14 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from arcloom.llm.common import raw, small_batches
+from arcloom.llm.common import lean, raw, small_batches
 from arcloom.scratch import cut
 
 #: The end token; no word holds a space.
 END = b" "
 BLOCK_BYTES = 4 << 20
+#: Tokens whose logits are held at a time.
+STEP = 512
 
 
 @dataclass(frozen=True)
@@ -34,7 +36,7 @@ class Settings:
     rounds: int = 2
     every: int = 8
     batch: int = 1024
-    rate: float = 0.4
+    rate: float = 0.8
 
     @property
     def classes(self) -> int:
@@ -73,7 +75,7 @@ def blocks_of(docs: DataFrame, id_col: str, text_col: str, held: Column) -> Data
         if part:
             yield flush()
 
-    return narrow.mapInArrow(run, "block long, payload binary")
+    return narrow.mapInArrow(lean(run), "block long, payload binary")
 
 
 def opened(payload: bytes) -> tuple[pa.ChunkedArray, list[bytes], list[bool]]:
@@ -105,7 +107,7 @@ def vocabulary(blocks: DataFrame) -> DataFrame:
                     yield pa.RecordBatch.from_arrays([pa.array([block] * len(part), pa.int64()), pa.array(part, pa.binary()), pa.array(n[i : i + 50_000], pa.int64())], ["block", "word", "n"])
 
     of_word = Window.partitionBy("word")
-    counted = blocks.mapInArrow(run, "block long, word binary, n long")
+    counted = blocks.mapInArrow(lean(run), "block long, word binary, n long")
     return counted.select("block", "word", F.sum("n").over(of_word).alias("c"), (F.row_number().over(of_word.orderBy("block")) == 1).alias("first"))
 
 
@@ -128,41 +130,85 @@ class Model:
         k = self.top.get(word)
         return spelled_class(word, self.settings) if k is None else k
 
-    def features(self, symbols: np.ndarray, words: np.ndarray, place: np.ndarray) -> list[np.ndarray]:
-        """For each token the feature rows of what stands before it: its sparse row, bias left out.
+    def features(self, symbols: np.ndarray, words: np.ndarray, place: np.ndarray, at: np.ndarray | None = None) -> list[np.ndarray]:
+        """For each token (or those at ``at``) the feature rows of what stands before it: its sparse row, bias left out.
 
         ``symbols`` are classes, ``words`` hashes, ``place`` positions in the document; before a document stands the end token.
         """
         s, start = self.settings, self.class_of(END)
-        back = []
-        for d in range(1, s.skips + 1):
-            x = np.full(len(symbols), start, np.int64)
-            x[d:] = symbols[:-d]
-            x[place < d] = start
-            back.append(x)
-        last = np.full(len(words), zlib.crc32(END), np.int64)
-        last[1:] = words[:-1]
-        last[place < 1] = zlib.crc32(END)
+        at = np.arange(len(symbols)) if at is None else at
+        here = place[at]
+        back = [np.where(here < d, start, symbols[at - d]) for d in range(1, s.skips + 1)]
+        last = np.where(here < 1, zlib.crc32(END), words[at - 1])
         rows = [1 + d * s.classes + x for d, x in enumerate(back)]
         base = 1 + s.skips * s.classes
         pair = (back[0] * s.classes + back[1]) * 2654435761 % 4294967296 % s.buckets
         return [*rows, base + pair, base + s.buckets + last % s.buckets]
 
     def log_class(self, rows: list[np.ndarray], labels: np.ndarray) -> np.ndarray:
-        """log10 of each label's probability."""
-        out = np.empty(len(labels))
-        for i in range(0, len(labels), 4096):
-            z = self.logits([r[i : i + 4096] for r in rows])
-            z -= z.max(1, keepdims=True)
-            picked = z[np.arange(len(z)), labels[i : i + 4096]].astype(np.float64)
-            out[i : i + 4096] = (picked - np.log(np.exp(z).sum(1, dtype=np.float64))) / np.log(10)
-        return out
-
-    def logits(self, rows: list[np.ndarray]) -> np.ndarray:
-        z = self.weights[rows[0]]
+        """log10 of each label's probability. Rows are taken a few at a time, into the same two arrays."""
+        out, n = np.empty(len(labels)), self.settings.classes
+        z, part = np.empty((STEP, n), np.float32), np.empty((STEP, n), np.float32)
+        biased = self.biased()
+        small = self.bound() < 80  # then no exponential overflows
+        every = np.arange(STEP)
+        for i in range(0, len(labels), STEP):
+            m = min(STEP, len(labels) - i)
+            a, b = z[:m], part[:m]
+            self.sum_rows(biased, [r[i : i + m] for r in rows], a, b)
+            if not small:
+                a -= a.max(1, keepdims=True)
+            picked = a[every[:m], labels[i : i + m]].astype(np.float64)
+            np.exp(a, out=a)
+            out[i : i + m] = picked - np.log(a.sum(1), dtype=np.float64)
+        return out / np.log(10)
+
+    def step(self, rows: list[np.ndarray], labels: np.ndarray, seen: np.ndarray) -> int:
+        """A gradient step of the log loss on some tokens. Rows seen more often move less, and a row that many of
+        these tokens share moves by the root of their number, so that no step overshoots."""
+        n, rate = len(labels), self.settings.rate
+        z, part = np.empty((2, n, self.settings.classes), np.float32)
+        self.sum_rows(self.biased(), rows, z, part)
+        z -= z.max(1, keepdims=True)
+        np.exp(z, out=z)
+        z /= z.sum(1, keepdims=True)
+        z[np.arange(n), labels] -= 1
+        for r in rows:
+            order = np.argsort(r, kind="stable")
+            ordered = r[order]
+            first = np.flatnonzero(np.diff(ordered, prepend=-1))
+            times = np.diff(first, append=n)
+            own = ordered[first]
+            seen[own] += times
+            scale = (rate / np.sqrt(seen[own] * times))[:, None]
+            once = times == 1  # these need no sum
+            if once.any():
+                self.weights[own[once]] -= scale[once] * z[order[first[once]]]
+            if not once.all():
+                many = np.repeat(~once, times)
+                starts = np.cumsum(times[~once]) - times[~once]
+                self.weights[own[~once]] -= scale[~once] * np.add.reduceat(z[order[many]], starts, axis=0)
+        seen[0] += n
+        self.weights[0] -= rate / np.sqrt(seen[0] * n) * z.sum(0)
+        return n
+
+    def biased(self) -> np.ndarray:
+        """The rows of the last class with the bias added: every token has one of them."""
+        return self.weights[1 : 1 + self.settings.classes] + self.weights[0]
+
+    def bound(self) -> float:
+        """No logit is larger in size."""
+        s, w = self.settings, np.abs(self.weights).max(1)
+        first = 1 + s.skips * s.classes
+        parts = [w[:1], *(w[1 + d * s.classes : 1 + (d + 1) * s.classes] for d in range(s.skips)), w[first : first + s.buckets], w[first + s.buckets :]]
+        return float(sum(x.max() for x in parts))
+
+    def sum_rows(self, biased: np.ndarray, rows: list[np.ndarray], z: np.ndarray, part: np.ndarray) -> None:
+        """Logits into ``z``."""
+        np.take(biased, rows[0] - 1, axis=0, out=z, mode="clip")
         for r in rows[1:]:
-            z += self.weights[r]
-        return z + self.weights[0]
+            np.take(self.weights, r, axis=0, out=part, mode="clip")
+            z += part
 
 
 class Encoder(dict):
@@ -203,27 +249,15 @@ def train_round(blocks: DataFrame, model: Model, turn: int) -> np.ndarray:
                 mine = [x for i, (x, out) in enumerate(zip(texts, held, strict=True)) if not out and i % s.rounds == turn]
                 for j in range(0, len(mine), 128):
                     symbols, words, place, _ = encoder.of(mine[j : j + 128])
-                    rows = m.features(symbols, words, place)
                     at = np.arange(j // 128 % s.every, len(symbols), s.every)
+                    rows, labels = m.features(symbols, words, place, at), symbols[at]
                     for i in range(0, len(at), s.batch):
-                        pick = at[i : i + s.batch]
-                        own = [r[pick] for r in rows]
-                        z = m.logits(own)
-                        z -= z.max(1, keepdims=True)
-                        np.exp(z, out=z)
-                        z /= z.sum(1, keepdims=True)
-                        z[np.arange(len(pick)), symbols[pick]] -= 1
-                        for r in own:
-                            np.add.at(seen, r, 1)
-                            np.add.at(m.weights, r, z * (-s.rate / np.sqrt(seen[r]))[:, None])
-                        seen[0] += len(pick)
-                        m.weights[0] -= s.rate / np.sqrt(seen[0]) * z.sum(0)
-                        taken += len(pick)
+                        taken += m.step([r[i : i + s.batch] for r in rows], labels[i : i + s.batch], seen)
         if taken:
             yield pa.RecordBatch.from_arrays([pa.array([taken], pa.int64()), pa.array([(m.weights - before).tobytes()], pa.binary())], ["n", "change"])
 
     few = blocks.coalesce(2 * blocks.sparkSession.sparkContext.defaultParallelism)
-    changes = few.mapInArrow(run, "n long, change binary").rdd.map(lambda r: (r[0], np.frombuffer(r[1], np.float32) * np.float32(r[0])))
+    changes = few.mapInArrow(lean(run), "n long, change binary").rdd.map(lambda r: (r[0], np.frombuffer(r[1], np.float32) * np.float32(r[0])))
     zero = (0, np.zeros(s.rows * s.classes, np.float32))
     n, total = changes.treeAggregate(zero, _add, _add)
     return (total / max(1, n)).reshape(s.rows, s.classes)
@@ -282,7 +316,10 @@ def score(docs: DataFrame, held: Column, id_col: str = "doc_id", text_col: str =
         names = counts.column("word").to_pylist()
         index = {w: i for i, w in enumerate(names)}
         c = counts.column("c").to_numpy().astype(np.float64)
-        k = np.fromiter(map(m.class_of, names), np.int64, len(names))
+        k = settings.top + np.fromiter((zlib.crc32(w[:3]) for w in names), np.int64, len(names)) % settings.spelled
+        for w, i in m.top.items():
+            if w in index:
+                k[index[w]] = i
         hashes = np.fromiter(map(zlib.crc32, names), np.int64, len(names))
         with np.errstate(divide="ignore", invalid="ignore"):
             within = np.log10(np.where(c > 0, (c - m.discount[k]) / m.mass[k], m.unknown[k]))
