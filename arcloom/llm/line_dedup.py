@@ -1,9 +1,10 @@
-"""Removing multi-line passages that repeat anywhere in the corpus, by content-defined line chunks."""
+"""Removing passages that repeat anywhere in the corpus, by content-defined line chunks and by runs of 50 words."""
 
 from __future__ import annotations
 
 import re
 from collections.abc import Iterator
+from itertools import pairwise
 
 import numpy as np
 import pyarrow as pa
@@ -16,12 +17,20 @@ from arcloom.scratch import cut
 
 #: Lines that the rolling hash covers, classes of it of which one makes a boundary, and lines and words that a chunk has at least.
 WINDOW, MEAN, LEAST, LEAST_WORDS = 2, 2, 2, 10
+#: Words of the shortest run that is found whole wherever it stands; words of the hashes of which a run's smallest is its sign.
+RUN, GRAM = 50, 25
+_SIGNS = RUN - GRAM + 1
+#: A run's number is this and the number of its first word; chunks are numbered from 0.
+RUN_FROM = 1 << 30
+#: Bytes of texts that are hashed at a time, and words whose hashes are kept.
+_GROUP, _WORDS = 1 << 20, 250_000
 #: A line ends with a line break, or with a sentence: passages are often copied into the middle of a paragraph.
 _END = re.compile(rb"\n|(?<=[.!?])[ \t]+")
 #: Bits of the filter that says which chunk hashes repeat: a fixed size, whatever the corpus.
 FILTER_BITS = 1 << 23
 _PRIME = 0x9E3779B185EBCA87
 _MASK = (1 << 64) - 1
+_WORD = re.compile(rb"\S+")
 
 
 def lines_of(text: bytes) -> list[bytes]:
@@ -52,7 +61,82 @@ def chunks(lines: list[bytes]) -> list[tuple[int, int]]:
     return out
 
 
-def multi_line(lines: list[bytes]) -> Iterator[tuple[int, int, bytes]]:
+class Words(dict):
+    """Words to their hashes."""
+
+    def __missing__(self, word: bytes) -> int:
+        h = self[word] = xxhash.xxh64_intdigest(word)
+        return h
+
+    def of(self, words: list[bytes]) -> np.ndarray:
+        if len(self) > _WORDS:
+            self.clear()
+        return np.fromiter(map(self.__getitem__, words), np.uint64, len(words))
+
+
+def _sliding(x: np.ndarray, n: int, pick: np.ufunc) -> np.ndarray:
+    """The smallest or largest of each ``n`` values in a row."""
+    size = 1
+    while 2 * size <= n:
+        x, size = pick(x[:-size], x[size:]), 2 * size
+    return pick(x[: len(x) - (n - size)], x[n - size :]) if size < n else x
+
+
+def _grams(h: np.ndarray) -> np.ndarray:
+    """A hash of each ``GRAM`` words in a row: polynomials of doubled lengths joined, then mixed."""
+    out, have, size, power = None, 0, 1, h
+    while size <= GRAM:
+        if GRAM & size:
+            if out is None:
+                out, have = power, size
+            else:
+                n = len(h) - (have + size) + 1
+                out, have = out[:n] * np.uint64(pow(_PRIME, size, 1 << 64)) + power[have : have + n], have + size
+        if 2 * size <= GRAM:
+            power = power[:-size] * np.uint64(pow(_PRIME, size, 1 << 64)) + power[size:]
+        size *= 2
+    out = (out ^ (out >> np.uint64(31))) * np.uint64(0x94D049BB133111EB)
+    return out ^ (out >> np.uint64(29))
+
+
+def signs(h: np.ndarray, n: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Of texts with ``n`` words each, the hashes ``h`` of all words in turn: places of the runs' first words, each run's sign, and the
+    places' signs that count, one for each place that is the smallest of a run. Equal runs have equal signs at
+    two places, so a run whose sign is there once has no copy."""
+    if len(h) < RUN:
+        return np.zeros(0, np.int64), np.zeros(0, np.uint64), np.zeros(0, np.uint64)
+    grams = _grams(h)
+    least = _sliding(grams, _SIGNS, np.minimum)
+    left = np.repeat(np.cumsum(n), n) - np.arange(len(h))
+    whole = left[: len(least)] >= RUN
+    edge = np.zeros(_SIGNS - 1, np.uint64)
+    most = _sliding(np.concatenate([edge, np.where(whole, least, np.uint64(0)), edge]), _SIGNS, np.maximum)
+    at = np.flatnonzero(whole)
+    return at, least[at], grams[most == grams]
+
+
+def grouped(texts: list[bytes]) -> Iterator[tuple[int, list[list[bytes]]]]:
+    """``(number of the first text, words of each)`` of texts of a bounded size in all, or of a single text."""
+    first, held, part = 0, 0, []
+    for i, text in enumerate(texts):
+        part.append(text.split())
+        held += len(text)
+        if held >= _GROUP:
+            yield first, part
+            first, held, part = i + 1, 0, []
+    if part:
+        yield first, part
+
+
+def digests(words: list[bytes], places: list[int]) -> list[bytes]:
+    """128 bits for the run of words at each place."""
+    line = b" ".join(words)
+    stops = np.cumsum(np.fromiter(map(len, words), np.int64, len(words)) + 1)
+    ends, starts = (stops - 1).tolist(), [0, *stops.tolist()]
+    return [xxhash.xxh3_128_digest(line[starts[i] : ends[i + RUN - 1]]) for i in places]
+
+
+def line_chunks(lines: list[bytes]) -> Iterator[tuple[int, int, bytes]]:
     """``(chunk number, hash, bytes)`` of the chunks with at least two lines that aren't blank and ten words; white space at lines' ends doesn't count."""
     for k, (a, b) in enumerate(chunks(lines)):
         own = [x for x in map(bytes.strip, lines[a:b]) if x]
@@ -62,12 +146,41 @@ def multi_line(lines: list[bytes]) -> Iterator[tuple[int, int, bytes]]:
                 yield k, xxhash.xxh64_intdigest(text, 1), text
 
 
+def multi_line(lines: list[bytes]) -> Iterator[tuple[int, int, bytes]]:
+    """``(number, hash, key)`` of all that is compared: the chunks of lines by their bytes, and every run of ``RUN`` words by its digest."""
+    yield from line_chunks(lines)
+    words = b"".join(lines).split()
+    for i, d in enumerate(digests(words, range(len(words) - RUN + 1))):
+        yield RUN_FROM + i, int.from_bytes(d[:8], "little"), d
+
+
 def without(text: bytes, drop: set[int]) -> tuple[bytes, int]:
-    """The text without these chunks, and how many lines went."""
+    """The text without these chunks and runs, and how many lines went, wholly or in part."""
     lines = lines_of(text)
-    kept = [x for k, (a, b) in enumerate(chunks(lines)) if k not in drop for x in lines[a:b]]
-    out = b"".join(kept)
-    return (out if text.endswith(b"\n") else out.rstrip()), len(lines) - len(kept)
+    stops = [0]
+    for x in lines:
+        stops.append(stops[-1] + len(x))
+    gone = np.zeros(len(text) + 1, bool)
+    cut_lines = np.zeros(len(lines), bool)
+    for k, (a, b) in enumerate(chunks(lines)):
+        if k in drop:
+            gone[stops[a] : stops[b]] = cut_lines[a:b] = True
+    runs = sorted(k - RUN_FROM for k in drop if k >= RUN_FROM)
+    if runs:
+        words = [m.span() for m in _WORD.finditer(text)]
+        breaks = [0, *(i for i in range(1, len(runs)) if runs[i] > runs[i - 1] + RUN), len(runs)]
+        for i, j in pairwise(breaks):
+            first, after = runs[i], runs[j - 1] + RUN
+            start, stop = words[first][0], words[after - 1][1]
+            end = words[after][0] if after < len(words) else len(text)
+            before = text[words[first - 1][1] if first else 0 : start]
+            # a line's rest goes without the line's break
+            gone[start : stop if first and b"\n" not in before and b"\n" in text[stop:end] else end] = True
+            a, b = np.searchsorted(stops, [start, stop - 1], "right") - 1
+            cut_lines[a : b + 1] = True
+    edges = np.flatnonzero(np.diff(gone[:-1], prepend=True, append=True)).tolist()
+    out = b"".join(text[a:b] for a, b in zip(edges[::2], edges[1::2], strict=True))
+    return (out if text.endswith(b"\n") else out.rstrip()), int(cut_lines.sum())
 
 
 def _signed(h: int) -> int:
@@ -75,38 +188,65 @@ def _signed(h: int) -> int:
 
 
 def _occurrences(docs: DataFrame, repeats: object | None) -> DataFrame:
-    """``(id, h, k, hash)`` of each multi-line chunk; with ``repeats``, only of those in the filter, and their bytes."""
-    fields = f"id {docs.schema['id'].dataType.simpleString()}, h long, k int, hash long" + ", chunk binary" * bool(repeats)
+    """The hash of each chunk of lines and each sign of runs; with ``repeats``, ``(id, h, k, hash, chunk)`` of the chunks, and of the runs by
+    their signs, that are in the filter."""
+    fields = f"id {docs.schema['id'].dataType.simpleString()}, h long, k int, hash long, chunk binary" if repeats else "hash long"
     names = [x.split()[0] for x in fields.split(", ")]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bits = np.frombuffer(repeats.value, np.uint8) if repeats else None
+        known = Words()
         for batch in batches:
-            row, no, hashes, texts = [], [], [], []
-            for i, text in enumerate(raw(batch, "text")):
-                for k, h, chunk in multi_line(lines_of(text)):
+            texts = raw(batch, "text")
+            row, no, hashes, keys, marks = [], [], [], [], []
+            for i, text in enumerate(texts):
+                for k, h, chunk in line_chunks(lines_of(text)):
                     at = h % FILTER_BITS
-                    if bits is None or bits[at >> 3] >> (at & 7) & 1:
-                        row.append(i), no.append(k), hashes.append(_signed(h)), texts.append(chunk)
-            at = pa.array(row, pa.int64())
-            columns = [batch.column("id").take(at), batch.column("h").take(at), pa.array(no, pa.int32()), pa.array(hashes, pa.int64())]
-            yield pa.RecordBatch.from_arrays(columns + [pa.array(texts, pa.binary())] * bool(repeats), names)
+                    if bits is None:
+                        hashes.append(_signed(h))
+                    elif bits[at >> 3] >> (at & 7) & 1:
+                        row.append(i), no.append(k), hashes.append(_signed(h)), keys.append(chunk)
+            for first, words in grouped(texts):
+                n = np.fromiter(map(len, words), np.int64, len(words))
+                places, sign, counted = signs(known.of([w for x in words for w in x]), n)
+                if bits is None:
+                    marks.append(counted.view(np.int64))
+                    continue
+                bit = sign % np.uint64(FILTER_BITS)
+                places = places[(bits[bit >> np.uint64(3)] >> (bit & np.uint64(7)).astype(np.uint8) & 1).astype(bool)]
+                starts = np.cumsum(n) - n
+                of = np.searchsorted(starts, places, "right") - 1
+                for part in np.split(np.arange(len(places)), np.flatnonzero(np.diff(of)) + 1) if len(places) else []:
+                    i = int(of[part[0]])
+                    mine = (places[part] - starts[i]).tolist()
+                    found = digests(words[i], mine)
+                    row += [first + i] * len(mine)
+                    no += [RUN_FROM + x for x in mine]
+                    hashes += [int.from_bytes(d[:8], "little", signed=True) for d in found]
+                    keys += found
+            if bits is None:
+                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate([np.array(hashes, np.int64), *marks]))], names)
+            else:
+                at = pa.array(row, pa.int64())
+                yield pa.RecordBatch.from_arrays([batch.column("id").take(at), batch.column("h").take(at), pa.array(no, pa.int32()), pa.array(hashes, pa.int64()), pa.array(keys, pa.binary())], names)
 
     return docs.mapInArrow(lean(run), fields)
 
 
 def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The documents with every later occurrence of a multi-line chunk removed, wherever in the corpus it repeats.
+    """The documents with every later occurrence of a multi-line chunk or of a run of 50 words removed, wherever in the corpus it repeats.
 
     A line ends at a line break or after a sentence's last mark, so that passages inside paragraphs count too; a chunk has two lines and ten words at least.
+    Runs start at any word, so a repeated passage of 50 words or more goes whole, to the word, however its lines
+    are cut; white space between words doesn't count. A text that goes on repeating itself keeps the first turn.
 
-    All columns come back, ``text_col`` without the removed lines, with ``n_lines`` and ``n_removed`` (lines; an input column of
+    All columns come back, ``text_col`` without what was removed, with ``n_lines`` and ``n_removed`` (lines that went wholly or in part; an input column of
     one of these names is replaced). The first occurrence, by id (nulls last), text hash and place, stays; a chunk equal
-    in hash but not in bytes is another chunk. Rows that repeat both id and text are one document and get the same result;
+    in hash but not in bytes is another chunk, and runs are equal if 128 bits of hash are. Rows that repeat both id and text are one document and get the same result;
     a null text stays null with no lines; an empty text has one line.
 
-    Chunk hashes alone find what repeats; a filter of a fixed number of bits, which can only let too much
-    through, then limits the bytes that are grouped and compared. The copies of a chunk are never gathered: its first
+    Chunk hashes, and for runs the smallest hash of 25 words in each, alone find what may repeat; a filter of a fixed number of bits, which can only let too much
+    through, then limits the chunks and runs that are grouped and compared. The copies of a chunk are never gathered: its first
     place is a map-side combined minimum, joined back on hash and bytes.
     """
     spark = docs.sparkSession

@@ -170,6 +170,35 @@ def test_line_dedup(spark):
     assert line_dedup.dedup_lines(frame(spark, [])).count() == 0
 
 
+def runs_left(texts, n=50):
+    """Documents that hold a run of ``n`` words of an earlier one."""
+    seen, bad = set(), set()
+    for i, t in texts:
+        w = t.split()
+        own = {" ".join(w[j : j + n]) for j in range(len(w) - n + 1)}
+        if own & seen:
+            bad.add(i)
+        seen |= own
+    return bad
+
+
+def test_line_dedup_finds_runs_of_50_words(spark):
+    rng = random.Random(4)
+    say = lambda n: [f"w{rng.randint(0, 10**6)}" for _ in range(n)]
+    texts = []
+    for k, (lines, words) in enumerate([(1, 60), (2, 30), (4, 15), (5, 12), (6, 10), (12, 10), (1, 50)] * 4):
+        passage = " ".join(" ".join(say(words)) + "." for _ in range(lines))
+        own = [(" ".join(say(rng.randint(20, 70))), " ".join(say(rng.randint(20, 70)))) for _ in range(2)]
+        texts += [(2 * k, f"{own[0][0]} {passage} {own[0][1]}"), (2 * k + 1, f"{own[1][0]}\n{passage}\n{own[1][1]}")]
+    assert len(runs_left(texts)) == 28
+    got = {r.doc_id: r for r in line_dedup.dedup_lines(frame(spark, texts)).collect()}
+    left = [(i, got[i].text) for i in sorted(got)]
+    assert not runs_left(left) and all(got[i].text == t for i, t in texts if i % 2 == 0)
+    for i, t in texts[1::2]:
+        a, _, b = t.split("\n")
+        assert got[i].text.split() == a.split() + b.split() and got[i].n_removed > 0
+
+
 def test_boundaries_resist_shifts():
     lines = [b"line %d" % i for i in range(300)]
     ends = lambda x: {x[b - 1] for _, b in line_dedup.chunks(x)}
