@@ -11,6 +11,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from arcloom.llm.common import lean, raw, small_batches
+from arcloom.llm.decontaminate import shingles
+from arcloom.llm.line_dedup import Words
 from arcloom.operators.components import star_components
 from arcloom.scratch import cut
 
@@ -18,6 +20,8 @@ SEED = 42
 RADIUS = 4
 #: The 32 two-bit segments are dealt to three bands of 11, 11 and 10.
 BANDS = ((0, 11), (11, 11), (22, 10))
+#: Words of a shingle where similarity itself decides, and bits of a shingle by which occurrences are counted.
+SIMILAR_WORDS, COUNT_BITS = 5, 22
 _EVEN_BITS = 0x5555555555555555
 _STEP = 1 << 16
 
@@ -133,3 +137,100 @@ def first_of_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     text_hash = F.xxhash64(docs[text_col])
     kept = docs.join(keep, docs[id_col].eqNullSafe(keep["_id"]) & (text_hash == keep["_h"]))
     return kept.dropDuplicates(["_id", "_h"]).drop("_id", "_h")
+
+
+def shingle_set(words: np.ndarray) -> np.ndarray:
+    """The different hashes of the shingles of ``SIMILAR_WORDS`` words in a row, in order; a shorter text is one shingle."""
+    if len(words) <= SIMILAR_WORDS:
+        return np.array([xxhash.xxh64_intdigest(words.tobytes(), SEED)], np.uint64)
+    return np.unique(shingles(words, SIMILAR_WORDS))
+
+
+def _sets(batch: pa.RecordBatch, known: Words) -> Iterator[np.ndarray]:
+    for text in raw(batch, "text"):
+        yield shingle_set(known.of(text.lower().split()))
+
+
+def _counts(narrow: DataFrame) -> np.ndarray:
+    """In how many texts shingles occur, by the first bits of their hashes: a table of a fixed size, whatever the corpus."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        n, known = np.zeros(1 << COUNT_BITS, np.uint32), Words()
+        for batch in batches:
+            for x in _sets(batch, known):
+                np.add.at(n, (x >> np.uint64(64 - COUNT_BITS)).astype(np.int64), 1)
+        if n.any():
+            yield pa.RecordBatch.from_arrays([pa.array([n.tobytes()], pa.binary())], ["n"])
+
+    few = narrow.coalesce(2 * narrow.sparkSession.sparkContext.defaultParallelism)
+    tables = few.mapInArrow(lean(run), "n binary").rdd.map(lambda r: np.frombuffer(r[0], np.uint32))
+    return tables.treeAggregate(np.zeros(1 << COUNT_BITS, np.uint32), np.add, np.add)
+
+
+def similar_links(narrow: DataFrame, members: DataFrame) -> DataFrame:
+    """Pairs ``(a, b)`` of different shingle sets of Jaccard similarity 0.8 or more, each once; none is missed.
+
+    In any one order of all shingles, sets so similar share a shingle among the first fifth of each (and one more). Rare
+    ones come first, so that what many texts say makes no candidates unless it is most of a text. The whole sets of the candidates decide.
+    """
+    counts = narrow.sparkSession.sparkContext.broadcast(_counts(narrow))
+
+    def first(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        known = Words()
+        for batch in batches:
+            s, sizes, tokens = [], [], []
+            for x in _sets(batch, known):
+                n = len(x)
+                most = n - (4 * n + 4) // 5 + 1
+                order = np.lexsort((x, counts.value[x >> np.uint64(64 - COUNT_BITS)]))[:most]
+                s += [_of_set(x)] * len(order)
+                sizes += [n] * len(order)
+                tokens.append(x[order].view(np.int64))
+            yield pa.RecordBatch.from_arrays([pa.array(s, pa.int64()), pa.array(sizes, pa.int32()), pa.array(np.concatenate(tokens) if tokens else np.zeros(0, np.int64))], ["s", "n", "token"])
+
+    one = members.groupBy("s").agg(F.min("h").alias("h"))
+    once = cut(narrow.join(one.select("h"), "h", "left_semi"))
+    prefixes = cut(once.mapInArrow(lean(first), "s long, n int, token long").distinct())
+    a, b = (prefixes.select(F.col("s").alias(x), F.col("n").alias(f"n{x}"), "token") for x in "ab")
+    fits = (F.col("a") < F.col("b")) & (5 * F.least("na", "nb") >= 4 * F.greatest("na", "nb"))
+    pairs = cut(a.hint("merge").join(b, "token").where(fits).select("a", "b").distinct())
+
+    def whole(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        known = Words()
+        for batch in batches:
+            sets = list(_sets(batch, known))
+            yield pa.RecordBatch.from_arrays([pa.array([_of_set(x) for x in sets], pa.int64()), pa.array([x.view(np.int64) for x in sets], pa.list_(pa.int64()))], ["s", "set"])
+
+    asked = pairs.select(F.explode(F.array("a", "b")).alias("s")).distinct().join(one, "s").select("h")
+    sets = cut(once.join(asked, "h", "left_semi").mapInArrow(lean(whole), "s long, set array<long>").dropDuplicates(["s"]))
+    both = pairs.join(sets.select(F.col("s").alias("a"), F.col("set").alias("x")), "a").join(sets.select(F.col("s").alias("b"), F.col("set").alias("y")), "b")
+    shared = F.size(F.array_intersect("x", "y"))
+    return both.where(5 * shared >= 4 * (F.size("x") + F.size("y") - shared)).select("a", "b")
+
+
+def _of_set(x: np.ndarray) -> int:
+    h = xxhash.xxh64_intdigest(x.tobytes(), SEED)
+    return h - (1 << 64) if h >> 63 else h
+
+
+def first_of_similar(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """The input's rows without near-duplicates: texts whose sets of five-word shingles (lower-cased, white space apart) have a Jaccard similarity
+    of 0.8 or more are linked, directly or through others, and of each class the row with the smallest id stays (null ids last).
+
+    Null and empty texts are equal. Of rows that repeat the id that stays, the one whose text has the smallest hash does. All columns are returned as they were.
+    """
+    small_batches(docs.sparkSession)
+    narrow = docs.select(F.col(id_col).alias("doc_id"), F.xxhash64(text_col).alias("h"), F.col(text_col).alias("text"))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        known = Words()
+        for batch in batches:
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("h"), pa.array([_of_set(x) for x in _sets(batch, known)], pa.int64())], ["doc_id", "h", "s"])
+
+    members = cut(narrow.mapInArrow(lean(run), f"doc_id {docs.schema[id_col].dataType.simpleString()}, h long, s long"))
+    nodes = cut(members.groupBy("s").agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "h")).alias("least")))
+    roots = star_components(cut(similar_links(narrow.select("h", "text"), members)), "a", "b")
+    rooted = nodes.join(roots, nodes["s"] == roots["node"], "left").select(F.coalesce("root", "s").alias("root"), "least")
+    keep = cut(rooted.groupBy("root").agg(F.min("least").alias("f")).select(F.col("f.doc_id").alias("_id"), F.col("f.h").alias("_h")))
+    kept = docs.join(keep, docs[id_col].eqNullSafe(keep["_id"]) & (F.xxhash64(docs[text_col]) == keep["_h"]))
+    return kept.dropDuplicates(["_id", "_h"]).drop("_id", "_h")

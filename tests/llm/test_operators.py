@@ -247,6 +247,38 @@ def test_near_duplicates(spark):
     assert near_dedup.near_duplicates(frame(spark, [])).count() == 0
 
 
+def test_first_of_similar_is_exact(spark):
+    rng = random.Random(8)
+    texts = []
+    for i in range(12):
+        w = [f"v{rng.randint(0, 5000)}" for _ in range(rng.randint(40, 300))]
+        texts.append((i, " ".join(w)))
+        for k, edits in enumerate((1, 2, 3, 5, 8)):
+            x = list(w)
+            for _ in range(edits):
+                x[rng.randrange(len(x))] = "edited"
+            texts.append((100 * (k + 1) + i, " ".join(x)))
+    texts += [(900, None), (901, ""), (902, "a b"), (903, "A  b"), (904, "a c"), (905, texts[0][1].upper()), (None, texts[6][1])]
+    sets = {}
+    for i, t in texts:
+        w = (t or "").lower().split()
+        sets[i] = {tuple(w[j : j + 5]) for j in range(max(1, len(w) - 4))}
+    rank = lambda i: (i is None, i or 0)
+    root, far = {i: i for i in sets}, 0
+    for a in sets:
+        for b in sets:
+            both = len(sets[a] & sets[b])
+            if rank(a) < rank(b) and 5 * both >= 4 * (len(sets[a]) + len(sets[b]) - both):
+                far += (plain_simhash(dict(texts)[a]) ^ plain_simhash(dict(texts)[b])).bit_count() > near_dedup.RADIUS
+                low, high = sorted((root[a], root[b]), key=rank)
+                root = {k: low if v == high else v for k, v in root.items()}
+    assert far > 10
+    docs = frame(spark, texts)
+    kept = near_dedup.first_of_similar(docs)
+    assert sorted(r.doc_id for r in kept.collect()) == sorted(set(root.values())) and kept.columns == docs.columns
+    assert near_dedup.first_of_similar(frame(spark, [])).count() == 0
+
+
 def test_links_are_all_links(spark):
     rng = random.Random(3)
     start = [rng.getrandbits(64) for _ in range(30)]
