@@ -27,14 +27,13 @@ STEP = 512
 @dataclass(frozen=True)
 class Settings:
     """The most frequent ``top`` tokens are classes by themselves, other words fall into ``spelled`` classes by their
-    first three bytes. Gradients come from every document and every ``every``-th of its tokens."""
+    first three bytes. Each round takes gradients from all tokens of its share of the documents; together they take each document once."""
 
     top: int = 64
     spelled: int = 64
     buckets: int = 2048
     skips: int = 4
     rounds: int = 2
-    every: int = 8
     batch: int = 1024
     rate: float = 0.8
 
@@ -249,10 +248,9 @@ def train_round(blocks: DataFrame, model: Model, turn: int) -> np.ndarray:
                 mine = [x for i, (x, out) in enumerate(zip(texts, held, strict=True)) if not out and i % s.rounds == turn]
                 for j in range(0, len(mine), 128):
                     symbols, words, place, _ = encoder.of(mine[j : j + 128])
-                    at = np.arange(j // 128 % s.every, len(symbols), s.every)
-                    rows, labels = m.features(symbols, words, place, at), symbols[at]
-                    for i in range(0, len(at), s.batch):
-                        taken += m.step([r[i : i + s.batch] for r in rows], labels[i : i + s.batch], seen)
+                    rows = m.features(symbols, words, place)
+                    for i in range(0, len(symbols), s.batch):
+                        taken += m.step([r[i : i + s.batch] for r in rows], symbols[i : i + s.batch], seen)
         if taken:
             yield pa.RecordBatch.from_arrays([pa.array([taken], pa.int64()), pa.array([(m.weights - before).tobytes()], pa.binary())], ["n", "change"])
 

@@ -108,6 +108,17 @@ def test_lm(spark):
     assert lm.score(frame(spark, []), held_out(7, 2), settings=settings).count() == 0
 
 
+def test_lm_learns_from_every_token(spark):
+    texts = [(i, " ".join(f"q{i}x{j}" for j in range(30))) for i in range(30)]
+    s = lm.Settings(top=8, spelled=8, buckets=1 << 16)
+    blocks = lm.cut(lm.blocks_of(frame(spark, texts), "doc_id", "text", F.lit(False)))
+    model = lm.statistics(lm.vocabulary(blocks), s)
+    for turn in range(s.rounds):
+        model.weights = model.weights + lm.train_round(blocks, model, turn)
+    last = 1 + s.skips * s.classes + s.buckets
+    assert all(model.weights[last + zlib.crc32(w.encode()) % s.buckets].any() for _, t in texts for w in t.split())
+
+
 def test_lm_sums_to_one():
     s = lm.Settings(top=3, spelled=4, buckets=8)
     m = lm.Model(s, {b" ": 0, b"a": 1, b"b": 2})
