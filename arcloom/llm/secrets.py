@@ -10,8 +10,11 @@ from pyspark.sql import functions as F
 
 _NAMES = r"(?:password|passwd|pwd|secret|token|api[_-]?key|access[_-]?key)"
 _ASSIGNED = rf"(?i:{_NAMES})[\"']?\s{{0,3}}[=:]\s{{0,3}}[\"']?"
-#: An assigned value; a private key's first line; or a run of 16 or more of a key's characters with a digit among them.
-CANDIDATE = rf"{_ASSIGNED}[^\s\"']{{6,}}+|-----BEGIN [A-Z ]{{0,20}}PRIVATE KEY-----|(?<![A-Za-z0-9+/_-])(?=[A-Za-z+/_-]*+[0-9])[A-Za-z0-9+/_-]{{16,}}+"
+#: What stands before a password in a URL, from the scheme's end on.
+_URL = r"://[^\s:/@\"'?#]{0,64}+:"
+_PROVIDERS = r"gh[pousr]_|sk_live_|xox[a-z]-|eyJ"
+#: An assigned value; a password in a URL; a private key's first line; or a run of 16 or more of a key's characters that begins as providers' keys do or has a digit.
+CANDIDATE = rf"{_ASSIGNED}[^\s\"']{{6,}}+|{_URL}[^\s/@\"']{{3,}}+(?=@)|-----BEGIN [A-Z ]{{0,20}}PRIVATE KEY(?: BLOCK)?-----|(?<![A-Za-z0-9+/_-])(?=AKIA|{_PROVIDERS}|[A-Za-z+/_-]*+[0-9])[A-Za-z0-9+/_-]{{16,}}+"
 #: Fixed words; characters of a candidate that they cover speak for a placeholder or an identifier.
 DICTIONARY = ("password", "passwd", "secret", "token", "example", "sample", "dummy", "test", "change", "your", "here", "replace", "redacted", "placeholder", "default", "admin", "user", "none", "null", "value", "config", "version", "release", "build", "image", "index", "page", "file", "name", "key", "api", "http", "www", "com", "the", "and", "abc", "123", "xxx", "000")
 _GOOD_NEIGHBOURS = r"(?i)password|passwd|secret|token|credential|api.?key|access.?key|auth|bearer|private|login|aws|AKIA"
@@ -42,10 +45,10 @@ def candidates(docs: DataFrame, id_col: str, text_col: str, path_col: str | None
     gaps = F.transform("gaps", lambda x: F.length(x).cast("long"))
     ends = F.aggregate(F.zip_with(gaps, lengths, lambda a, b: a + F.coalesce(b, F.lit(0))), F.array().cast("array<bigint>"), lambda acc, x: F.concat(acc, F.array(F.coalesce(F.try_element_at(acc, F.lit(-1)), F.lit(0)) + x)))
     rows = found.select("doc_id", "path", "gaps", ends.alias("ends"), F.posexplode("got").alias("i", "match"))
-    value = F.regexp_replace("match", f"^{_ASSIGNED}", "")
+    value = F.regexp_replace("match", f"^(?:{_ASSIGNED}|{_URL})", "")
     return rows.select(
         "doc_id", "path", value.alias("value"), (F.expr("ends[i]") - F.length(value)).alias("start"), F.expr(f"right(gaps[i], {NEIGHBOURHOOD})").alias("before"), F.expr(f"left(gaps[i + 1], {NEIGHBOURHOOD})").alias("after"),
-        F.col("match").rlike(f"^{_ASSIGNED}").alias("assigned"),
+        F.col("match").rlike(f"^(?:{_ASSIGNED}|{_URL})").alias("assigned"),
     )
 
 
@@ -65,7 +68,7 @@ def features(found: DataFrame) -> DataFrame:
         "hex": v.rlike("^[0-9a-fA-F]+$"),
         "only_digits": v.rlike(r"^[0-9_-]+$"),
         "dictionary": 1 - F.length(F.regexp_replace(F.lower(v), words, "")) / n,
-        "provider": v.rlike("^(?:AKIA[0-9A-Z]{16}$|gh[pousr]_|sk_live_|xox[abp]-|eyJ|-----BEGIN)"),
+        "provider": v.rlike(f"^(?:AKIA[0-9A-Z]{{16}}$|{_PROVIDERS}|-----BEGIN)"),
         "uuid": v.rlike("^[0-9a-fA-F]{8}-[0-9a-fA-F]{4}-[0-9a-fA-F]{4}-"),
         "assigned": F.col("assigned"),
         "good_neighbour": near.rlike(_GOOD_NEIGHBOURS),
@@ -90,6 +93,9 @@ def labelled_findings(spark: SparkSession, s: Settings) -> DataFrame:
         "secret": f"concat('secret=', substr({b}, 1, 20 + id % 12), '9')",
         "bare key": f"concat('credential ', substr({b}, 1, 40), '7')",
         "private key": "'-----BEGIN RSA PRIVATE KEY-----'",
+        "private key block": "'-----BEGIN PGP PRIVATE KEY BLOCK-----'",
+        "chat token": f"concat('xoxb-', translate(substr({b}, 1, 24), '0123456789', 'abcdefghij'))",
+        "url password": f"concat('postgres://app:', substr({b}, 1, 10 + id % 10), '@db', id)",
     }
     others = {
         "card number": f"concat('4', substr({d}, 1, 15))",
@@ -98,6 +104,7 @@ def labelled_findings(spark: SparkSession, s: Settings) -> DataFrame:
         "bare digest": f"substr({h}, 1, 64)",
         "uuid": f"concat(substr({h}, 1, 8), '-', substr({h}, 9, 4), '-', substr({h}, 13, 4), '-', substr({h}, 17, 4), '-', substr({h}, 21, 12))",
         "placeholder": "concat('password=changeme', id)",
+        "url placeholder": "concat('ftp://user:', if(id % 2 = 0, 'password', 'yourpassword'), '@host', id)",
         "your key": "concat('api_key=your_api_key_here_', id)",
         "example": "concat('token = \"example-token-000', id, '\"')",
         "redacted": "concat('secret=xxxxxxxxxxxx', id % 10)",

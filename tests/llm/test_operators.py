@@ -374,3 +374,16 @@ def test_secrets(spark):
     assert Counter(r.doc_id for r in rows) == {1: 2, 2: 1, 3: 2, 11: 1}
     plan = secrets.scan(frame(spark, texts))._jdf.queryExecution().executedPlan().toString()
     assert "Python" not in plan and "Arrow" not in plan and "Exchange" not in plan
+
+
+def test_secrets_without_digits(spark):
+    rng = random.Random(6)
+    say = lambda n, kind="abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ": "".join(rng.choice(kind) for _ in range(n))
+    values = ["AKIA" + say(16, "ABCDEFGHIJKLMNOPQRSTUVWXYZ"), "sk_live_" + say(24), "ghp_" + say(36), "xoxb-" + say(24), "-----BEGIN PGP PRIVATE KEY BLOCK-----"]
+    texts = [(i, f"of the onre {v} and thed") for i, v in enumerate(values)]
+    texts += [(10, f"see postgres://app:{(url := say(14))}@db/x now"), (11, "see https://host:8080/a and https://host/b@c"), (12, "a word of averyverylongidentifiername there")]
+    found = {r.doc_id: (r.start, r.value) for r in secrets.scan(frame(spark, texts)).collect()}
+    assert found == {i: (12, v) for i, v in enumerate(values)} | {10: (len("see postgres://app:"), url)}
+    labelled = secrets.labelled_findings(spark, secrets.Settings())
+    with_candidates = secrets.candidates(labelled, "doc_id", "text", "path").select("doc_id").distinct()
+    assert labelled.join(with_candidates, "doc_id", "left_anti").count() == 0
