@@ -181,3 +181,19 @@ def test_random(spark, seed, direction, depth):
         for _, a, b, _ in edges:
             root[a] = root[b] = min(root[a], root[b])
     assert {r.id: r.component for r in paths.connected_components(g).collect()} == dict(enumerate(root[1:], 1))
+
+
+def test_has_edge_asks_about_all_parts(spark):
+    from arcloom import queries
+    from arcloom.sources.tables import KIND, tables_graph
+
+    d = "/root/testdata/sf0.001"
+    rows = spark.read.parquet(f"{d}/lineitem.parquet").select("l_suppkey", "l_partkey").distinct().collect()
+    edges = {(4 * KIND + 1 + r.l_suppkey, 6 * KIND + 1 + r.l_partkey) for r in rows}
+    asked = {tuple(r) for r in queries._asked(tables_graph(spark, d)).collect()}
+    assert edges < asked and {(s, p + 1) for s, p in edges} <= asked
+    got = [tuple(r) for r in queries.queries()["has_edge_all"](spark, d).collect()]
+    assert len(got) == len(set(got)) and set(got) == edges
+    few = queries.queries()["has_edge"](spark, d)
+    assert {tuple(r) for r in few.collect()} == {(s, p) for s, p in edges if p < 6 * KIND + 51}
+    assert "Cartesian" not in (plan := few._jdf.queryExecution().executedPlan().toString()) and "NestedLoop" not in plan
