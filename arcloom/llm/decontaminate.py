@@ -90,7 +90,7 @@ class Benchmark:
 
     def __init__(self, items: list[tuple[int, bytes]]):
         hashes, grouped, seeds = WordHashes(), defaultdict(list), defaultdict(lambda: defaultdict(set))
-        for item, text in sorted(items):
+        for item, text in sorted(items, key=lambda x: (x[0] is None, "" if x[0] is None else x[0], x[1])):
             words = hashes.of(text)
             if len(words):
                 k = min(SHINGLE, len(words))
@@ -154,7 +154,7 @@ class Benchmark:
 def passes(benchmark: DataFrame, id_col: str, text_col: str, most: int = ITEM_BYTES) -> list[Benchmark]:
     """The benchmark in parts of a bounded size; most benchmarks are one part."""
     parts, part, held = [], [], 0
-    rows = benchmark.select(id_col, text_col).where(F.col(id_col).isNotNull() & F.col(text_col).isNotNull()).orderBy(id_col, text_col)
+    rows = benchmark.select(id_col, text_col).where(F.col(text_col).isNotNull()).orderBy(id_col, text_col)
     for item, text in rows.toLocalIterator():
         if part and held + len(text) > most:
             parts, part, held = [*parts, Benchmark(part)], [], 0
@@ -170,7 +170,7 @@ def leaks(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_co
     Jaccard similarity of at least 0.8 of five-word shingles with it; the most similar window is given, the earliest of
     equals. Words are lower-cased and without ASCII punctuation. Only windows that share a shingle with an item of
     their size are looked at, which loses none, as no other reaches any similarity. Null texts and texts or items without words hold
-    nothing; rows that repeat an id are one document each; two rows of one item id count as that item; empty tables give no rows.
+    nothing; rows that repeat an id are one document each; two rows of one item id count as that item, and so do rows without an id, with a null item_id; empty tables give no rows.
     The documents are read in place, without a shuffle, once for each bounded part of the benchmark.
     """
     spark = docs.sparkSession
@@ -186,7 +186,7 @@ def leaks(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_co
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             words, b = WordHashes(), items.value
             for batch in batches:
-                rows = [(i, item, *x) for i, text in enumerate(raw(batch, "text")) for item, x in sorted(b.find(words.of(text)).items())]
+                rows = [(i, item, *x) for i, text in enumerate(raw(batch, "text")) for item, x in sorted(b.find(words.of(text)).items(), key=lambda found: (found[0] is None, found[1][1], str(found[0])))]
                 row, item, similarity, first, n = zip(*rows, strict=True) if rows else ([],) * 5
                 yield pa.RecordBatch.from_arrays([batch.column("doc_id").take(pa.array(row, pa.int64())), pa.array(item, item_kind), pa.array(similarity, pa.float64()), pa.array(first, pa.int64()), pa.array(n, pa.int64())], names)
 

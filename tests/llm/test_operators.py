@@ -350,6 +350,16 @@ def test_leaks(spark):
     assert decontaminate.leaks(docs, bench.where("false")).count() == 0 and decontaminate.leaks(frame(spark, []), bench).count() == 0
 
 
+def test_leaks_of_items_without_ids(spark):
+    text = " ".join(f"t{i}" for i in range(30))
+    bench = spark.createDataFrame([(None, text), (1, "other words that no document here holds"), (2, text)], "item_id bigint, text string")
+    docs = frame(spark, [(1, f"before {text} after"), (2, "nothing of it")])
+    assert sorted(str(r.item_id) for r in decontaminate.leaks(docs, bench).collect()) == ["2", "None"]
+    assert [r.doc_id for r in decontaminate.clean(docs, bench.where("item_id IS NULL OR item_id = 1")).collect()] == [2]
+    named = bench.select(F.concat(F.lit("i"), "item_id").alias("item_id"), "text")
+    assert sorted(str(r.item_id) for r in decontaminate.leaks(docs, named).collect()) == ["None", "i2"]
+
+
 def test_multi_index_finds_all_within_radius():
     rng = np.random.default_rng(0)
     prints = rng.integers(0, 2**63, 200, dtype=np.uint64)
