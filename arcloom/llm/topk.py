@@ -59,7 +59,7 @@ def search(df: DataFrame, is_query: Column, id_col: str = "vec_id", vector_col:
     """The ``k`` rows of highest integer inner product for each query row, all other rows being its candidates.
 
     Returns ``query_id, rank`` (from 1), ``vec_id, score``; ties go to the smaller id, and fewer rows come back if
-    there are fewer candidates. A row is a candidate of every query with another id; rows that repeat an id each
+    there are fewer candidates. A row is a candidate of every query with another id; rows without an id are left out, as in the query's SQL; rows that repeat an id each
     count. Vectors of different lengths meet as if padded with zeros. Products are exact while they and their sums fit 64 bits.
 
     Candidates and queries are dealt into blocks of a fixed size and each pair of blocks meets in one task, which
