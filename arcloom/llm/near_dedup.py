@@ -10,9 +10,8 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from arcloom.llm.common import lean, raw, small_batches
+from arcloom.llm.common import Words, lean, raw, small_batches
 from arcloom.llm.decontaminate import shingles
-from arcloom.llm.line_dedup import Words
 from arcloom.operators.components import star_components
 from arcloom.scratch import cut
 

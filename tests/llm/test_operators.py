@@ -5,6 +5,7 @@ import zlib
 from collections import Counter, defaultdict
 
 import numpy as np
+import plain
 import pytest
 import xxhash
 from pyspark.sql import functions as F
@@ -156,43 +157,24 @@ def test_topk(spark):
 
 def test_line_dedup(spark):
     passage = "\n".join(f"a shared line with number {i} of the passage here." for i in range(12))
-    own = lambda i: "\n".join(f"own {i} {j} has a few words of its own." for j in range(7))
+    own = lambda i: "\n".join(" ".join(f"own{i}n{j}w{k}" for k in range(8)) + "." for j in range(7))
     texts = [(i, f"{own(i)}\n{passage}\n{own(i + 100)}") for i in range(6)] + [(50, None), (51, ""), (52, "one line"), (53, "one line"), (54, "\n\n\n"), (55, "\n\n\n"), (56, own(56)), (57, own(56)), (57, own(56)), (None, passage), (60, "x y z w v u.\n" * 20_000), (61, "inside a paragraph " + passage.replace("\n", " ") + " it goes on")]
-    df = frame(spark, texts).withColumn("n_removed", F.lit("clash")).withColumn("id", F.lit(1))
+    df = frame(spark, texts).withColumn("n_removed", F.lit("clash")).withColumn("id", F.lit(1)).withColumn("_id", F.lit(2)).withColumn("h", F.lit(3)).withColumn("c0", F.lit(4))
+    out = line_dedup.dedup_lines(df)
+    assert out.columns == ["doc_id", "text", "lang", "source", "n_chars", "id", "_id", "h", "c0", "n_lines", "n_removed"]
+    rows = out.collect()
+    assert len(rows) == len(texts) and {(r.id, r._id, r.h, r.c0) for r in rows} == {(1, 2, 3, 4)}
     got = {}
-    for r in line_dedup.dedup_lines(df).collect():
+    for r in rows:
         assert got.setdefault((r.doc_id, r.n_lines), r.text) == r.text
-    first = {}
-    for i, t in sorted(texts, key=lambda x: (x[0] is None, x[0] or 0)):
-        if t is not None:
-            for k, h, c in line_dedup.multi_line(line_dedup.lines_of(t.encode())):
-                first.setdefault(c, (i, t, k))
-    for i, t in texts:
-        if t is None:
-            assert got[i, 0] is None
-            continue
-        lines = line_dedup.lines_of(t.encode())
-        assert b"".join(lines) == t.encode()
-        gone = {k for k, h, c in line_dedup.multi_line(lines) if first[c] != (i, t, k)}
-        assert got[i, len(lines)] == (line_dedup.without(t.encode(), gone)[0].decode() if gone else t)
-    left = {i: x.count("a shared line") for (i, _), x in got.items() if x}
-    assert left[0] == 12 and max(left[i] for i in (1, 2, 3, 4, 5, 61)) <= 8 and sum(left[i] for i in (1, 2, 3, 4, 5)) <= 30
-    assert got[52, 1] == got[53, 1] == "one line" and got[56, 7] == own(56) and got[57, 7] != own(56)
+    assert got[0, 26] == texts[0][1] and all(got[i, 26] == f"{own(i)}\n{own(i + 100)}" for i in range(1, 6)) and got[None, 12] == ""
+    assert got[61, 13].split() == "inside a paragraph it goes on".split()
+    assert got[50, 0] is None and got[51, 1] == "" and got[54, 3] == got[55, 3] == "\n\n\n"
+    assert got[52, 1] == got[53, 1] == "one line" and got[56, 7] == own(56) and got[57, 7] == ""
+    assert len(got[60, 20_000].split()) < 60
     assert line_dedup.dedup_lines(frame(spark, [])).count() == 0
 
 
-def runs_left(texts, n=50):
-    """Documents that hold a run of ``n`` words of an earlier one."""
-    seen, bad = set(), set()
-    for i, t in texts:
-        w = t.split()
-        own = {" ".join(w[j : j + n]) for j in range(len(w) - n + 1)}
-        if own & seen:
-            bad.add(i)
-        seen |= own
-    return bad
-
-
 def test_line_dedup_finds_runs_of_50_words(spark):
     rng = random.Random(4)
     say = lambda n: [f"w{rng.randint(0, 10**6)}" for _ in range(n)]
@@ -201,19 +183,70 @@ def test_line_dedup_finds_runs_of_50_words(spark):
         passage = " ".join(" ".join(say(words)) + "." for _ in range(lines))
         own = [(" ".join(say(rng.randint(20, 70))), " ".join(say(rng.randint(20, 70)))) for _ in range(2)]
         texts += [(2 * k, f"{own[0][0]} {passage} {own[0][1]}"), (2 * k + 1, f"{own[1][0]}\n{passage}\n{own[1][1]}")]
-    assert len(runs_left(texts)) == 28
+    assert len(plain.runs_left(texts)) == 28
     got = {r.doc_id: r for r in line_dedup.dedup_lines(frame(spark, texts)).collect()}
     left = [(i, got[i].text) for i in sorted(got)]
-    assert not runs_left(left) and all(got[i].text == t for i, t in texts if i % 2 == 0)
+    assert not plain.runs_left(left) and all(got[i].text == t for i, t in texts if i % 2 == 0)
     for i, t in texts[1::2]:
         a, _, b = t.split("\n")
         assert got[i].text.split() == a.split() + b.split() and got[i].n_removed > 0
 
 
-def test_boundaries_resist_shifts():
-    lines = [b"line %d" % i for i in range(300)]
-    ends = lambda x: {x[b - 1] for _, b in line_dedup.chunks(x)}
-    assert len(ends(lines) ^ ends([b"new", *lines])) <= 4 and all(b - a >= 2 for a, b in line_dedup.chunks(lines)[:-1])
+@pytest.mark.parametrize("many", [1000, 2])
+def test_line_dedup_is_exact(spark, monkeypatch, many):
+    """Runs to the word and chunks within their bounds, on texts put together from shared pieces; also with every hash dealt to groups."""
+    rng = random.Random(12)
+    say = lambda n: " ".join(f"w{rng.randint(0, 10**6)}" for _ in range(n))
+    pieces = [say(rng.choice([8, 15, 30, 49, 50, 51, 60, 90])) + rng.choice([".", ".\n", "", "\n"]) for _ in range(40)]
+    runs = [" ".join(rng.choice([*pieces[:25], *(say(rng.randint(1, 40)) for _ in range(25))]) for _ in range(rng.randint(1, 12))) for _ in range(60)]
+    texts = [*enumerate(runs), (3, runs[3]), (None, runs[5]), (None, runs[7]), (100, runs[9] + " " + runs[9])]
+    monkeypatch.setattr(line_dedup, "MANY", many)
+    monkeypatch.setattr(line_dedup, "LEAST_WORDS", 10**9)  # no chunks
+    expected = plain.without_runs(texts)
+    by = Counter()
+    for r in line_dedup.dedup_lines(frame(spark, texts)).collect():
+        by[r.doc_id, tuple(r.text.split())] += 1
+    assert by == Counter((i, tuple(expected[i, t][0])) for i, t in texts) and sum(x[1] for x in expected.values()) > 30
+
+
+@pytest.mark.parametrize("many", [1000, 2])
+def test_line_dedup_finds_passages_of_three_lines(spark, monkeypatch, many):
+    rng = random.Random(13)
+    line = lambda: " ".join(f"v{rng.randint(0, 10**6)}" for _ in range(rng.randint(5, 9))) + "."
+    passages = [[line() for _ in range(n)] for n in (2, 3, 3, 3, 4, 4, 5) * 6]
+    texts, planted = [], []
+    for i in range(80):
+        part, mine = [], []
+        for p in rng.sample(passages, rng.randint(0, 3)):
+            part += [line() for _ in range(rng.randint(1, 4))] + p
+            mine += [p]
+        texts.append((i, rng.choice([" ", "\n"]).join(part + [line()])))
+        planted.append(mine)
+    monkeypatch.setattr(line_dedup, "MANY", many)
+    rows = {r.doc_id: r for r in line_dedup.dedup_lines(frame(spark, texts)).collect()}
+    assert not any(x[1] for x in plain.without_runs(texts).values())
+    for (i, t), (must, may, all_) in plain.chunk_bounds(texts).items():
+        gone = all_ - Counter(plain.lines(rows[i].text))
+        assert not must - gone and not gone - may and rows[i].n_removed == sum(gone.values())
+    seen, found, of = set(), Counter(), Counter()
+    for (i, _), mine in zip(texts, planted):
+        for p in mine:
+            if tuple(p) in seen:
+                of[len(p)] += len(p)
+                found[len(p)] += sum(x not in rows[i].text for x in p)
+            seen.add(tuple(p))
+    assert all(found[n] == of[n] > 30 for n in (3, 4, 5)) and found[2] > 0.5 * of[2]
+
+
+def test_chunks_resist_shifts():
+    said = [f"line number {i} has some words of its own" for i in range(300)]
+
+    def middles(x):
+        c = line_dedup.Chunks(line_dedup.Texts(["\n".join(x).encode()]))
+        return {c.line(m) for m in c.middle.tolist()}
+
+    before, after = middles(said), middles(["new line in front of all the others", *said])
+    assert len(before ^ after) <= 4 and 120 < len(before) < 290
 
 
 # near-duplicates
