@@ -42,10 +42,19 @@ def raw(batch: pa.RecordBatch, column: str) -> list[bytes]:
     return [x or b"" for x in batch.column(column).cast(pa.binary()).to_pylist()]
 
 
+_frozen: list[bool] = []
+
+
 def lean(run: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
-    """``run``, after which the Python worker, which Spark keeps for later tasks, gives back the memory that it no longer uses."""
+    """``run``, after which the Python worker, which Spark keeps for later tasks, gives back the memory that it no longer uses.
+
+    What a worker has imported before its first task is left out of these collections: it stays anyway.
+    """
 
     def through(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        if not _frozen:
+            gc.freeze()
+            _frozen.append(True)
         yield from run(batches)
         gc.collect()
         pa.default_memory_pool().release_unused()

@@ -13,25 +13,27 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from arcloom.llm.common import lean, raw, small_batches
+from arcloom.llm.spans import Places, Texts, grouped
 from arcloom.scratch import cut
 
 CAPACITY = 2048
 TOKENIZER = "word_bpe_49k.json"
-END = b"\0\0\0\0"
-#: Words in each of the two generations of words whose ids a worker keeps, and the longest such word in bytes.
-CACHED_WORDS, CACHED_BYTES = 400_000, 64
+#: Words whose ids a worker keeps, and the longest such word in bytes.
+CACHED_WORDS, CACHED_BYTES = 1 << 20, 64
 #: Words of letters that are encoded together.
 TOGETHER = 256
 #: Pieces of one length that are numbered in one task.
 PIECES_PER_BUCKET = 50_000
+#: Marks after a letter or digit that the tokenizer takes for a word by itself.
+MARKS = b".,"
 
 
 class WordIds:
-    """Token ids of texts as little-endian unsigned 32-bit integers.
+    """Token ids of texts.
 
-    The tokenizer drops white space and no token crosses it, so a text's ids are those of its words in turn. Ids are
-    kept in two generations of words: a word that is used again moves from the older to the younger, and when the younger is
-    full the older one goes. A text that may hold a special token's string is encoded whole.
+    The tokenizer drops white space and no token crosses it, so a text's ids are those of its words in turn. The ids of
+    words are kept in flat arrays behind a hash table that is asked for all words of some texts at once; when it is
+    full, the words that weren't used since the last time go. A text that may hold a special token's string is encoded whole.
     """
 
     def __init__(self, path: str | None):
@@ -42,74 +44,103 @@ class WordIds:
             import public_tokenizers
 
             path = public_tokenizers.path(TOKENIZER)
-        self.tokenizer, self.young, self.old = Tokenizer.from_file(path), {}, {}
+        self.tokenizer = Tokenizer.from_file(path)
         self.ends = np.zeros(self.tokenizer.get_vocab_size(), bool)
         for token, i in self.tokenizer.get_vocab().items():
             self.ends[i] = token.endswith("</w>")
-
-    def _encode(self, words: list[bytes]) -> Iterator[tuple[bytes, bytes]]:
-        """Words and their ids. Words of letters are encoded many at a time and divided after the tokens that end a
-        word; if the count doesn't come out, and for all other words, one by one."""
+        self._clear()
+
+    def _clear(self) -> None:
+        """Entry 0 is the id that ends a document."""
+        self.places = Places(4 * CACHED_WORDS)
+        self.hashes, self.used = np.zeros(CACHED_WORDS + 1, np.uint64), np.zeros(CACHED_WORDS + 1, bool)
+        self.stops, self.ids, self.n = np.ones(CACHED_WORDS + 1, np.int64), np.zeros(1 << 16, np.uint32), 1
+
+    def _keep_used(self) -> None:
+        """Make room: words that were met no second time since the last time go, or all, if that isn't half of them."""
+        kept = np.flatnonzero(self.used[1 : self.n]) + 1
+        if len(kept) > CACHED_WORDS // 2:
+            kept = kept[:0]
+        hashes, stops, ids = self.hashes[kept], self.stops, self.ids
+        first, n = stops[kept - 1], stops[kept] - stops[kept - 1]
+        self._clear()
+        self._add(hashes, _spans(ids, first, n), n)
+
+    def _add(self, hashes: np.ndarray, ids: np.ndarray, n: np.ndarray) -> None:
+        first, of = self.stops[self.n - 1], slice(self.n, self.n + len(hashes))
+        self.hashes[of], self.stops[of] = hashes, first + np.cumsum(n)
+        while len(self.ids) < first + len(ids):
+            self.ids = np.concatenate([self.ids, np.zeros_like(self.ids)])
+        self.ids[first : first + len(ids)] = ids
+        self.places.insert(hashes, np.arange(of.start, of.stop, dtype=np.int32))
+        self.n = of.stop
+
+    # encoding
+
+    def _encode(self, words: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of the words in turn and how many each has. Words of letters are encoded many at a time and divided after
+        the tokens that end a word; if the count doesn't come out, and for all other words, one by one."""
         readable = [w.decode("utf-8", "replace") for w in words]
         letters = [i for i, w in enumerate(readable) if w.isalpha()]
         single = [i for i, w in enumerate(readable) if not w.isalpha()]
         groups = [letters[k : k + TOGETHER] for k in range(0, len(letters), TOGETHER)]
-        lines = self.tokenizer.encode_batch_fast([" ".join([readable[i] for i in g]) for g in groups], add_special_tokens=False)
-        for group, line in zip(groups, lines, strict=True):
-            ids = np.array(line.ids, "<u4")
-            stops = (4 * (np.flatnonzero(self.ends[ids]) + 1)).tolist()
+        order, parts, counts = [], [], []
+        for group, line in zip(groups, self.tokenizer.encode_batch_fast([" ".join([readable[i] for i in g]) for g in groups], add_special_tokens=False), strict=True):
+            ids = np.array(line.ids, np.uint32)
+            stops = np.flatnonzero(self.ends[ids]) + 1
             if len(stops) != len(group):
                 single += group
                 continue
-            data, first = ids.tobytes(), 0
-            for i, stop in zip(group, stops, strict=True):
-                yield words[i], data[first:stop]
-                first = stop
-        for i, x in zip(single, self.tokenizer.encode_batch_fast([readable[i] for i in single], add_special_tokens=False), strict=True):
-            yield words[i], np.array(x.ids, "<u4").tobytes()
-
-    def whole(self, text: bytes) -> bytes:
-        return np.array(self.tokenizer.encode(text.decode("utf-8", "replace"), add_special_tokens=False).ids, "<u4").tobytes()
-
-    def _learn(self, words: set[bytes]) -> dict[bytes, bytes]:
-        """Make the words known; returns those too long to be kept."""
-        if len(self.young) > CACHED_WORDS:
-            self.old, self.young = self.young, {}
-        young, old, new, ended = self.young, self.old, set(), []
-        for w in words:
-            if w not in young:
-                if w in old:
-                    young[w] = old[w]
-                elif w[-1:] in (b".", b",") and w[-2:-1].isalnum():  # a letter or digit and then a mark: two runs
-                    ended.append(w)
-                else:
-                    new.add(w)
-        for stem in {x for w in ended for x in (w[:-1], w[-1:])}:
-            if stem not in young:
-                if stem in old:
-                    young[stem] = old[stem]
-                else:
-                    new.add(stem)
-        once = {}
-        for w, ids in self._encode(list(new)):
-            (young if len(w) <= CACHED_BYTES else once)[w] = ids
-        for w in ended:
-            ids = (once.get(w[:-1]) or young[w[:-1]]) + young[w[-1:]]
-            (young if len(w) <= CACHED_BYTES else once)[w] = ids
-        return once
-
-    def of(self, texts: list[bytes]) -> list[bytes]:
-        special = {i: self.whole(x) for i, x in enumerate(texts) if b"<|" in x}
-        split = [[] if i in special else x.lower().split() for i, x in enumerate(texts)]
-        once = self._learn(set().union(*split))
-        if once:
-            ids = [b"".join([once.get(w) or self.young[w] for w in words]) for words in split]
-        else:
-            get = self.young.__getitem__
-            ids = [b"".join(map(get, words)) for words in split]
-        for i, x in special.items():
-            ids[i] = x
-        return ids
+            order += group
+            parts.append(ids)
+            counts.append(np.diff(stops, prepend=0))
+        for x in self.tokenizer.encode_batch_fast([readable[i] for i in single], add_special_tokens=False):
+            parts.append(np.array(x.ids, np.uint32))
+            counts.append([len(x.ids)])
+        ids, n = np.concatenate([np.zeros(0, np.uint32), *parts]), np.concatenate([np.zeros(0, np.int64), *counts])
+        back = np.argsort([*order, *single]).astype(np.int64)
+        return _spans(ids, (np.cumsum(n) - n)[back], n[back]), n[back]
+
+    def whole(self, text: bytes) -> np.ndarray:
+        return np.array([*self.tokenizer.encode(text.decode("utf-8", "replace"), add_special_tokens=False).ids, 0], np.uint32)
+
+    def of(self, texts: Texts) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of all texts in turn, id 0 after each, and where each text's end."""
+        h = np.maximum(texts.hashes, np.uint64(1))
+        entry = self.places.find(h)
+        new = np.flatnonzero(entry == 0)
+        own, first, back = np.unique(h[new], return_index=True, return_inverse=True)
+        if self.n + len(own) > CACHED_WORDS:
+            self._keep_used()
+            entry = self.places.find(h)
+            new = np.flatnonzero(entry == 0)
+            own, first, back = np.unique(h[new], return_index=True, return_inverse=True)
+        self.used[entry] = True
+        a, b = texts.starts[new[first]], texts.ends[new[first]]
+        long = b - a > CACHED_BYTES
+        kept = np.flatnonzero(~long)[: CACHED_WORDS - self.n]
+        once = np.setdiff1d(np.arange(len(own)), kept)
+        order = np.concatenate([kept, once])
+        ids, n = self._encode([texts.data[i:j] for i, j in zip(a[order].tolist(), b[order].tolist(), strict=True)])
+        place = np.empty(len(own), np.int32)
+        place[order] = self.n + np.arange(len(own), dtype=np.int32)
+        entry[new] = place[back]
+        of_kept = int(n[: len(kept)].sum())
+        self._add(own[kept], ids[:of_kept], n[: len(kept)])
+        every, stops = self.ids, self.stops
+        if len(once):  # these have entries for the time of this call only
+            every = np.concatenate([self.ids[: self.stops[self.n - 1]], ids[of_kept:]])
+            stops = np.concatenate([self.stops[: self.n], self.stops[self.n - 1] + np.cumsum(n[len(kept) :])])
+        bounds = texts.first + texts.n
+        entry = np.insert(entry, bounds, 0)
+        first = np.where(entry, stops[entry - 1], 0)
+        n = stops[entry] - first
+        return _spans(every, first, n), np.cumsum(n)[bounds + np.arange(len(bounds))]
+
+
+def _spans(x: np.ndarray, first: np.ndarray, n: np.ndarray) -> np.ndarray:
+    """The spans of ``x`` that start at ``first`` and have ``n`` values, one after the other."""
+    return x[np.repeat(first - (np.cumsum(n) - n), n) + np.arange(n.sum())]
 
 
 _loaded: dict[str | None, WordIds] = {}
@@ -124,15 +155,21 @@ def pieces(docs: DataFrame, id_col: str, text_col: str, tokenizer: str | None, c
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         if tokenizer not in _loaded:
             _loaded[tokenizer] = WordIds(tokenizer)
+        words = _loaded[tokenizer]
         for batch in batches:
+            texts = raw(batch, "text")
+            special = {i: words.whole(x) for i, x in enumerate(texts) if b"<|" in x}
             row, piece, start, length, crc, cut_ids = [], [], [], [], [], []
-            for k, ids in enumerate(_loaded[tokenizer].of(raw(batch, "text"))):
-                ids += END
-                for i, at in enumerate(range(0, len(ids), 4 * capacity)):
-                    part = ids[at : at + 4 * capacity]
-                    row.append(k), piece.append(i), start.append(at // 4), length.append(len(part) // 4), crc.append(zlib.crc32(part))
-                    if with_ids:
-                        cut_ids.append(part)
+            for first, group in grouped([b"" if i in special else x.lower() for i, x in enumerate(texts)], MARKS):
+                ids, stops = words.of(group)
+                at = 0
+                for k, stop in enumerate(stops.tolist(), first):
+                    own, at = special.get(k, ids[at:stop]), stop
+                    for i, a in enumerate(range(0, len(own), capacity)):
+                        part = own[a : a + capacity]
+                        row.append(k), piece.append(i), start.append(a), length.append(len(part)), crc.append(zlib.crc32(part.astype("<u4", copy=False)))
+                        if with_ids:
+                            cut_ids.append(part.astype("<u4", copy=False).tobytes())
             of_row = batch.column("doc_id").take(pa.array(row, pa.int64()))
             columns = [of_row, pa.array(piece, pa.int32()), pa.array(start, pa.int64()), pa.array(length, pa.int64()), pa.array(crc, pa.int64())]
             yield pa.RecordBatch.from_arrays(columns + [pa.array(cut_ids, pa.binary())] * with_ids, names)

@@ -3,17 +3,19 @@
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import cached_property
 
 import numpy as np
 
 #: Odd multipliers of the polynomial hashes: of bytes in a word, of words in a span, and of words in a span once more.
 _BYTES, _WORDS, _AGAIN = 0x9E3779B185EBCA87, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9
-#: Bytes of a text that are hashed at a time, and bytes of texts that are taken together.
-_PART, GROUP = 1 << 20, 1 << 20
+#: Bytes of a text that are hashed at a time, and bytes of texts that are taken together: what is made of them stays in a core's cache.
+_PART, GROUP = 1 << 16, 1 << 18
 SPACE = np.zeros(256, bool)
 SPACE[[9, 10, 11, 12, 13, 32]] = True
-_BLANK, _MARK = np.zeros((2, 256), bool)
+_BLANK, _MARK, _ALNUM = np.zeros((3, 256), bool)
 _BLANK[[9, 32]] = True
+_ALNUM[[*range(48, 58), *range(65, 91), *range(97, 123)]] = True
 _MARK[list(b".!?")] = True
 _OF_BYTE = np.random.default_rng(11).integers(0, 1 << 64, 256, np.uint64)
 
@@ -54,6 +56,34 @@ class Sums:
         return mixed((self.sums[after] - self.sums[first]) * self.down[first])
 
 
+class Places:
+    """A hash table from 64-bit hashes (not 0) to places (not 0), asked for many at a time."""
+
+    def __init__(self, slots: int):
+        self.keys, self.places = np.zeros(slots, np.uint64), np.zeros(slots, np.int32)
+
+    def find(self, h: np.ndarray) -> np.ndarray:
+        """Each hash's place, or 0."""
+        out, at, todo = np.zeros(len(h), np.int32), (h >> np.uint64(32)).astype(np.int64) % len(self.keys), np.arange(len(h))
+        while len(todo):
+            there = self.keys[at]
+            hit = there == h[todo]
+            out[todo[hit]] = self.places[at[hit]]
+            on = ~hit & (there != 0)
+            todo, at = todo[on], (at[on] + 1) % len(self.keys)
+        return out
+
+    def insert(self, h: np.ndarray, places: np.ndarray) -> None:
+        """Different hashes that aren't there yet; there must be room."""
+        at = (h >> np.uint64(32)).astype(np.int64) % len(self.keys)
+        while len(h):
+            free = self.keys[at] == 0
+            self.keys[at[free]] = h[free]
+            mine = free & (self.keys[at] == h)  # of several for one slot the last one has it
+            self.places[at[mine]] = places[mine]
+            h, places, at = h[~mine], places[~mine], (at[~mine] + 1) % len(self.keys)
+
+
 def sliding(x: np.ndarray, n: int, pick: np.ufunc) -> np.ndarray:
     """The smallest or largest of each ``n`` values in a row."""
     size = 1
@@ -65,17 +95,23 @@ def sliding(x: np.ndarray, n: int, pick: np.ufunc) -> np.ndarray:
 class Texts:
     """Some texts: ``starts``, ``ends`` and ``hashes`` of all their words in turn, ``first`` word and ``n`` words of each text.
 
-    A word is a run of bytes other than ASCII white space. Very long texts are hashed a part at a time, so that what is
-    held for them is a few numbers for each word.
+    A word is a run of bytes other than ASCII white space; with ``marks`` one of these bytes at a word's end, after a letter or
+    digit, is a word by itself. Very long texts are hashed a part at a time, so that what is held for them is a few numbers for each word.
     """
 
-    def __init__(self, texts: list[bytes]):
+    def __init__(self, texts: list[bytes], marks: bytes = b""):
         self.data = b"\n".join([*texts, b""])
         self.bytes = np.frombuffer(self.data, np.uint8)
         self.offsets = np.cumsum([0, *(len(x) + 1 for x in texts)])
         space = SPACE[self.bytes]
         edges = np.flatnonzero(np.diff(space.view(np.int8), prepend=np.int8(1)))
         self.starts, self.ends = edges[::2], edges[1::2]
+        if marks and len(self.starts):
+            last = self.bytes[self.ends - 1]
+            ended = np.flatnonzero(np.isin(last, np.frombuffer(marks, np.uint8)) & (self.ends - self.starts > 1))
+            ended = ended[_ALNUM[self.bytes[self.ends[ended] - 2]]]
+            after = self.ends[ended] - 1
+            self.starts, self.ends = np.insert(self.starts, ended + 1, after), np.insert(self.ends, ended, after)
         self.hashes = np.empty(len(self.starts), np.uint64)
         i = 0
         while i < len(self.starts):
@@ -87,51 +123,53 @@ class Texts:
         bounds = np.searchsorted(self.starts, self.offsets)
         self.first, self.n = bounds[:-1], np.diff(bounds)
 
+    @cached_property
     def sums(self) -> Sums:
         return Sums(self.hashes, _of_words)
 
+    @cached_property
     def sums_again(self) -> Sums:
         return Sums(self.hashes, _of_again)
 
-    def text_of(self, word: np.ndarray) -> np.ndarray:
-        """The number of the text of each of these words."""
-        return np.searchsorted(self.first, word, "right") - 1 if len(word) else np.zeros(0, np.int64)
+    @cached_property
+    def text(self) -> np.ndarray:
+        """The number of the text of each word."""
+        return np.repeat(np.arange(len(self.n)), self.n)
+
+    @cached_property
+    def breaks(self) -> np.ndarray:
+        """Where line breaks are."""
+        return np.flatnonzero(self.bytes == 10)
+
+    @cached_property
+    def sentence_ends(self) -> np.ndarray:
+        """Whether each word ends a sentence: its last byte is a mark that a blank follows."""
+        return _MARK[self.bytes[self.ends - 1]] & _BLANK[self.bytes[self.ends]]
 
     def line_ends(self) -> np.ndarray:
-        """For each word whether a line ends between it and the next one: at a line break, or after a sentence's last mark that
-        white space follows."""
-        if not len(self.starts):
-            return np.zeros(0, bool)
-        breaks = np.cumsum(self.bytes == 10, dtype=np.int64)
-        after = np.append(self.starts[1:], len(self.bytes))
-        return (breaks[after - 1] > breaks[self.ends - 1]) | (_MARK[self.bytes[self.ends - 1]] & _BLANK[self.bytes[self.ends]])
+        """Whether each word is its line's last: a line ends at a line break and with a sentence."""
+        out = self.sentence_ends.copy()
+        after = np.searchsorted(self.starts, self.breaks)
+        out[after[after > 0] - 1] = True
+        return out
 
     def line_counts(self) -> np.ndarray:
         """How many lines each text has, blank ones too; an empty text has one."""
-        new = self.bytes == 10
-        cut = np.zeros(len(self.bytes), bool)
-        cut[1:] = _MARK[self.bytes[:-1]] & _BLANK[self.bytes[1:]]
-        stops = self.offsets[1:] - 1
-        new[stops] = False
-        counts = np.concatenate([[0], np.cumsum(new | cut)])
-        n = counts[stops] - counts[self.offsets[:-1]]
-        # a last line without an end counts as well
-        for i in np.flatnonzero(np.diff(self.offsets) > 1):
-            a, b = self.offsets[i], stops[i]
-            if self.bytes[b - 1] == 10:
-                continue
-            c = b
-            while c > a and _BLANK[self.bytes[c - 1]]:
-                c -= 1
-            n[i] += not (c < b and c > a and _MARK[self.bytes[c - 1]])
-        return np.where(np.diff(self.offsets) > 1, n, 1)
-
-
-def grouped(texts: list[bytes]) -> Iterator[tuple[int, Texts]]:
+        at, stops, some = self.offsets[:-1], self.offsets[1:] - 1, self.n > 0
+        sentences = np.bincount(self.text[self.sentence_ends], minlength=len(self.n))
+        ended = np.searchsorted(self.breaks, stops) - np.searchsorted(self.breaks, at)
+        last = (self.first + self.n - 1)[some]
+        closed = (stops > at) & (self.bytes[stops - 1] == 10)
+        rest = np.searchsorted(self.breaks, stops[some]) == np.searchsorted(self.breaks, self.ends[last])
+        closed[some] |= self.sentence_ends[last] & rest
+        return sentences + ended + ~closed
+
+
+def grouped(texts: list[bytes], marks: bytes = b"") -> Iterator[tuple[int, Texts]]:
     """``(number of the first text, texts)`` of texts of a bounded size in all, or of a single text."""
     first, held = 0, 0
     for i, text in enumerate(texts):
         held += len(text)
         if held >= GROUP or i == len(texts) - 1:
-            yield first, Texts(texts[first : i + 1])
+            yield first, Texts(texts[first : i + 1], marks)
             first, held = i + 1, 0
