@@ -12,7 +12,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from arcloom.llm.common import lean, raw, small_batches
-from arcloom.llm.spans import Sums, Texts, grouped, mixed, sliding
+from arcloom.llm.spans import Texts, grouped, mixed, sliding
 from arcloom.scratch import cut
 
 #: Words of the shortest run that is found wherever it stands; words of the hashes of which a run's smallest is its sign.
@@ -75,7 +75,7 @@ class Runs:
         self.marks = np.zeros(0, np.int64)
         if n >= RUN:
             places = np.arange(n - GRAM + 1)
-            self.grams = texts.sums().of(places, places + GRAM)
+            self.grams = texts.sums.of(places, places + GRAM)
             least = sliding(self.grams, _SIGNS, np.minimum)
             left = np.repeat(texts.first + texts.n, texts.n) - np.arange(n)
             whole = left[: len(least)] >= RUN
@@ -84,17 +84,15 @@ class Runs:
             self.at = np.flatnonzero(whole)
             self.signs = least[self.at]
             self.marks = np.flatnonzero(most == self.grams)
-        self.text = texts.text_of(self.at)
+        self.text = texts.text[self.at]
         self.texts = texts
-        self._sums: Sums | None = None
 
     def digests(self, at: np.ndarray) -> np.ndarray:
-        self._sums = self._sums or self.texts.sums_again()
-        return self._sums.of(at, at + RUN)
+        return self.texts.sums_again.of(at, at + RUN)
 
     def marked(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """``(text, sign, whether it is the text's first)`` of the places whose hash is some run's sign."""
-        text = self.texts.text_of(self.marks)
+        text = self.texts.text[self.marks]
         signs = self.grams[self.marks] if len(self.marks) else np.zeros(0, np.uint64)
         return text, signs, _first(signs, text)
 
@@ -124,8 +122,8 @@ class Chunks:
         ends[(texts.first + texts.n - 1)[texts.n > 0]] = True
         self.after = np.flatnonzero(ends) + 1
         self.start = np.concatenate([[0], self.after[:-1]]) if len(self.after) else self.after
-        self.text = texts.text_of(self.start)
-        lines = texts.sums().of(self.start, self.after) if len(self.after) else np.zeros(0, np.uint64)
+        self.text = texts.text[self.start]
+        lines = texts.sums.of(self.start, self.after) if len(self.after) else np.zeros(0, np.uint64)
         n, none = len(lines), np.uint64(0)
         pair = np.append(self.text[1:] == self.text[:-1], False)[:n]
         rolled = mixed(lines * np.uint64(0x9E3779B185EBCA87) + np.roll(lines, -1))
@@ -175,27 +173,20 @@ def _parts(i: int, before: bytes, middle: bytes, after: bytes) -> Iterator[tuple
         yield slice(i, i + 3), 2, middle + b"\n" + after
 
 
-def _hashes(docs: DataFrame, of: Callable[[Texts], np.ndarray]) -> DataFrame:
-    """The hashes ``of`` texts, as a column ``hash``."""
+def _signs(docs: DataFrame) -> DataFrame:
+    """The different signs of each text's runs, as a column ``hash``."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
+            out = [np.zeros(0, np.uint64)]
             for _, texts in grouped(raw(batch, "text")):
-                yield pa.RecordBatch.from_arrays([pa.array(of(texts).view(np.int64))], ["hash"])
+                _, signs, first = Runs(texts).marked()
+                out.append(signs[first])
+            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(out).view(np.int64))], ["hash"])
 
     return docs.select("text").mapInArrow(lean(run), "hash long")
 
 
-def _signs_of(texts: Texts) -> np.ndarray:
-    _, signs, first = Runs(texts).marked()
-    return signs[first]
-
-
-def _middles_of(texts: Texts) -> np.ndarray:
-    chunks = Chunks(texts)
-    return chunks.hashes[_first(chunks.hashes, chunks.text[chunks.middle])]
-
-
 @dataclass
 class Repeats:
     """Filters of the hashes that repeat and of those that repeat often, and the number of groups that the latter are dealt to."""
@@ -227,7 +218,10 @@ def _segments(batch: pa.RecordBatch, repeats: Repeats) -> Iterator[pa.RecordBatc
 
 
 def _middles(batch: pa.RecordBatch, repeats: Repeats) -> Iterator[pa.RecordBatch]:
-    """Of each text's chunks whose middle is in the filter, one row for each that isn't as it was before in the text: lengths and bytes of its parts."""
+    """Of each text's chunks whose middle is in the filter, one row for each that isn't as it was before in the text: lengths and bytes of its parts.
+    Texts none of whose ``marks`` are in it aren't looked at."""
+    marks, of = _marks(batch)
+    batch = batch.filter(pa.array(np.bincount(of[repeats.some.has(marks)], minlength=batch.num_rows) > 0))
     for first, texts in grouped(raw(batch, "text")):
         chunks = Chunks(texts)
         text = chunks.text[chunks.middle]
@@ -239,6 +233,12 @@ def _middles(batch: pa.RecordBatch, repeats: Repeats) -> Iterator[pa.RecordBatch
         yield _rows(batch, first + text[kept], chunks.middle[kept] - no[text[kept]], chunks.hashes[kept], pa.array(keys, pa.binary()), repeats)
 
 
+def _marks(batch: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray]:
+    """All hashes of the column ``marks``, and the row of each."""
+    lists = batch.column("marks")
+    return lists.flatten().to_numpy().view(np.uint64), np.repeat(np.arange(len(lists)), pc.fill_null(pc.list_value_length(lists), 0).to_numpy())
+
+
 def _rows(batch: pa.RecordBatch, row: np.ndarray, k: np.ndarray, hashes: np.ndarray, keys: pa.Array, repeats: Repeats) -> pa.RecordBatch:
     at = pa.array(row)
     h = batch.column("h").take(at)
@@ -343,7 +343,7 @@ def _later_chunks(rows: pa.Table, state: list) -> tuple:
     return row, first, after, of_hash, open_keys
 
 
-def _moved(base: DataFrame, drops: DataFrame, rebuild: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], fields: str, n: int) -> DataFrame:
+def _moved(base: DataFrame, drops: DataFrame, rebuild: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], fields: str) -> DataFrame:
     """``rebuild`` over all documents; only those that a filter of a fixed size takes for documents with drops are shuffled, compressed, to meet them."""
     spark = base.sparkSession
     per_doc = drops.groupBy("id", "h").agg(F.collect_list(F.shiftleft(F.col("a").cast("long"), 32).bitwiseOR(F.col("b").cast("long"))).alias("_drop"))
@@ -444,10 +444,9 @@ def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     kind = docs.schema[id_col].dataType.simpleString()
     place = f"id {kind}, h long, k int, hash long, deal int, keys binary"
 
-    def found(texts: DataFrame, hashes: Callable, rows: Callable, later: Callable) -> DataFrame:
+    def found(some: DataFrame, hashes: DataFrame, rows: Callable, later: Callable) -> DataFrame:
         """``(id, h, a, b)`` of what goes."""
-        some = texts.where(F.col("text").isNotNull()).select("id", "h", "text")
-        repeats = spark.sparkContext.broadcast(_repeats(_hashes(some, hashes)))
+        repeats = spark.sparkContext.broadcast(_repeats(hashes))
 
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for batch in batches:
@@ -457,9 +456,9 @@ def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
 
     def without_runs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            out, n_lines, n_gone, null = raw(batch, "text"), [], [], batch.column("text").is_null().to_pylist()
+            out, n_lines, n_gone, null, marks, n_marks = raw(batch, "text"), [], [], batch.column("text").is_null().to_pylist(), [], []
             for first, texts in grouped(list(out)):
-                runs = Runs(texts)
+                runs, same = Runs(texts), True
                 again = runs.at[runs.again()]
                 counts, ends, of = texts.line_counts(), None, np.searchsorted(again, np.append(texts.first, len(texts.hashes)))
                 for i in range(len(texts.n)):
@@ -473,34 +472,43 @@ def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
                         ends = texts.line_ends() if ends is None else ends
                         lines = np.cumsum(np.append(0, ends[texts.first[i] : texts.first[i] + texts.n[i]][:-1]))
                         n_gone[-1] = len(np.unique(lines[gone]))
-                        out[first + i] = _without(texts, i, gone)
-            yield _result(batch, out, null, [*kept, "id", "h"], pa.array(n_lines, pa.int32()), pa.array(n_gone, pa.int32()))
+                        out[first + i], same = _without(texts, i, gone), False
+                chunks = Chunks(texts if same else Texts(out[first : first + len(texts.n)]))
+                marks.append(chunks.hashes)
+                n_marks.append(np.bincount(chunks.text[chunks.middle], minlength=len(texts.n)))
+            offsets = np.cumsum(np.concatenate([np.zeros(1, np.int64), *n_marks])).astype(np.int32)
+            lists = pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.concatenate([np.zeros(0, np.uint64), *marks]).view(np.int64)))
+            yield _result(batch, out, null, [*kept, "id", "h"], n_lines=pa.array(n_lines, pa.int32()), n_removed=pa.array(n_gone, pa.int32()), marks=lists)
 
     def without_chunks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
+            marks, of = _marks(batch)
+            again = np.bincount(of[~_first(marks, of)], minlength=batch.num_rows) > 0
+            asked = [i for i in range(batch.num_rows) if again[i] or _drops_of(batch, i) is not None]
             out, null, n_gone = raw(batch, "text"), batch.column("text").is_null().to_pylist(), batch.column("n_removed").to_pylist()
-            for first, texts in grouped(list(out)):
+            for first, texts in grouped([out[i] for i in asked]):
                 chunks = Chunks(texts)
-                again = chunks.again()
-                of = np.searchsorted(chunks.text, np.arange(len(texts.n) + 1))
-                for i in range(len(texts.n)):
-                    gone, more = again[of[i] : of[i + 1]], _drops_of(batch, first + i)
+                lost, of = chunks.again(), np.searchsorted(chunks.text, np.arange(len(texts.n) + 1))
+                for k, i in enumerate(asked[first : first + len(texts.n)]):
+                    mine = slice(of[k], of[k + 1])
+                    gone, more = lost[mine], _drops_of(batch, i)
                     if more is not None:
                         gone = gone | _covered(len(gone), more)
                     if gone.any():
-                        n_gone[first + i] += int(gone.sum())
-                        mine = slice(of[i], of[i + 1])
-                        out[first + i] = _without(texts, i, np.repeat(gone, chunks.after[mine] - chunks.start[mine]))
-            yield _result(batch, out, null, kept, batch.column("n_lines"), pa.array(n_gone, pa.int32()))
+                        n_gone[i] += int(gone.sum())
+                        out[i] = _without(texts, k, np.repeat(gone, chunks.after[mine] - chunks.start[mine]))
+            yield _result(batch, out, null, kept, n_lines=batch.column("n_lines"), n_removed=pa.array(n_gone, pa.int32()))
 
     kinds = {f.name: f.dataType.simpleString() for f in base.schema}
     own = [f"{c} {kinds[c]}" for c in kept]
     counted = "text string, n_lines int, n_removed int"
-    once = cut(_moved(base, found(base, _signs_of, _segments, _later_runs), without_runs, ", ".join([*own, f"id {kind}", "h long", counted]), RUN))
-    twice = _moved(once, found(once, _middles_of, _middles, _later_chunks), without_chunks, ", ".join([*own, counted]), 0)
+    some = base.where(F.col("text").isNotNull()).select("id", "h", "text")
+    once = cut(_moved(base, found(some, _signs(some), _segments, _later_runs), without_runs, ", ".join([*own, f"id {kind}", "h long", counted, "marks array<long>"])))
+    marked = once.where(F.size("marks") > 0).select("id", "h", "text", "marks")
+    twice = _moved(once, found(marked, marked.select(F.explode(F.array_distinct("marks")).alias("hash")), _middles, _later_chunks), without_chunks, ", ".join([*own, counted]))
     return twice.select(*(F.col("text" if j == text_at else f"c{j}").alias(c) for j, c in enumerate(names)), "n_lines", "n_removed")
 
 
-def _result(batch: pa.RecordBatch, texts: list[bytes], null: list[bool], columns: list[str], n_lines: pa.Array, n_removed: pa.Array) -> pa.RecordBatch:
-    made = pa.array([None if x else t for t, x in zip(texts, null, strict=True)], pa.binary()).cast(pa.string())
-    return pa.RecordBatch.from_arrays([*(batch.column(c) for c in columns), made, n_lines, n_removed], [*columns, "text", "n_lines", "n_removed"])
+def _result(batch: pa.RecordBatch, texts: list[bytes], null: list[bool], columns: list[str], **made: pa.Array) -> pa.RecordBatch:
+    text = pa.array([None if x else t for t, x in zip(texts, null, strict=True)], pa.binary()).cast(pa.string())
+    return pa.RecordBatch.from_arrays([*(batch.column(c) for c in columns), text, *made.values()], [*columns, "text", *made])
