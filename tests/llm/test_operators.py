@@ -113,25 +113,67 @@ def test_lm_learns_from_every_token(spark):
     texts = [(i, " ".join(f"q{i}x{j}" for j in range(30))) for i in range(30)]
     s = lm.Settings(top=8, spelled=8, buckets=1 << 16)
     blocks = lm.cut(lm.blocks_of(frame(spark, texts), "doc_id", "text", F.lit(False)))
-    model = lm.statistics(lm.vocabulary(blocks), s)
+    words = lm.vocabulary(blocks, s).groupBy("hash").agg(F.min("k").alias("k"), F.sum("n").alias("c"))
+    model = lm.statistics(words, s)
+    classes, members = model.classes.copy(), model.members.copy()
     for turn in range(s.rounds):
-        model.weights = model.weights + lm.train_round(blocks, model, turn)
-    last = 1 + s.skips * s.classes + s.buckets
-    assert all(model.weights[last + zlib.crc32(w.encode()) % s.buckets].any() for _, t in texts for w in t.split())
+        changes = lm.train_round(blocks, model, turn)
+        model.classes, model.members = model.classes + changes[0], model.members + changes[1]
+    for _, t in texts:
+        tokens = lm.Tokens.of(lm.Texts([t.encode()]))
+        of_class, of_member = model.features(model.cells(tokens.hashes, lm._shared_cell(tokens.hashes, tokens.spelling, s)), tokens.place)
+        assert all((model.classes[r] != classes[r]).any(1).all() for r in of_class) and all((model.members[r] != members[r]).any(1).all() for r in of_member)
 
 
 def test_lm_sums_to_one():
-    s = lm.Settings(top=3, spelled=4, buckets=8)
-    m = lm.Model(s, {b" ": 0, b"a": 1, b"b": 2})
+    s = lm.Settings(top=3, spelled=2, members=4, buckets=8)
+    m = lm.Model(s, np.arange(1, 13, dtype=np.uint64))
     rng = np.random.default_rng(0)
-    m.weights = rng.normal(0, 1, (s.rows, s.classes)).astype(np.float32)
-    symbols, words = np.array([1, 5, 0, 2]), np.array([11, 12, 13, 14])
-    rows = m.features(symbols, words, np.arange(4))
-    total = sum(10 ** m.log_class(rows, np.full(4, k)) for k in range(s.classes))
-    assert np.allclose(total, 1, atol=1e-4)
-    mass, types, d = np.array([9.0, 5, 4, 7, 0, 3, 2]), np.array([1, 1, 1, 4, 0, 2, 2]), np.array([0, 0, 0, 0.5, 0.5, 0.3, 0.9])
-    unknown = np.divide(d * types, mass, out=np.ones(7), where=mass > 0)
-    assert np.allclose(np.divide(mass - d * types, mass, out=np.zeros(7), where=mass > 0) + unknown, 1)
+    m.classes, m.members = rng.normal(0, 2, m.classes.shape).astype(np.float32), rng.normal(0, 2, m.members.shape).astype(np.float32)
+    assert sorted(m.own[1:]) == list(range(12)) and m.own[1] == 0
+    for before in ([], [3], [5, 17], [19, 0, 7]):
+        total = sum(10 ** m.log_cells(np.array([*before, k]), np.arange(len(before) + 1))[-1] for k in range(s.cells))
+        assert abs(total - 1) < 1e-4
+    far = [10 ** m.log_cells(np.array([*x, 4]), np.arange(4))[-1] for x in ([1, 2, 3], [9, 2, 3], [1, 9, 3], [1, 2, 9])]
+    assert len({round(x, 9) for x in far}) == 4  # words at all three distances tell
+    mass, types, d = np.array([7.0, 0, 3, 2]), np.array([4, 0, 2, 2]), np.array([0.5, 0.5, 0.3, 0.9])
+    unknown = np.divide(d * types, mass, out=np.ones(4), where=mass > 0)
+    assert np.allclose(np.divide(mass - d * types, mass, out=np.zeros(4), where=mass > 0) + unknown, 1)
+
+
+def test_lm_probabilities_of_a_whole_vocabulary_sum_to_one(spark):
+    """After one word, the probabilities of all words of training and of one unknown word for each shared cell, as ``score`` gives them."""
+    rng = random.Random(3)
+    vocabulary = [f"{a}{i}" for i in range(40) for a in ("ka", "lo")]
+    s = lm.Settings(top=2, spelled=2, members=4, buckets=32)
+    train = [(i, " ".join(rng.choice(vocabulary) for _ in range(30))) for i in range(60) if zlib.crc32(str(i).encode()) % 7 != 2]
+    learned = sorted({w for _, t in train for w in t.split()})
+    tokens = lm.Tokens.of(lm.Texts([f"u{i}".encode() for i in range(3000)]))
+    cells = lm._shared_cell(tokens.hashes, tokens.spelling, s)
+    unknown = {int(k): f"u{i}" for i, k in enumerate(cells[::2])}
+    more = [w for p in "abcdefghijklmnop" for w in (f"{p}{i}" for i in range(40))]
+    other = lm.Tokens.of(lm.Texts([w.encode() for w in more]))
+    unknown |= {int(k): w for w, k in zip(more, lm._shared_cell(other.hashes, other.spelling, s)[::2])}
+    assert set(unknown) == set(range(s.top * s.members, s.cells))
+    held = [i for i in range(10**6) if zlib.crc32(str(i).encode()) % 7 == 2]
+    asked = ["", *learned, *unknown.values()]
+    texts = [*train, *((held[i], f"{learned[0]} {w}") for i, w in enumerate(asked))]
+    rows = {r.doc_id: r for r in lm.score(frame(spark, texts), held_out(7, 2), settings=s).collect()}
+    # P(start, word, end) / P(start): the end's probability depends on the word, so add one step less
+    blocks = lm.cut(lm.blocks_of(frame(spark, train), "doc_id", "text", F.lit(False)))
+    words = lm.vocabulary(blocks, s).groupBy("hash").agg(F.min("k").alias("k"), F.sum("n").alias("c"))
+    m = lm.statistics(words, s)
+    known = {r["hash"]: r.c for r in words.collect()}
+    assert len(known) == len(learned) + 1 and m.tokens == sum(known.values()) == rows[held[0]].train_tokens
+    total = 0.0
+    for w in [None, *learned, *unknown.values()]:
+        t = lm.Tokens.of(lm.Texts([f"{learned[0]} {w or ''}".encode()]))
+        cell = m.cells(t.hashes, lm._shared_cell(t.hashes, t.spelling, s))
+        c = known.get(int(t.hashes[1].astype(np.int64)), 0)
+        within = 1.0 if cell[1] < s.top * s.members else (c - m.discount[cell[1]]) / m.mass[cell[1]] if c else m.unknown[cell[1]]
+        total += within * 10 ** m.log_cells(cell, t.place)[1]
+    assert abs(total - 1) < 1e-4
+    assert all(np.isfinite(r.score) and r.score < 0 for r in rows.values())
 
 
 # top-k
