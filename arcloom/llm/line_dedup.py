@@ -8,7 +8,8 @@ from dataclasses import dataclass
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import Column, DataFrame
+from pyspark import Broadcast
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from arcloom.llm.common import lean, raw, small_batches
@@ -20,8 +21,9 @@ RUN, GRAM = 50, 25
 _SIGNS = RUN - GRAM + 1
 #: Words that the two lines of a chunk's middle have at least.
 LEAST_WORDS = 10
-#: Bits of the filters, a fixed size whatever the corpus. They only let too much through as they fill.
-FILTER_BITS = 1 << 27
+#: Bits of the filters of hashes that repeat, of those that repeat often, and of documents: fixed sizes whatever the corpus. They only let too
+#: much through as they fill.
+SOME_BITS, MANY_BITS, DOC_BITS = 1 << 27, 1 << 24, 1 << 25
 #: Places of one hash beyond which they are dealt to several groups, and places in all for which one more group is made.
 MANY, EACH_GROUP = 1000, 4_000_000
 #: Rows that a task compares at a time, and keys of a dealt group that it keeps.
@@ -43,20 +45,26 @@ def _first(*keys: np.ndarray) -> np.ndarray:
 
 @dataclass
 class Bits:
-    """A filter of ``FILTER_BITS`` bits over 64-bit hashes."""
+    """A filter over 64-bit hashes, eight bits to a byte; it travels compressed."""
 
     words: np.ndarray
 
+    def __getstate__(self) -> tuple[bytes, int]:
+        return pa.compress(self.words.tobytes(), "zstd", asbytes=True), len(self.words)
+
+    def __setstate__(self, state: tuple[bytes, int]) -> None:
+        self.words = np.frombuffer(pa.decompress(state[0], state[1], "zstd", asbytes=True), np.uint8)
+
     def has(self, h: np.ndarray) -> np.ndarray:
-        at = (h % np.uint64(FILTER_BITS)).astype(np.int64)
+        at = (h % np.uint64(8 * len(self.words))).astype(np.int64)
         return (self.words[at >> 3] >> (at & 7).astype(np.uint8) & 1).astype(bool)
 
 
-def _filter(hashes: DataFrame) -> Bits:
+def _filter(hashes: DataFrame, bits: int) -> Bits:
     """The filter of the column ``hash``; bitmaps are made where the rows are and only they come to the driver."""
-    at = F.pmod(F.col("hash"), F.lit(FILTER_BITS)) + 1
+    at = F.pmod(F.col("hash"), F.lit(bits)) + 1
     rows = hashes.groupBy(F.bitmap_bucket_number(at).alias("b")).agg(F.bitmap_construct_agg(F.bitmap_bit_position(at)).alias("m")).collect()
-    words = np.zeros(FILTER_BITS >> 3, np.uint8)
+    words = np.zeros(bits >> 3, np.uint8)
     for b, m in rows:
         words[(b - 1) << 12 : b << 12] = np.frombuffer(m, np.uint8)
     return Bits(words)
@@ -199,7 +207,7 @@ class Repeats:
 def _repeats(hashes: DataFrame) -> Repeats:
     counts = cut(hashes.groupBy("hash").count().where("count > 1"))
     total = counts.agg(F.sum("count")).first()[0] or 0
-    return Repeats(_filter(counts), _filter(counts.where(F.col("count") > MANY)), 16 + int(total) // EACH_GROUP)
+    return Repeats(_filter(counts, SOME_BITS), _filter(counts.where(F.col("count") > MANY), MANY_BITS), 16 + int(total) // EACH_GROUP)
 
 
 def _segments(batch: pa.RecordBatch, repeats: Repeats) -> Iterator[pa.RecordBatch]:
@@ -343,11 +351,11 @@ def _later_chunks(rows: pa.Table, state: list) -> tuple:
     return row, first, after, of_hash, open_keys
 
 
-def _moved(base: DataFrame, drops: DataFrame, rebuild: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], fields: str) -> DataFrame:
-    """``rebuild`` over all documents; only those that a filter of a fixed size takes for documents with drops are shuffled, compressed, to meet them."""
+def _moved(base: DataFrame, drops: DataFrame, rebuild: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], fields: str) -> tuple[DataFrame, Broadcast]:
+    """``rebuild`` over all documents, and the broadcast that it needs; only those that a filter of a fixed size takes for documents with drops are shuffled, compressed, to meet them."""
     spark = base.sparkSession
     per_doc = drops.groupBy("id", "h").agg(F.collect_list(F.shiftleft(F.col("a").cast("long"), 32).bitwiseOR(F.col("b").cast("long"))).alias("_drop"))
-    bits = spark.sparkContext.broadcast(_filter(drops.select(F.xxhash64("id", "h").alias("hash"))))
+    bits = spark.sparkContext.broadcast(_filter(drops.select(F.xxhash64("id", "h").alias("hash")), DOC_BITS))
     names = base.columns
 
     def part(moving: bool) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
@@ -377,7 +385,7 @@ def _moved(base: DataFrame, drops: DataFrame, rebuild: Callable[[Iterator[pa.Rec
             texts = [None if x is None else pa.decompress(x, size, "zstd", asbytes=True) for x, size in zip(batch.column("packed").to_pylist(), batch.column("size").to_pylist(), strict=True)]
             yield from rebuild(iter([pa.RecordBatch.from_arrays([*(batch.column(c) for c in names if c != "text"), pa.array(texts, pa.binary()), batch.column("_drop")], [*(c for c in names if c != "text"), "text", "_drop"])]))
 
-    return stay.unionByName(met.mapInArrow(lean(unpacked), fields))
+    return stay.unionByName(met.mapInArrow(lean(unpacked), fields)), bits
 
 
 def _drops_of(batch: pa.RecordBatch, at: int) -> np.ndarray | None:
@@ -452,12 +460,15 @@ def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
             for batch in batches:
                 yield from rows(batch, repeats.value)
 
-        return _compared(some.mapInArrow(lean(run), place), kind, later)
+        gone = _compared(some.mapInArrow(lean(run), place), kind, later)
+        repeats.destroy()
+        return gone
 
     def without_runs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            out, n_lines, n_gone, null, marks, n_marks = raw(batch, "text"), [], [], batch.column("text").is_null().to_pylist(), [], []
-            for first, texts in grouped(list(out)):
+            before, n_lines, n_gone, null, marks, n_marks = raw(batch, "text"), [], [], batch.column("text").is_null().to_pylist(), [], []
+            out = list(before)
+            for first, texts in grouped(before):
                 runs, same = Runs(texts), True
                 again = runs.at[runs.again()]
                 counts, ends, of = texts.line_counts(), None, np.searchsorted(again, np.append(texts.first, len(texts.hashes)))
@@ -478,15 +489,15 @@ def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
                 n_marks.append(np.bincount(chunks.text[chunks.middle], minlength=len(texts.n)))
             offsets = np.cumsum(np.concatenate([np.zeros(1, np.int64), *n_marks])).astype(np.int32)
             lists = pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.concatenate([np.zeros(0, np.uint64), *marks]).view(np.int64)))
-            yield _result(batch, out, null, [*kept, "id", "h"], n_lines=pa.array(n_lines, pa.int32()), n_removed=pa.array(n_gone, pa.int32()), marks=lists)
+            yield _result(batch, {i: x for i, x in enumerate(out) if x is not before[i]}, [*kept, "id", "h"], n_lines=pa.array(n_lines, pa.int32()), n_removed=pa.array(n_gone, pa.int32()), marks=lists)
 
     def without_chunks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             marks, of = _marks(batch)
             again = np.bincount(of[~_first(marks, of)], minlength=batch.num_rows) > 0
             asked = [i for i in range(batch.num_rows) if again[i] or _drops_of(batch, i) is not None]
-            out, null, n_gone = raw(batch, "text"), batch.column("text").is_null().to_pylist(), batch.column("n_removed").to_pylist()
-            for first, texts in grouped([out[i] for i in asked]):
+            out, n_gone = {}, batch.column("n_removed").to_pylist()
+            for first, texts in grouped(batch.column("text").take(pa.array(asked, pa.int64())).cast(pa.binary()).to_pylist()):
                 chunks = Chunks(texts)
                 lost, of = chunks.again(), np.searchsorted(chunks.text, np.arange(len(texts.n) + 1))
                 for k, i in enumerate(asked[first : first + len(texts.n)]):
@@ -497,18 +508,24 @@ def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
                     if gone.any():
                         n_gone[i] += int(gone.sum())
                         out[i] = _without(texts, k, np.repeat(gone, chunks.after[mine] - chunks.start[mine]))
-            yield _result(batch, out, null, kept, n_lines=batch.column("n_lines"), n_removed=pa.array(n_gone, pa.int32()))
+            yield _result(batch, out, kept, n_lines=batch.column("n_lines"), n_removed=pa.array(n_gone, pa.int32()))
 
     kinds = {f.name: f.dataType.simpleString() for f in base.schema}
     own = [f"{c} {kinds[c]}" for c in kept]
     counted = "text string, n_lines int, n_removed int"
     some = base.where(F.col("text").isNotNull()).select("id", "h", "text")
-    once = cut(_moved(base, found(some, _signs(some), _segments, _later_runs), without_runs, ", ".join([*own, f"id {kind}", "h long", counted, "marks array<long>"])))
+    moved, bits = _moved(base, found(some, _signs(some), _segments, _later_runs), without_runs, ", ".join([*own, f"id {kind}", "h long", counted, "marks array<long>"]))
+    once = cut(moved)
+    bits.destroy()
     marked = once.where(F.size("marks") > 0).select("id", "h", "text", "marks")
-    twice = _moved(once, found(marked, marked.select(F.explode(F.array_distinct("marks")).alias("hash")), _middles, _later_chunks), without_chunks, ", ".join([*own, counted]))
+    twice, _ = _moved(once, found(marked, marked.select(F.explode(F.array_distinct("marks")).alias("hash")), _middles, _later_chunks), without_chunks, ", ".join([*own, counted]))
     return twice.select(*(F.col("text" if j == text_at else f"c{j}").alias(c) for j, c in enumerate(names)), "n_lines", "n_removed")
 
 
-def _result(batch: pa.RecordBatch, texts: list[bytes], null: list[bool], columns: list[str], **made: pa.Array) -> pa.RecordBatch:
-    text = pa.array([None if x else t for t, x in zip(texts, null, strict=True)], pa.binary()).cast(pa.string())
+def _result(batch: pa.RecordBatch, changed: dict[int, bytes], columns: list[str], **made: pa.Array) -> pa.RecordBatch:
+    """The batch with some texts changed, its ``columns``, and what was ``made``."""
+    text = batch.column("text")
+    if changed:
+        text = pa.array([changed.get(i, x) for i, x in enumerate(text.cast(pa.binary()).to_pylist())], pa.binary())
+    text = text.cast(pa.string())
     return pa.RecordBatch.from_arrays([*(batch.column(c) for c in columns), text, *made.values()], [*columns, "text", *made])
