@@ -147,15 +147,15 @@ _loaded: dict[str | None, WordIds] = {}
 
 
 def pieces(docs: DataFrame, id_col: str, text_col: str, tokenizer: str | None, capacity: int, with_ids: bool) -> DataFrame:
-    """``doc_id, piece, start, length, ids_crc32`` (and ``ids``, if asked for) of every piece of every document."""
+    """``doc_id, piece, start, length, ids_crc32, n`` (and ``ids``, if asked for) of every piece of every document; ``n`` counts a task's pieces."""
     small_batches(docs.sparkSession)
-    fields = f"doc_id {docs.schema[id_col].dataType.simpleString()}, piece int, start long, length long, ids_crc32 long" + ", ids binary" * with_ids
+    fields = f"doc_id {docs.schema[id_col].dataType.simpleString()}, piece int, start long, length long, ids_crc32 long, n long" + ", ids binary" * with_ids
     names = [f.split()[0] for f in fields.split(", ")]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         if tokenizer not in _loaded:
             _loaded[tokenizer] = WordIds(tokenizer)
-        words = _loaded[tokenizer]
+        words, made = _loaded[tokenizer], 0
         for batch in batches:
             texts = raw(batch, "text")
             special = {i: words.whole(x) for i, x in enumerate(texts) if b"<|" in x}
@@ -171,7 +171,8 @@ def pieces(docs: DataFrame, id_col: str, text_col: str, tokenizer: str | None, c
                         if with_ids:
                             cut_ids.append(part.astype("<u4", copy=False).tobytes())
             of_row = batch.column("doc_id").take(pa.array(row, pa.int64()))
-            columns = [of_row, pa.array(piece, pa.int32()), pa.array(start, pa.int64()), pa.array(length, pa.int64()), pa.array(crc, pa.int64())]
+            columns = [of_row, pa.array(piece, pa.int32()), pa.array(start, pa.int64()), pa.array(length, pa.int64()), pa.array(crc, pa.int64()), pa.array(np.arange(made, made + len(row)))]
+            made += len(row)
             yield pa.RecordBatch.from_arrays(columns + [pa.array(cut_ids, pa.binary())] * with_ids, names)
 
     return docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text")).mapInArrow(lean(run), fields)
@@ -253,7 +254,7 @@ def pack(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", tokeni
     are packed each by itself; null ids stay null; an empty table gives no rows; other columns are ignored. Ties go to any order.
 
     Only the count of each length, at most ``capacity`` numbers, comes to the driver. Pieces of one length get their
-    ranks in salted buckets, so a length that a third of the pieces have is spread out; the runs of the plan, whose
+    ranks in salted buckets, so a length that a third of the pieces have is spread out, even if these repeat one row; the runs of the plan, whose
     number the capacity bounds, then turn a rank into a bin and an offset.
     """
     spark = docs.sparkSession
@@ -262,12 +263,12 @@ def pack(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", tokeni
     buckets = max(64, sum(counts.values()) // PIECES_PER_BUCKET)
     runs = sorted(best_fit_decreasing(counts, capacity))
     arrays = [np.array(x, np.int64) for x in zip(*runs, strict=True)] if runs else [np.zeros(0, np.int64)] * 5
-    plan, columns = spark.sparkContext.broadcast(arrays), list(made.columns)
+    plan, columns = spark.sparkContext.broadcast(arrays), [c for c in made.columns if c != "n"]
 
-    bucketed = made.withColumn("_b", F.pmod(F.xxhash64("doc_id", "piece", "ids_crc32"), F.lit(buckets)))
+    bucketed = made.withColumn("_b", F.pmod(F.xxhash64("doc_id", "piece", "n"), F.lit(buckets)))
     before = bucketed.groupBy("length", "_b").count().withColumn("_before", F.coalesce(F.sum("count").over(Window.partitionBy("length").orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))).select("length", "_b", "_before")
-    ranked = bucketed.withColumn("_n", F.row_number().over(Window.partitionBy("length", "_b").orderBy("doc_id", "piece"))).join(before, ["length", "_b"])
-    ranked = ranked.select(*made.columns, (F.col("_before") + F.col("_n") - 1).alias("rank"))
+    ranked = bucketed.withColumn("_n", F.row_number().over(Window.partitionBy("length", "_b").orderBy("doc_id", "piece", "n"))).join(before, ["length", "_b"])
+    ranked = ranked.select(*columns, (F.col("_before") + F.col("_n") - 1).alias("rank"))
 
     def place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         lengths, ranks, each, first, offset = plan.value
@@ -279,5 +280,5 @@ def pack(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", tokeni
             kept = [batch.column(c) for c in columns]
             yield pa.RecordBatch.from_arrays([*kept, pa.array(first[at] + i // each[at]), pa.array(offset[at] + i % each[at] * n)], [*columns, "sequence_id", "offset"])
 
-    kinds = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in made.schema)
+    kinds = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in made.schema if f.name != "n")
     return ranked.mapInArrow(place, f"{kinds}, sequence_id long, offset long")
