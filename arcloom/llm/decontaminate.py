@@ -12,6 +12,7 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_type
 
 from arcloom.llm.common import lean, raw, small_batches
 
@@ -177,7 +178,7 @@ def leaks(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_co
     small_batches(spark)
     kinds = f"doc_id {docs.schema[id_col].dataType.simpleString()}, item_id {benchmark.schema[item_col].dataType.simpleString()}, similarity double, first_word long, n_words long"
     names = [x.split()[0] for x in kinds.split(", ")]
-    item_kind = pa.int64() if "int" in benchmark.schema[item_col].dataType.simpleString() else pa.string()
+    item_kind = to_arrow_type(benchmark.schema[item_col].dataType)
     narrow = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text")).where("text is not null")
 
     def one(part: Benchmark) -> DataFrame:

@@ -12,7 +12,7 @@ def sample(docs: DataFrame, labels: DataFrame, label_col: str, learn: Column, ea
     """At most ``each`` labelled documents of either class, by the id's hash over all of them, and the classes' sizes.
 
     ``learn`` picks the rows of ``labels`` that may be learned from. Labels other than 0 and 1 and null ids or texts
-    take no part; of an id with several labels the largest counts.
+    take no part; of an id with several labels the largest counts, of one with several texts that of the smallest hash.
     """
     small_batches(docs.sparkSession)
     rows = labels.where(learn & F.col(id_col).isNotNull()).where(F.col(label_col).isin(0, 1)).groupBy(id_col).agg(F.max(label_col).alias("y"))
@@ -22,4 +22,5 @@ def sample(docs: DataFrame, labels: DataFrame, label_col: str, learn: Column, ea
         return [], sizes
     few = docs.sparkSession.createDataFrame(keys, f"{id_col} {labels.schema[id_col].dataType.simpleString()}, y int")
     found = docs.select(id_col, F.col(text_col).cast("binary").alias("text")).where("text is not null").join(F.broadcast(few), id_col)
+    found = found.groupBy(id_col, "y").agg(F.min_by("text", F.xxhash64("text")).alias("text"))
     return sorted((r[id_col], int(r["y"]), bytes(r["text"])) for r in found.toLocalIterator()), sizes

@@ -132,10 +132,16 @@ def first_of_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     """
     members = cut(fingerprints(docs, id_col, text_col, words_in_shingle))
     first = _classes(members, radius).groupBy("root").agg(F.min("least").alias("f"))
-    keep = cut(first.select(F.col("f.doc_id").alias("_id"), F.col("f.h").alias("_h")))
-    text_hash = F.xxhash64(docs[text_col])
-    kept = docs.join(keep, docs[id_col].eqNullSafe(keep["_id"]) & (text_hash == keep["_h"]))
-    return kept.dropDuplicates(["_id", "_h"]).drop("_id", "_h")
+    return _kept(docs, first, id_col, text_col)
+
+
+def _kept(docs: DataFrame, first: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """The rows of ``docs`` that column ``f`` of ``first`` names by id and text hash, one each, with all columns as they were."""
+    keep = cut(first.select(F.col("f.doc_id").alias("id"), F.col("f.h").alias("h")))
+    at = {c: f"c{i}" for i, c in enumerate(docs.columns)}
+    rows = docs.toDF(*at.values())
+    kept = rows.join(keep, rows[at[id_col]].eqNullSafe(keep["id"]) & (F.xxhash64(rows[at[text_col]]) == keep["h"]))
+    return kept.dropDuplicates(["id", "h"]).select(*(F.col(x).alias(c) for c, x in at.items()))
 
 
 def shingle_set(words: np.ndarray) -> np.ndarray:
@@ -230,6 +236,4 @@ def first_of_similar(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
     nodes = cut(members.groupBy("s").agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "h")).alias("least")))
     roots = star_components(cut(similar_links(narrow.select("h", "text"), members)), "a", "b")
     rooted = nodes.join(roots, nodes["s"] == roots["node"], "left").select(F.coalesce("root", "s").alias("root"), "least")
-    keep = cut(rooted.groupBy("root").agg(F.min("least").alias("f")).select(F.col("f.doc_id").alias("_id"), F.col("f.h").alias("_h")))
-    kept = docs.join(keep, docs[id_col].eqNullSafe(keep["_id"]) & (F.xxhash64(docs[text_col]) == keep["_h"]))
-    return kept.dropDuplicates(["_id", "_h"]).drop("_id", "_h")
+    return _kept(docs, rooted.groupBy("root").agg(F.min("least").alias("f")), id_col, text_col)

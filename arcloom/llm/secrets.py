@@ -60,9 +60,9 @@ def features(found: DataFrame) -> DataFrame:
     words = "|".join(sorted(DICTIONARY, key=len, reverse=True))
     near = F.concat_ws(" ", F.col("before"), F.col("after"))
     of = {
-        "length": F.least(F.length(v), F.lit(100)),
+        "length": F.length(v),
         "transitions": (F.length(F.regexp_replace(kinds, r"(.)\1+", "$1")) - 1) / n,
-        "distinct": F.size(F.array_distinct(F.split(F.substring(v, 1, 64), ""))) / F.least(n, F.lit(64)),
+        "distinct": F.size(F.array_distinct(F.split(v, ""))) / n,
         "digits": F.length(F.regexp_replace(v, "[^0-9]", "")) / n,
         "upper": F.length(F.regexp_replace(v, "[^A-Z]", "")) / n,
         "hex": v.rlike("^[0-9a-fA-F]+$"),

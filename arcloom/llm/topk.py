@@ -13,11 +13,11 @@ from pyspark.sql.window import Window
 from arcloom.scratch import cut
 
 #: Rows of a block of candidates and of a block of queries.
-CANDIDATES, QUERIES = 4096, 512
+CANDIDATES, QUERIES = 4096, 8192
 
 
 def quantized(df: DataFrame, id_col: str, vector_col: str, scale: int) -> DataFrame:
-    """``(id, q, v array<long>)`` with floor(scale * x) of each component; vectors that are null or empty, or hold null or non-finite components, go."""
+    """``(id, q, v array<long>)`` with floor(scale * x) of each component; vectors that are null or hold null or non-finite components go."""
     x = F.col(vector_col)
     odd = F.exists(x, lambda c: c.isNull() | F.isnan(c) | (F.abs(c.cast("double")) == float("inf")))
     usable = x.isNotNull() & ~F.coalesce(odd, F.lit(True)) & F.col(id_col).isNotNull()
@@ -60,7 +60,7 @@ def search(df: DataFrame, is_query: Column, id_col: str = "vec_id", vector_col:
 
     Returns ``query_id, rank`` (from 1), ``vec_id, score``; ties go to the smaller id, and fewer rows come back if
     there are fewer candidates. A row is a candidate of every query with another id; rows without an id are left out, as in the query's SQL; rows that repeat an id each
-    count. Vectors of different lengths meet as if padded with zeros. Products are exact while they and their sums fit 64 bits.
+    count. Vectors of different lengths meet as if padded with zeros, so an empty one scores 0. Products are exact while they and their sums fit 64 bits.
 
     Candidates and queries are dealt into blocks of a fixed size and each pair of blocks meets in one task, which
     accumulates dense scores over the candidate block's postings and keeps ``k`` rows a query; those are merged.
