@@ -30,12 +30,14 @@ def unify(frames: list[DataFrame]) -> DataFrame:
 class Graph:
     """Node tables keyed by their (sorted) label set, with ``id`` and properties; edge tables keyed by label, with
     ``id, src, dst`` and properties. A node is in one table, so nothing is read twice, and a label is a choice of tables:
-    a pattern reads only the tables and columns that it needs."""
+    a pattern opens only the tables and reads only the columns that it needs. Either mapping may open its tables when they are asked for."""
 
     def __init__(self, spark: SparkSession, nodes: Mapping[tuple[str, ...] | str, DataFrame], edges: Mapping[str, DataFrame]):
         self.spark = spark
-        self.node_tables = {(k,) if isinstance(k, str) else tuple(sorted(k)): df for k, df in nodes.items()}
-        self.edge_tables = dict(edges)
+        if isinstance(nodes, dict):
+            nodes = {(k,) if isinstance(k, str) else tuple(sorted(k)): df for k, df in nodes.items()}
+        self.node_tables, self.edge_tables = nodes, edges
+        self.indexes: set[tuple[str, ...]] = set()
 
     @classmethod
     def of_rows(cls, spark: SparkSession, nodes: Iterable[tuple], edges: Iterable[tuple]) -> "Graph":
@@ -54,8 +56,9 @@ class Graph:
         """Nodes that have all the labels: ``id, labels`` and the properties (only those in ``columns``, if given)."""
         wanted, want = set(labels), None if columns is None else set(columns)
         frames = []
-        for key, df in self.node_tables.items():
+        for key in self.node_tables:
             if wanted <= set(key):
+                df = self.node_tables[key]
                 own = [c for c in df.columns if c != "id" and (want is None or c in want)]
                 frames.append(df.select("id", F.array(*map(F.lit, key)).cast("array<string>").alias("labels"), *own))
         if not frames:
@@ -66,8 +69,9 @@ class Graph:
         """Edges of one label, or of all: ``id, src, dst, label`` and the properties (only those in ``columns``, if given)."""
         want = None if columns is None else set(columns)
         frames = []
-        for key, df in self.edge_tables.items():
+        for key in self.edge_tables:
             if label is None or key == label:
+                df = self.edge_tables[key]
                 own = [c for c in df.columns if c not in ("id", "src", "dst") and (want is None or c in want)]
                 frames.append(df.select("id", "src", "dst", F.lit(key).alias("label"), *own))
         if not frames:

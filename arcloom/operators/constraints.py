@@ -13,17 +13,21 @@ class UniqueViolation(ValueError):
     pass
 
 
-def violations(graph: Graph, label: str, key: str) -> DataFrame:
-    """``value, n`` of values that several nodes of a label share; values compare as text and nodes without one are exempt."""
+def violations(graph: Graph, label: str, key: str, among: DataFrame | None = None) -> DataFrame:
+    """``value, n`` of values that several nodes of a label share; values compare as text and nodes without one are exempt.
+    With ``among``, a frame of one column, only its values are looked at."""
     df = graph.nodes((label,))
     if key not in df.columns:
         return graph.spark.createDataFrame([], "value string, n bigint")
     value = as_text(F.col(key), df.schema[key].dataType)
-    return df.where(F.col(key).isNotNull()).groupBy(value.alias("value")).agg(F.count("*").alias("n")).where("n > 1")
+    values = df.where(F.col(key).isNotNull()).select(value.alias("value"))
+    if among is not None:
+        values = values.join(among.select(as_text(F.col(key), among.schema[key].dataType).alias("value")).distinct(), "value", "left_semi")
+    return values.groupBy("value").agg(F.count("*").alias("n")).where("n > 1")
 
 
-def check(graph: Graph, constraints: list[tuple[str, str]]) -> None:
+def check(graph: Graph, constraints: list[tuple[str, str]], among: DataFrame | None = None) -> None:
     for label, key in constraints:
-        bad = violations(graph, label, key).limit(3).collect()
+        bad = violations(graph, label, key, among).limit(3).collect()
         if bad:
             raise UniqueViolation(f"{label}.{key}: {', '.join(f'{r.value!r} {r.n} times' for r in bad)}")

@@ -11,9 +11,6 @@ from pyspark.sql import functions as F
 from arcloom.model import BOTH, IN, OUT, Graph
 from arcloom.scratch import cut
 
-#: Rounds between two writes to the shared folder.
-CUT_EVERY = 1
-
 
 def steps(edges: DataFrame, direction: str) -> DataFrame:
     """Edges as ``near, far, side, edge``: out edges (side 0) come before in edges (side 1), each by edge id."""
@@ -26,9 +23,11 @@ def reach(edges: DataFrame, starts: DataFrame, most: int, direction: str = OUT)
     """``start, id, depth`` of every node within ``most`` hops (negative: any number) of every start, at its shortest depth.
 
     A level is one join of the frontier with the edges, a ``distinct`` and an anti-join with what was seen; it is written
-    to the shared folder. The driver only asks whether the frontier is empty.
+    to the shared folder, as are the different links once if there may be several levels. The driver only asks whether the frontier is empty.
     """
     links = steps(edges, direction).select("near", "far").distinct()
+    if most < 0 or most > 1:
+        links = cut(links)
     seen = cut(starts.select("start", F.col("start").alias("id"), F.lit(0).alias("depth")).distinct())
     frontier, levels, depth = seen, [seen], 0
     while (most < 0 or depth < most) and not frontier.isEmpty():
@@ -58,6 +57,8 @@ def bfs(graph: Graph, start: int | list[int], max_depth: int = -1, direction: st
     if edge_filter is not None:
         edges = edges.where(edge_filter)
     links = steps(edges, direction).join(known.select(F.col("id").alias("far")), "far", "left_semi")
+    if max_depth < 0 or max_depth > 1:
+        links = cut(links)
     hop = F.struct("side", "edge")
     none = F.array().cast("array<struct<side:int,edge:bigint>>")
     seen = cut(begin.select(F.col("id").alias("start"), "id", F.lit(0).alias("depth"), none.alias("keys")))

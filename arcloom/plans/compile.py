@@ -135,7 +135,7 @@ class Binder:
         start = first.var or self.fresh()
         if bound is None:
             df = self.node(first, start)
-            step = _scan(first, start, df)
+            step = _scan(self.graph, first, start, df)
         else:
             df = bound
         at = start
@@ -221,12 +221,14 @@ def _literal(x: Lit) -> tuple[Column, T.DataType]:
     return (F.lit(None) if v is None else F.lit(v).cast(kind)), kind
 
 
-def _scan(p: NodePattern, var: str, df: DataFrame) -> Step:
+def _scan(graph: Graph, p: NodePattern, var: str, df: DataFrame) -> Step:
+    """Where a pattern's first nodes come from; a seek by index only if one is declared for a property of the pattern."""
     shown_var = var.strip() if p.var else ""
     label = f"{shown_var}:{':'.join(p.labels)}" if p.labels else shown_var
     step = Step("NodeByLabelScan" if p.labels else "AllNodesScan", label, [], df)
     if p.props:
-        step = Step("NodeIndexSeek", ", ".join(f"{shown_var}.{k} = {shown(v)}" for k, v in p.props), [step], df)
+        seek = any(set(keys) <= {k for k, _ in p.props} for keys in graph.indexes)
+        step = Step("NodeIndexSeek" if seek else "Filter", ", ".join(f"{shown_var}.{k} = {shown(v)}" for k, v in p.props), [step], df)
     return step
 
 

@@ -1,4 +1,4 @@
-"""A graph on disk in versions: every commit writes what changed and then moves one pointer."""
+"""A graph on disk in versions: every commit adds small tables of what changed and then moves one pointer."""
 
 from __future__ import annotations
 
@@ -7,6 +7,7 @@ import threading
 import time
 import uuid
 from collections.abc import Iterable, Mapping
+from functools import reduce
 from dataclasses import dataclass, field
 from typing import Any
 
@@ -29,6 +30,15 @@ class ConflictError(RuntimeError):
     """Another writer committed first."""
 
 
+class QueueFull(RuntimeError):
+    """As many writes as the store lets wait are waiting."""
+
+
+#: Parts of a table beyond which a commit writes it anew as one.
+MOST_PARTS = 24
+ADDED, GONE = "+", "-"
+
+
 @dataclass
 class Stats:
     nodes_created: int = 0
@@ -49,11 +59,16 @@ class Written:
 
 @dataclass
 class State:
-    """The pointer's content: where each table of this version lies, and what is declared."""
+    """The pointer's content: the parts of each table of this version, the change records up to it, and what is declared.
+
+    A table (of nodes: its labels joined by ":") is a list of parts ``(ADDED, path of rows)`` and ``(GONE, path of ids)``, of which the
+    latter take away rows of all parts before. ``logs`` lists ``(path, first, last)`` of the change records.
+    """
 
     version: int = 0
-    nodes: dict[str, str] = field(default_factory=dict)  # labels joined by ":" to path
-    edges: dict[str, str] = field(default_factory=dict)
+    nodes: dict[str, list[list[str]]] = field(default_factory=dict)
+    edges: dict[str, list[list[str]]] = field(default_factory=dict)
+    logs: list[list] = field(default_factory=list)
     next_node: int = 1
     next_edge: int = 1
     lsn: int = 0
@@ -98,6 +113,11 @@ class Files:
         fs, p = self._fs(path)
         return sorted(x.getPath().getName() for x in fs.listStatus(p)) if fs.exists(p) else []
 
+    def age(self, path: str) -> float:
+        """Seconds since the path was last changed."""
+        fs, p = self._fs(path)
+        return time.time() - fs.getFileStatus(p).getModificationTime() / 1000
+
     def size(self, path: str) -> int:
         fs, p = self._fs(path)
         return fs.getContentSummary(p).getLength() if fs.exists(p) else 0
@@ -111,17 +131,60 @@ def _key(labels: Iterable[str]) -> str:
     return ":".join(sorted(set(labels)))
 
 
+def _labels(key: str) -> tuple[str, ...]:
+    return tuple(x for x in key.split(":") if x)
+
+
+def table_of(spark: SparkSession, parts: list) -> DataFrame:
+    """The table that the parts make, in their order."""
+    out, added = None, []
+    for kind, path in parts:
+        df = spark.read.parquet(path)
+        if kind == ADDED:
+            added.append(df)
+        elif added or out is not None:
+            out, added = unify([*([] if out is None else [out]), *added]), []
+            out = out.join(df.select("id"), "id", "left_anti").select(*out.columns)
+    return unify([*([] if out is None else [out]), *added])
+
+
+class Tables(Mapping):
+    """Tables by key, opened when first asked for."""
+
+    def __init__(self, spark: SparkSession, parts: Mapping[Any, list]):
+        self.spark, self.parts, self.open = spark, parts, {}
+
+    def __getitem__(self, key: Any) -> DataFrame:
+        if key not in self.open:
+            self.open[key] = table_of(self.spark, self.parts[key])
+        return self.open[key]
+
+    def __iter__(self):
+        return iter(self.parts)
+
+    def __len__(self) -> int:
+        return len(self.parts)
+
+
+def _graph(spark: SparkSession, nodes: Mapping[str, list], edges: Mapping[str, list], indexes: Iterable = ()) -> Graph:
+    g = Graph(spark, Tables(spark, {_labels(k): v for k, v in nodes.items() if v}), Tables(spark, {k: v for k, v in edges.items() if v}))
+    g.indexes = {tuple(x) for x in indexes}
+    return g
+
+
 class Store:
     """A graph in ``path``: ``tables/`` holds Parquet, ``versions/`` a small file per commit, ``log/`` the change records.
 
-    A commit creates its version's file, which succeeds for one writer only: a second one that started from the same
-    version gets ``ConflictError`` and leaves no trace in any version. Readers and snapshots keep to the version
-    they opened. Every commit checks the unique constraints against its own result.
+    A write adds a small table of new or changed rows, and one of ids that are gone; nothing is rewritten until a table has ``MOST_PARTS``
+    parts. A commit creates its version's file, which succeeds for one writer only: a second one that started from the same
+    version gets ``ConflictError``, and as a version's file names its tables and change records, what it wrote is never read.
+    Readers and snapshots keep to the version they opened. A commit checks the unique constraints for the values that it adds.
+    Writes of one process take turns; at most ``queue`` may wait, beyond which ``QueueFull`` is raised.
     """
 
-    def __init__(self, spark: SparkSession, path: str, read_only: bool = False):
+    def __init__(self, spark: SparkSession, path: str, read_only: bool = False, queue: int = 1000):
         self.spark, self.path, self.read_only = spark, path.rstrip("/"), read_only
-        self.files, self.lock = Files(spark), threading.RLock()
+        self.files, self.lock, self.waiting = Files(spark), threading.RLock(), threading.BoundedSemaphore(queue)
         if not self.versions():
             self.files.create(f"{self.path}/versions/{0:012d}.json", json.dumps(State().__dict__))
 
@@ -139,7 +202,7 @@ class Store:
 
     def graph(self, version: int | None = None) -> Graph:
         s = self.state(version)
-        return Graph(self.spark, {tuple(x for x in k.split(":") if x): self.spark.read.parquet(p) for k, p in s.nodes.items()}, {k: self.spark.read.parquet(p) for k, p in s.edges.items()})
+        return _graph(self.spark, s.nodes, s.edges, s.indexes)
 
     def snapshot(self) -> "Snapshot":
         return Snapshot(self, self.state().version)
@@ -152,34 +215,48 @@ class Store:
     def commit(self, tx: "Tx") -> int:
         with self.lock:
             s = tx.state
-            after = State(s.version + 1, dict(s.nodes), dict(s.edges), tx.next_node, tx.next_edge, s.lsn, tx.indexes, tx.unique)
-            for kind, tables, changed in (("nodes", after.nodes, tx.nodes), ("edges", after.edges, tx.edges)):
-                for name, df in changed.items():
-                    at = f"{self.path}/tables/{kind}/{uuid.uuid4().hex}"
-                    df.write.parquet(at)
-                    tables[name] = at
-            self._check(after, tx)
+            tx.merge_parts()
+            after = State(s.version + 1, tx.parts["nodes"], tx.parts["edges"], list(s.logs), tx.next_node, tx.next_edge, s.lsn, tx.indexes, tx.unique)
+            self._check(tx)
+            log = None
             if tx.changes:
                 rows = [(s.lsn + i + 1, after.version, time.time(), op, json.dumps(payload)) for i, (op, payload) in enumerate(tx.changes)]
-                self.spark.createDataFrame(rows, LOG).coalesce(1).write.parquet(f"{self.path}/log/{after.version:012d}-{uuid.uuid4().hex[:8]}")
+                log = f"{self.path}/log/{after.version:012d}-{uuid.uuid4().hex}"
+                self.spark.createDataFrame(rows, LOG).coalesce(1).write.parquet(log)
+                after.logs.append([log, s.lsn + 1, s.lsn + len(rows)])
                 after.lsn += len(rows)
             if not self.files.create(f"{self.path}/versions/{after.version:012d}.json", json.dumps(after.__dict__)):
+                if log:
+                    self.files.remove(log)
                 raise ConflictError(f"version {after.version} was committed by another writer")
             return after.version
 
-    def _check(self, after: State, tx: "Tx") -> None:
-        if after.unique and (tx.nodes or after.unique != tx.state.unique):
-            g = Graph(self.spark, {tuple(x for x in k.split(":") if x): self.spark.read.parquet(p) for k, p in after.nodes.items()}, {})
-            constraints.check(g, [tuple(x) for x in after.unique])
+    def _check(self, tx: "Tx") -> None:
+        """Unique constraints: new ones on all nodes of their label, old ones on the values that this transaction adds."""
+        if not tx.unique:
+            return
+        g = tx.graph()
+        for label, key in map(tuple, tx.unique):
+            if [label, key] not in tx.state.unique:
+                constraints.check(g, [(label, key)])
+                continue
+            added = [self.spark.read.parquet(path) for name, path in tx.added if label in _labels(name)]
+            if added := [df for df in added if key in df.columns]:
+                constraints.check(g, [(label, key)], unify([df.select(key) for df in added]))
 
     # one operation, one commit
 
     def _alone(self, f):
-        with self.lock:
-            tx = self.begin()
-            out = f(tx)
-            tx.commit()
-            return out
+        if not self.waiting.acquire(blocking=False):
+            raise QueueFull("too many writes are waiting")
+        try:
+            with self.lock:
+                tx = self.begin()
+                out = f(tx)
+                tx.commit()
+                return out
+        finally:
+            self.waiting.release()
 
     def add_node(self, props: Mapping[str, Any], labels: Iterable[str] = ()) -> int:
         return self._alone(lambda t: t.add_node(props, labels))
@@ -224,8 +301,8 @@ class Store:
     # declarations
 
     def create_index(self, *keys: str) -> None:
-        """Declare an index: tables written from then on are sorted by its keys, so that statistics in the files skip
-        most of them. Results never depend on it."""
+        """Declare an index: tables that have its keys are written anew, sorted by them and with Parquet's Bloom filters on each, so that a seek
+        skips most files and row groups; what is added later is written so too. Results never depend on it."""
         self._alone(lambda t: t.declare(index=list(keys)))
 
     def drop_index(self, *keys: str) -> None:
@@ -255,37 +332,75 @@ class Store:
     # upkeep
 
     def compact(self, partitions: int | None = None) -> int:
-        """Rewrite every table in fewer files, sorted by the first index; returns bytes saved."""
+        """Write every table anew as one part, sorted by the first index; returns bytes saved."""
         before = self._live_bytes()
         tx = self.begin()
-        for kind, tables in (("nodes", tx.state.nodes), ("edges", tx.state.edges)):
-            for name, at in tables.items():
-                df = self.spark.read.parquet(at)
-                getattr(tx, kind)[name] = tx.sorted(df.coalesce(partitions) if partitions else df)
+        for kind in ("nodes", "edges"):
+            for name in tx.names(kind):
+                df = tx.table(kind, name)
+                tx.put(kind, name, df.coalesce(partitions) if partitions else df)
         tx.commit()
         return before - self._live_bytes()
 
+    def compact_every(self, seconds: float, stop: threading.Event, partitions: int | None = None, keep: int = 2) -> threading.Thread:
+        """Compact and prune at intervals until ``stop`` is set; a commit that another writer wins is tried again the next time."""
+
+        def run() -> None:
+            while not stop.wait(seconds):
+                try:
+                    self.compact(partitions)
+                    self.prune(keep)
+                except ConflictError:
+                    continue
+
+        thread = threading.Thread(target=run, daemon=True)
+        thread.start()
+        return thread
+
     def _live_bytes(self) -> int:
         s = self.state()
-        return sum(self.files.size(p) for p in [*s.nodes.values(), *s.edges.values()])
+        return sum(self.files.size(p) for p in _paths(s))
 
-    def prune(self, keep: int = 1) -> int:
-        """Delete all but the last ``keep`` versions and the tables that only they use; returns how many versions went."""
+    def prune(self, keep: int = 1, unnamed_after: float = 3600.0) -> int:
+        """Delete all but the last ``keep`` versions and the tables that only they use, and what no version names (of commits that failed)
+        and is older than ``unnamed_after`` seconds; returns how many versions went. Change records stay until ``trim``."""
         versions = self.versions()
         old, live = versions[:-keep], versions[-keep:]
-        used = {p for v in live for s in [self.state(v)] for p in [*s.nodes.values(), *s.edges.values()]}
+        states = [self.state(v) for v in live]
+        used = {p for s in states for p in _paths(s)}
+        bulk = {json.loads(r[0]).get("path") for r in self.changes().where("op IN ('load_nodes', 'load_edges', 'delete_nodes', 'delete_edges', 'set_many')").select("payload").toLocalIterator()}
         for v in old:
-            s = self.state(v)
-            for p in {*s.nodes.values(), *s.edges.values()} - used:
+            for p in _paths(self.state(v)) - used - bulk:
                 self.files.remove(p)
             self.files.remove(f"{self.path}/versions/{v:012d}.json")
+        named = used | bulk | {x[0] for s in states for x in s.logs}
+        for folder in ("tables", "log"):
+            for name in self.files.names(f"{self.path}/{folder}"):
+                at = f"{self.path}/{folder}/{name}"
+                if at not in named and self.files.age(at) > unnamed_after:
+                    self.files.remove(at)
         return len(old)
 
-    def changes(self, after: int = 0) -> DataFrame:
-        """Change records ``lsn, version, ts, op, payload`` of committed versions beyond ``after``."""
-        if not self.files.names(f"{self.path}/log"):
+    def trim(self, upto: int) -> int:
+        """Forget the files of change records that hold none beyond number ``upto``, which every follower must have; returns how many went."""
+        with self.lock:
+            s = self.state()
+            gone = [x for x in s.logs if x[2] <= upto]
+            after = State(**(s.__dict__ | {"version": s.version + 1, "logs": [x for x in s.logs if x[2] > upto]}))
+            if gone and not self.files.create(f"{self.path}/versions/{after.version:012d}.json", json.dumps(after.__dict__)):
+                raise ConflictError(f"version {after.version} was committed by another writer")
+            for x in gone:
+                self.files.remove(x[0])
+            return len(gone)
+
+    def changes(self, after: int = 0, upto: int | None = None) -> DataFrame:
+        """Change records ``lsn, version, ts, op, payload`` of committed versions beyond ``after`` (and up to ``upto``); only files that hold such are read."""
+        s = self.state()
+        upto = s.lsn if upto is None else min(upto, s.lsn)
+        files = [x[0] for x in s.logs if x[2] > after and x[1] <= upto]
+        if not files:
             return self.spark.createDataFrame([], LOG)
-        return self.spark.read.schema(LOG).parquet(f"{self.path}/log/*").where((F.col("lsn") > after) & (F.col("lsn") <= self.state().lsn)).orderBy("lsn")
+        return self.spark.read.schema(LOG).parquet(*files).where((F.col("lsn") > after) & (F.col("lsn") <= upto)).orderBy("lsn")
 
     # queries
 
@@ -303,6 +418,10 @@ class Store:
 LOG = "lsn bigint, version bigint, ts double, op string, payload string"
 
 
+def _paths(s: State) -> set[str]:
+    return {p for tables in (s.nodes, s.edges) for parts in tables.values() for _, p in parts}
+
+
 @dataclass(frozen=True)
 class Snapshot:
     """Queries on one version, whatever is committed later."""
@@ -325,16 +444,15 @@ class Tx:
 
     def __init__(self, store: Store, state: State):
         self.store, self.spark, self.state = store, store.spark, state
-        self.nodes: dict[str, DataFrame] = {}
-        self.edges: dict[str, DataFrame] = {}
+        self.parts = {kind: {k: [list(p) for p in v] for k, v in getattr(state, kind).items()} for kind in ("nodes", "edges")}
+        self.added: list[tuple[str, str]] = []  # of node tables: name, path
         self.next_node, self.next_edge = state.next_node, state.next_edge
         self.indexes, self.unique = [list(x) for x in state.indexes], [list(x) for x in state.unique]
         self.changes: list[tuple[str, dict]] = []
         self.done = False
 
     def graph(self) -> Graph:
-        tables = lambda own, base: {k: own[k] if k in own else self.spark.read.parquet(base[k]) for k in {**base, **own}}
-        return Graph(self.spark, {tuple(x for x in k.split(":") if x): df for k, df in tables(self.nodes, self.state.nodes).items()}, tables(self.edges, self.state.edges))
+        return _graph(self.spark, self.parts["nodes"], self.parts["edges"], self.indexes)
 
     def commit(self) -> int:
         self._open()
@@ -354,25 +472,57 @@ class Tx:
 
     # tables of this transaction
 
-    def _table(self, kind: str, name: str) -> DataFrame | None:
-        own, base = getattr(self, kind), getattr(self.state, kind)
-        return own[name] if name in own else self.spark.read.parquet(base[name]) if name in base else None
-
-    def _put(self, kind: str, name: str, df: DataFrame) -> None:
-        getattr(self, kind)[name] = self.sorted(df)
-
-    def sorted(self, df: DataFrame) -> DataFrame:
-        for keys in self.indexes:
-            if set(keys) <= set(df.columns):
-                return df.sortWithinPartitions(*keys)
-        return df
+    def table(self, kind: str, name: str) -> DataFrame | None:
+        parts = self.parts[kind].get(name)
+        return table_of(self.spark, parts) if parts else None
+
+    def names(self, kind: str) -> list[str]:
+        return sorted(k for k, v in self.parts[kind].items() if v)
+
+    def _written(self, df: DataFrame) -> str:
+        """The frame as a table of the store: sorted by the first index whose keys it has, with Bloom filters on every index's keys."""
+        at, columns = f"{self.store.path}/tables/{uuid.uuid4().hex}", set(df.columns)
+        fitting = [keys for keys in self.indexes if set(keys) <= columns]
+        if fitting:
+            df = df.sortWithinPartitions(*fitting[0])
+        writer = df.write
+        for key in {k for keys in fitting for k in keys}:
+            writer = writer.option(f"parquet.bloom.filter.enabled#{key}", "true")
+        writer.parquet(at)
+        return at
+
+    def _part(self, kind: str, name: str, how: str, at: str) -> None:
+        self._open()
+        self.parts[kind].setdefault(name, []).append([how, at])
+        if kind == "nodes" and how == ADDED:
+            self.added.append((name, at))
+
+    def put(self, kind: str, name: str, df: DataFrame) -> None:
+        """The table written anew as one part; an index's seeks profit from rows that lie together."""
+        keys = next((k for k in self.indexes if set(k) <= set(df.columns)), None)
+        at = self._written(df.repartitionByRange(*keys) if keys else df)
+        self.parts[kind][name] = [[ADDED, at]]
+
+    def merge_parts(self) -> None:
+        for kind, tables in self.parts.items():
+            for name, parts in tables.items():
+                if len(parts) > MOST_PARTS:
+                    self.put(kind, name, table_of(self.spark, parts))
+
+    def _homes(self, kind: str, ids: DataFrame) -> list[str]:
+        """The names of the tables that have any of the ids, in one job."""
+        frames = [self.table(kind, name).join(ids.select("id"), "id", "left_semi").select(F.lit(name).alias("name")).limit(1) for name in self.names(kind)]
+        return sorted(r[0] for r in reduce(DataFrame.unionAll, frames).collect()) if frames else []
 
-    def _append(self, kind: str, name: str, df: DataFrame) -> None:
-        there = self._table(kind, name)
-        self._put(kind, name, df if there is None else unify([there, df]))
+    def _home(self, kind: str, one: int) -> str:
+        frames = [self.table(kind, name).where(F.col("id") == one).select(F.lit(name).alias("name")).limit(1) for name in self.names(kind)]
+        found = reduce(DataFrame.unionAll, frames).first() if frames else None
+        if found is None:
+            raise KeyError(f"no such {kind[:-1]}: {one}")
+        return found[0]
 
-    def _names(self, kind: str) -> list[str]:
-        return sorted({**getattr(self.state, kind), **getattr(self, kind)})
+    def _ids(self, ids: list[int]) -> DataFrame:
+        return self.spark.createDataFrame([(i,) for i in ids], "id bigint")
 
     # nodes
 
@@ -387,65 +537,54 @@ class Tx:
         ids = list(range(self.next_node, self.next_node + len(rows)))
         self.next_node += len(rows)
         self._log("add_nodes", ids=ids, labels=sorted(set(labels)), props=[dict(r) for r in rows])
-        self._append("nodes", _key(labels), _frame(self.spark, [({"id": i}, dict(r)) for i, r in zip(ids, rows, strict=True)]))
+        if ids:
+            self._part("nodes", _key(labels), ADDED, self._written(_frame(self.spark, [({"id": i}, dict(r)) for i, r in zip(ids, rows, strict=True)])))
         return ids
 
     def load_nodes(self, df: DataFrame, labels: Iterable[str]) -> None:
-        df, at = self._written(df)
-        top = df.agg(F.max("id")).first()[0] or 0
+        at = self._written(df)
+        top = self.spark.read.parquet(at).agg(F.max("id")).first()[0] or 0
         self.next_node = max(self.next_node, top + 1)
-        self._append("nodes", _key(labels), df)
+        self._part("nodes", _key(labels), ADDED, at)
         self._log("load_nodes", labels=sorted(set(labels)), path=at)
 
-    def _written(self, df: DataFrame) -> tuple[DataFrame, str]:
-        """The frame as a table of the store, which a change record can name."""
-        at = f"{self.store.path}/tables/bulk/{uuid.uuid4().hex}"
-        df.write.parquet(at)
-        return self.spark.read.parquet(at), at
-
-    def _home(self, kind: str, one: int) -> str:
-        for name in self._names(kind):
-            if not self._table(kind, name).where(F.col("id") == one).limit(1).isEmpty():
-                return name
-        raise KeyError(f"no such {kind[:-1]}: {one}")
-
-    def _change(self, kind: str, name: str, which: DataFrame | list[int], props: Mapping[str, Any], replace: bool = False) -> None:
-        """Give the rows of one table new values; other properties stay, or go if ``replace``."""
-        df = self._table(kind, name)
+    def _change(self, kind: str, name: str, which: DataFrame, at: str, props: Mapping[str, Any], replace: bool = False) -> None:
+        """Give rows of one table, those of ``which`` (ids, at path ``at``), new values; other properties stay, or go if ``replace``."""
+        df = self.table(kind, name)
+        types = {f.name: f.dataType for f in df.schema}
+        df = df.join(which.select("id"), "id", "left_semi")
         fixed = {"id", "src", "dst", KEYS}
-        hit = F.col("id").isin(which) if isinstance(which, list) else None
-        if hit is None:
-            df = df.join(which.select("id").distinct().withColumn("_hit", F.lit(True)), "id", "left")
-            hit = F.coalesce(F.col("_hit"), F.lit(False))
         sample = _frame(self.spark, [({"id": 0}, dict(props))]).schema
-        kinds = {f.name: f.dataType for f in df.schema}
         out = []
-        for c in [*(c for c in df.columns if c not in (KEYS, "_hit")), *(c for c in props if c not in df.columns)]:
-            old = F.col(f"`{c}`") if c in kinds else F.lit(None)
-            if c in fixed:
-                out.append(old)
-            elif c in props:
-                new, kind_ = F.lit(props[c]), sample[c].dataType
-                kept = kinds.get(c, T.NullType())
-                if not isinstance(kept, T.NullType) and props[c] is not None and kept != kind_ and not (isinstance(kept, T.NumericType) and isinstance(kind_, T.NumericType)):
-                    old, new = old.cast("string"), new.cast("string")
-                elif isinstance(kept, T.NumericType) and isinstance(kind_, T.NumericType) and kept != kind_:
-                    wide = "bigint" if isinstance(kept, T.IntegralType) and isinstance(kind_, T.IntegralType) else "double"
-                    old, new = old.cast(wide), new.cast(wide)
-                out.append(F.when(hit, new).otherwise(old).alias(c))
+        for c in [*(c for c in df.columns if c != KEYS), *(c for c in props if c not in df.columns)]:
+            if c not in fixed and c in props:
+                kept = types.get(c, T.NullType())
+                new, own = F.lit(props[c]), sample[c].dataType
+                numbers = isinstance(kept, T.NumericType) and isinstance(own, T.NumericType)
+                if props[c] is None:
+                    new = new.cast(kept if c in types else "string")
+                elif not isinstance(kept, T.NullType) and kept != own and not numbers:
+                    new = new.cast("string")
+                out.append(new.alias(c))
             else:
-                out.append((F.when(~hit, old) if replace else old).alias(c))
+                out.append((F.lit(None).cast(types[c]) if replace and c not in fixed else F.col(f"`{c}`")).alias(c))
         if KEYS in df.columns:
             given = F.array(*map(F.lit, sorted(props))).cast("array<string>")
-            out.append(F.when(hit, given if replace else F.array_sort(F.array_union(F.coalesce(KEYS, F.array().cast("array<string>")), given))).otherwise(F.col(KEYS)).alias(KEYS))
-        self._put(kind, name, df.select(*out))
+            out.append((given if replace else F.array_sort(F.array_union(F.coalesce(KEYS, F.array().cast("array<string>")), given))).alias(KEYS))
+        rows = self._written(df.select(*out))
+        self._part(kind, name, GONE, at)
+        self._part(kind, name, ADDED, rows)
+
+    def _change_one(self, kind: str, one: int, props: Mapping[str, Any], replace: bool = False) -> None:
+        name = self._home(kind, one)
+        self._change(kind, name, self._ids([one]), self._written(self._ids([one]).coalesce(1)), props, replace)
 
     def update_node(self, node: int, props: Mapping[str, Any]) -> None:
-        self._change("nodes", self._home("nodes", node), [node], props)
+        self._change_one("nodes", node, props)
         self._log("update_node", id=node, props=dict(props))
 
     def set_node_props(self, node: int, props: Mapping[str, Any]) -> None:
-        self._change("nodes", self._home("nodes", node), [node], props, replace=True)
+        self._change_one("nodes", node, props, replace=True)
         self._log("set_node_props", id=node, props=dict(props))
 
     def delete_nodes(self, nodes: list[int] | DataFrame) -> None:
@@ -454,25 +593,27 @@ class Tx:
             for n in nodes:
                 self._home("nodes", n)
             self._log("delete_nodes", ids=nodes)
-            gone = self.spark.createDataFrame([(n,) for n in nodes], "id bigint")
+            at = self._written(self._ids(nodes).coalesce(1))
         else:
-            gone, at = self._written(nodes.select("id").distinct())
+            at = self._written(nodes.select("id").distinct())
             self._log("delete_nodes", path=at)
-        for name in self._names("nodes"):
-            self._put("nodes", name, self._table("nodes", name).join(gone, "id", "left_anti"))
-        for name in self._names("edges"):
-            df = self._table("edges", name)
-            for end in ("src", "dst"):
-                df = df.join(gone.select(F.col("id").alias(end)), end, "left_anti").select(*df.columns)
-            self._put("edges", name, df)
+        gone = self.spark.read.parquet(at)
+        for name in self._homes("nodes", gone):
+            self._part("nodes", name, GONE, at)
+        ends = [gone.select(F.col("id").alias(end)) for end in ("src", "dst")]
+        for name in self.names("edges"):
+            df = self.table("edges", name).select("id", "src", "dst")
+            hit = self._written(df.join(ends[0], "src", "left_semi").select("id").unionAll(df.join(ends[1], "dst", "left_semi").select("id")).distinct())
+            if not self.spark.read.parquet(hit).isEmpty():
+                self._part("edges", name, GONE, hit)
 
     def relabel(self, node: int, add: Iterable[str] = (), remove: Iterable[str] = ()) -> None:
         name = self._home("nodes", node)
-        labels = ({*(x for x in name.split(":") if x)} | set(add)) - set(remove)
+        labels = ({*_labels(name)} | set(add)) - set(remove)
         if _key(labels) != name:
-            df = cut(self._table("nodes", name))
-            self._put("nodes", name, df.where(F.col("id") != node))
-            self._append("nodes", _key(labels), df.where(F.col("id") == node))
+            row = self._written(self.table("nodes", name).where(F.col("id") == node).coalesce(1))
+            self._part("nodes", name, GONE, self._written(self._ids([node]).coalesce(1)))
+            self._part("nodes", _key(labels), ADDED, row)
         self._log("relabel", id=node, add=sorted(add), remove=sorted(remove))
 
     # edges
@@ -493,7 +634,7 @@ class Tx:
         for i, (src, dst, label, props) in zip(ids, rows, strict=True):
             by_label.setdefault(label, []).append(({"id": i, "src": src, "dst": dst}, dict(props)))
         for label, part in by_label.items():
-            self._append("edges", label, _frame(self.spark, part))
+            self._part("edges", label, ADDED, self._written(_frame(self.spark, part)))
         self._log("add_edges", ids=ids, rows=[[s, d, label, dict(p)] for s, d, label, p in rows])
         return ids
 
@@ -503,33 +644,33 @@ class Tx:
             for end in ("src", "dst"):
                 if not df.join(known, df[end] == known["known"], "left_anti").limit(1).isEmpty():
                     raise KeyError(f"{label}: an edge's {end} doesn't exist")
-        df, at = self._written(df)
-        self.next_edge = max(self.next_edge, (df.agg(F.max("id")).first()[0] or 0) + 1)
-        self._append("edges", label, df)
+        at = self._written(df)
+        self.next_edge = max(self.next_edge, (self.spark.read.parquet(at).agg(F.max("id")).first()[0] or 0) + 1)
+        self._part("edges", label, ADDED, at)
         self._log("load_edges", label=label, path=at)
 
     def update_edge(self, edge: int, props: Mapping[str, Any]) -> None:
-        self._change("edges", self._home("edges", edge), [edge], props)
+        self._change_one("edges", edge, props)
         self._log("update_edge", id=edge, props=dict(props))
 
     def delete_edges(self, edges: list[int] | DataFrame) -> None:
         if isinstance(edges, list):
             for e in edges:
                 self._home("edges", e)
-            gone = self.spark.createDataFrame([(e,) for e in edges], "id bigint")
+            at = self._written(self._ids(edges).coalesce(1))
             self._log("delete_edges", ids=edges)
         else:
-            gone, at = self._written(edges.select("id").distinct())
+            at = self._written(edges.select("id").distinct())
             self._log("delete_edges", path=at)
-        for name in self._names("edges"):
-            self._put("edges", name, self._table("edges", name).join(gone, "id", "left_anti"))
+        for name in self._homes("edges", self.spark.read.parquet(at)):
+            self._part("edges", name, GONE, at)
 
     def set_many(self, kind: str, which: DataFrame, props: Mapping[str, Any]) -> None:
         """Merge the properties into every node or edge of ``which``."""
-        which, at = self._written(which.select("id").distinct())
-        for name in self._names(kind):
-            if not self._table(kind, name).join(which, "id", "left_semi").limit(1).isEmpty():
-                self._change(kind, name, which, props)
+        at = self._written(which.select("id").distinct())
+        which = self.spark.read.parquet(at)
+        for name in self._homes(kind, which):
+            self._change(kind, name, which, at, props)
         self._log("set_many", kind=kind, path=at, props=dict(props))
 
     # declarations
@@ -541,6 +682,11 @@ class Tx:
                     to.append(value)
                 elif not add and value in to:
                     to.remove(value)
+        if index is not None:
+            for name in self.names("nodes"):
+                df = self.table("nodes", name)
+                if set(index) <= set(df.columns):
+                    self.put("nodes", name, df)
         self._log("declare", index=index, drop_index=drop_index, unique=unique, drop_unique=drop_unique)
 
     # writing queries
