@@ -9,7 +9,6 @@ from collections.abc import Callable, Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
-import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -64,23 +63,6 @@ def lean(run: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]) ->
     return through
 
 
-class Words(dict):
-    """Words to their hashes; it is emptied when it holds ``most`` words."""
-
-    def __init__(self, most: int = 250_000):
-        super().__init__()
-        self.most = most
-
-    def __missing__(self, word: bytes) -> int:
-        h = self[word] = xxhash.xxh64_intdigest(word)
-        return h
-
-    def of(self, words: list[bytes]) -> np.ndarray:
-        if len(self) > self.most:
-            self.clear()
-        return np.fromiter(map(self.__getitem__, words), np.uint64, len(words))
-
-
 class WordIndex(dict):
     """Words to rows of ``self.rows``; ``make`` gives new words' rows, many at a time. It is emptied when it holds ``most`` words."""
 

@@ -15,6 +15,8 @@ from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_type
 
 from arcloom.llm.common import lean, raw, small_batches
+from arcloom.llm.filters import changed
+from arcloom.scratch import cut
 
 SHINGLE, SIMILARITY = 5, 0.8
 #: Of 64 bits. At a similarity of 0.8 about 10 bits differ, with a deviation of 3: the radius is five deviations off.
@@ -198,6 +200,10 @@ def leaks(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_co
 
 
 def clean(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The documents that hold no benchmark item, with all their columns. A row with a null id stays unless a row with a null id holds one."""
-    bad = leaks(docs, benchmark, id_col, text_col).select(F.col("doc_id").alias("_leak")).distinct()
-    return docs.join(bad, docs[id_col].eqNullSafe(bad["_leak"]), "left_anti")
+    """The documents that hold no benchmark item, with all their columns. A row with a null id stays unless a row with a null id holds one.
+    Only documents that a filter takes for such are shuffled."""
+    bad = cut(leaks(docs, benchmark, id_col, text_col).select("doc_id").distinct())
+    at = {c: f"c{i}" for i, c in enumerate(docs.columns)}
+    rows, own = docs.toDF(*at.values()), at[id_col]
+    kept = changed(rows, F.xxhash64(own), bad.select(F.xxhash64("doc_id").alias("hash")), lambda some: some.join(bad, some[own].eqNullSafe(bad["doc_id"]), "left_anti"))
+    return kept.toDF(*docs.columns)

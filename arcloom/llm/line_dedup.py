@@ -13,6 +13,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from arcloom.llm.common import lean, raw, small_batches
+from arcloom.llm.filters import DOC_BITS, Bits, filter_of
 from arcloom.llm.spans import Texts, grouped, mixed, sliding
 from arcloom.scratch import cut
 
@@ -21,9 +22,8 @@ RUN, GRAM = 50, 25
 _SIGNS = RUN - GRAM + 1
 #: Words that the two lines of a chunk's middle have at least.
 LEAST_WORDS = 10
-#: Bits of the filters of hashes that repeat, of those that repeat often, and of documents: fixed sizes whatever the corpus. They only let too
-#: much through as they fill.
-SOME_BITS, MANY_BITS, DOC_BITS = 1 << 27, 1 << 24, 1 << 25
+#: Bits of the filters of hashes that repeat and of those that repeat often: fixed sizes whatever the corpus. They only let too much through as they fill.
+SOME_BITS, MANY_BITS = 1 << 27, 1 << 24
 #: Places of one hash beyond which they are dealt to several groups, and places in all for which one more group is made.
 MANY, EACH_GROUP = 1000, 4_000_000
 #: Rows that a task compares at a time, and keys of a dealt group that it keeps.
@@ -43,33 +43,6 @@ def _first(*keys: np.ndarray) -> np.ndarray:
     return out
 
 
-@dataclass
-class Bits:
-    """A filter over 64-bit hashes, eight bits to a byte; it travels compressed."""
-
-    words: np.ndarray
-
-    def __getstate__(self) -> tuple[bytes, int]:
-        return pa.compress(self.words.tobytes(), "zstd", asbytes=True), len(self.words)
-
-    def __setstate__(self, state: tuple[bytes, int]) -> None:
-        self.words = np.frombuffer(pa.decompress(state[0], state[1], "zstd", asbytes=True), np.uint8)
-
-    def has(self, h: np.ndarray) -> np.ndarray:
-        at = (h % np.uint64(8 * len(self.words))).astype(np.int64)
-        return (self.words[at >> 3] >> (at & 7).astype(np.uint8) & 1).astype(bool)
-
-
-def _filter(hashes: DataFrame, bits: int) -> Bits:
-    """The filter of the column ``hash``; bitmaps are made where the rows are and only they come to the driver."""
-    at = F.pmod(F.col("hash"), F.lit(bits)) + 1
-    rows = hashes.groupBy(F.bitmap_bucket_number(at).alias("b")).agg(F.bitmap_construct_agg(F.bitmap_bit_position(at)).alias("m")).collect()
-    words = np.zeros(bits >> 3, np.uint8)
-    for b, m in rows:
-        words[(b - 1) << 12 : b << 12] = np.frombuffer(m, np.uint8)
-    return Bits(words)
-
-
 class Runs:
     """All runs of ``RUN`` words of some texts: the first word ``at`` of each, its text, its sign, and its digest.
 
@@ -207,7 +180,7 @@ class Repeats:
 def _repeats(hashes: DataFrame) -> Repeats:
     counts = cut(hashes.groupBy("hash").count().where("count > 1"))
     total = counts.agg(F.sum("count")).first()[0] or 0
-    return Repeats(_filter(counts, SOME_BITS), _filter(counts.where(F.col("count") > MANY), MANY_BITS), 16 + int(total) // EACH_GROUP)
+    return Repeats(filter_of(counts, SOME_BITS), filter_of(counts.where(F.col("count") > MANY), MANY_BITS), 16 + int(total) // EACH_GROUP)
 
 
 def _segments(batch: pa.RecordBatch, repeats: Repeats) -> Iterator[pa.RecordBatch]:
@@ -355,7 +328,7 @@ def _moved(base: DataFrame, drops: DataFrame, rebuild: Callable[[Iterator[pa.Rec
     """``rebuild`` over all documents, and the broadcast that it needs; only those that a filter of a fixed size takes for documents with drops are shuffled, compressed, to meet them."""
     spark = base.sparkSession
     per_doc = drops.groupBy("id", "h").agg(F.collect_list(F.shiftleft(F.col("a").cast("long"), 32).bitwiseOR(F.col("b").cast("long"))).alias("_drop"))
-    bits = spark.sparkContext.broadcast(_filter(drops.select(F.xxhash64("id", "h").alias("hash")), DOC_BITS))
+    bits = spark.sparkContext.broadcast(filter_of(drops.select(F.xxhash64("id", "h").alias("hash")), DOC_BITS))
     names = base.columns
 
     def part(moving: bool) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:

@@ -2,16 +2,18 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
 import xxhash
+from pyspark import Broadcast
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from arcloom.llm.common import Words, lean, raw, small_batches
-from arcloom.llm.decontaminate import shingles
+from arcloom.llm.common import lean, raw, small_batches
+from arcloom.llm.filters import DOC_BITS, changed, filter_of
+from arcloom.llm.spans import Texts, grouped, mixed
 from arcloom.operators.components import star_components
 from arcloom.scratch import cut
 
@@ -19,8 +21,8 @@ SEED = 42
 RADIUS = 4
 #: The 32 two-bit segments are dealt to three bands of 11, 11 and 10.
 BANDS = ((0, 11), (11, 11), (22, 10))
-#: Words of a shingle where similarity itself decides, and bits of a shingle by which occurrences are counted.
-SIMILAR_WORDS, COUNT_BITS = 5, 22
+#: Words of a shingle where similarity itself decides, bits of a shingle by which occurrences are counted, and bits of the filter of shared shingles.
+SIMILAR_WORDS, COUNT_BITS, TOKEN_BITS = 5, 20, 1 << 27
 _EVEN_BITS = 0x5555555555555555
 _STEP = 1 << 16
 
@@ -132,90 +134,127 @@ def first_of_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     """
     members = cut(fingerprints(docs, id_col, text_col, words_in_shingle))
     first = _classes(members, radius).groupBy("root").agg(F.min("least").alias("f"))
-    return _kept(docs, first, id_col, text_col)
+    return _kept(docs, members, first, id_col, text_col)
 
 
-def _kept(docs: DataFrame, first: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """The rows of ``docs`` that column ``f`` of ``first`` names by id and text hash, one each, with all columns as they were."""
+def _kept(docs: DataFrame, members: DataFrame, first: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """The rows of ``docs`` that column ``f`` of ``first`` names by id and text hash, one each, with all columns as they were; ``members`` has
+    ``doc_id, h`` of every row. Only rows that may go are shuffled."""
     keep = cut(first.select(F.col("f.doc_id").alias("id"), F.col("f.h").alias("h")))
+    rows = members.groupBy("doc_id", "h").agg(F.count("*").alias("n"))
+    kept = rows.join(keep, rows["doc_id"].eqNullSafe(keep["id"]) & rows["h"].eqNullSafe(keep["h"]), "left")
+    moving = kept.where((F.col("n") > 1) | keep["h"].isNull()).select(F.xxhash64("doc_id", rows["h"]).alias("hash"))
     at = {c: f"c{i}" for i, c in enumerate(docs.columns)}
-    rows = docs.toDF(*at.values())
-    kept = rows.join(keep, rows[at[id_col]].eqNullSafe(keep["id"]) & (F.xxhash64(rows[at[text_col]]) == keep["h"]))
-    return kept.dropDuplicates(["id", "h"]).select(*(F.col(x).alias(c) for c, x in at.items()))
+    own = docs.toDF(*at.values()).withColumn("h", F.xxhash64(at[text_col]))
 
+    def change(some: DataFrame) -> DataFrame:
+        left = some.join(keep.withColumnRenamed("h", "kh"), some[at[id_col]].eqNullSafe(F.col("id")) & (some["h"] == F.col("kh")), "left_semi")
+        return left.dropDuplicates([at[id_col], "h"])
 
-def shingle_set(words: np.ndarray) -> np.ndarray:
-    """The different hashes of the shingles of ``SIMILAR_WORDS`` words in a row, in order; a shorter text is one shingle."""
-    if len(words) <= SIMILAR_WORDS:
-        return np.array([xxhash.xxh64_intdigest(words.tobytes(), SEED)], np.uint64)
-    return np.unique(shingles(words, SIMILAR_WORDS))
+    return changed(own, F.xxhash64(at[id_col], "h"), moving, change).select(*(F.col(x).alias(c) for c, x in at.items()))
 
 
-def _sets(batch: pa.RecordBatch, known: Words) -> Iterator[np.ndarray]:
-    for text in raw(batch, "text"):
-        yield shingle_set(known.of(text.lower().split()))
+class ShingleSets:
+    """The different shingles of ``SIMILAR_WORDS`` words of some texts (of fewer words: all of them as one), as hashes: ``text`` and ``token``
+    of each, by text; how many each text has (``n``), and a hash of each text's whole set (``s``)."""
 
+    def __init__(self, texts: Texts):
+        k, n = SIMILAR_WORDS, len(texts.hashes)
+        at = np.flatnonzero((texts.first + texts.n)[texts.text] - np.arange(n) >= k)
+        short = np.flatnonzero(texts.n < k)  # texts without words have the hash of none
+        token = np.concatenate([texts.sums.of(at, at + k), texts.sums.of(texts.first[short], texts.first[short] + texts.n[short])])
+        text = np.concatenate([texts.text[at], short])
+        order = np.lexsort((token, text))
+        token, text = token[order], text[order]
+        new = np.append(True, (token[1:] != token[:-1]) | (text[1:] != text[:-1]))[: len(token)]
+        self.token, self.text = token[new], text[new]
+        self.n = np.bincount(self.text, minlength=len(texts.n))
+        starts = np.cumsum(self.n) - self.n
+        whole = mixed(self.token * np.uint64(0x9E3779B97F4A7C15) + np.uint64(SEED))
+        self.s = np.add.reduceat(whole, starts).view(np.int64) if len(starts) else np.zeros(0, np.int64)
 
-def _counts(narrow: DataFrame) -> np.ndarray:
-    """In how many texts shingles occur, by the first bits of their hashes: a table of a fixed size, whatever the corpus."""
+    def prefix(self, counts: np.ndarray) -> np.ndarray:
+        """Places of the tokens of which one at least is shared by any two sets of similarity 0.8: the rarest fifth (and one more) of each."""
+        rarity = np.bitwise_count(_smeared(counts[self.token >> np.uint64(64 - COUNT_BITS)]))
+        order = np.lexsort((self.token, rarity, self.text))
+        place = np.arange(len(order)) - np.repeat(np.cumsum(self.n) - self.n, self.n)
+        return order[place < np.repeat(self.n - (4 * self.n + 4) // 5 + 1, self.n)]
+
+
+def _smeared(x: np.ndarray) -> np.ndarray:
+    """Each number with all bits below its highest one set."""
+    for k in (1, 2, 4, 8, 16):
+        x = x | x >> np.uint32(k)
+    return x
+
+
+def _sets(batch: pa.RecordBatch) -> Iterator[ShingleSets]:
+    for _, texts in grouped([x.lower() for x in raw(batch, "text")]):
+        yield ShingleSets(texts)
+
+
+def _counts(texts: DataFrame) -> np.ndarray:
+    """In how many texts shingles occur, by the first bits of their hashes: a table of a fixed size, whatever the corpus. It tells apart what many texts say."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        n, known = np.zeros(1 << COUNT_BITS, np.uint32), Words()
+        n = np.zeros(1 << COUNT_BITS, np.uint32)
         for batch in batches:
-            for x in _sets(batch, known):
-                np.add.at(n, (x >> np.uint64(64 - COUNT_BITS)).astype(np.int64), 1)
+            for x in _sets(batch):
+                np.add.at(n, (x.token >> np.uint64(64 - COUNT_BITS)).astype(np.int64), 1)
         if n.any():
             yield pa.RecordBatch.from_arrays([pa.array([n.tobytes()], pa.binary())], ["n"])
 
-    few = narrow.coalesce(2 * narrow.sparkSession.sparkContext.defaultParallelism)
+    few = texts.coalesce(2 * texts.sparkSession.sparkContext.defaultParallelism)
     tables = few.mapInArrow(lean(run), "n binary").rdd.map(lambda r: np.frombuffer(r[0], np.uint32))
     return tables.treeAggregate(np.zeros(1 << COUNT_BITS, np.uint32), np.add, np.add)
 
 
-def similar_links(narrow: DataFrame, members: DataFrame) -> DataFrame:
-    """Pairs ``(a, b)`` of different shingle sets of Jaccard similarity 0.8 or more, each once; none is missed.
+def similar_links(texts: DataFrame) -> DataFrame:
+    """Pairs ``(a, b)`` of different shingle sets, by their hashes, of Jaccard similarity 0.8 or more, each once; none is missed.
 
     In any one order of all shingles, sets so similar share a shingle among the first fifth of each (and one more). Rare
-    ones come first, so that what many texts say makes no candidates unless it is most of a text. The whole sets of the candidates decide.
+    ones come first, so that what many texts say makes no candidates unless it is most of a text. Only shingles that two different sets have among
+    their first (a filter of a fixed size says which may be) are joined, and only sets that are in a pair are gathered, to decide.
     """
-    counts = narrow.sparkSession.sparkContext.broadcast(_counts(narrow))
-
-    def first(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known = Words()
-        for batch in batches:
-            s, sizes, tokens = [], [], []
-            for x in _sets(batch, known):
-                n = len(x)
-                most = n - (4 * n + 4) // 5 + 1
-                order = np.lexsort((x, counts.value[x >> np.uint64(64 - COUNT_BITS)]))[:most]
-                s += [_of_set(x)] * len(order)
-                sizes += [n] * len(order)
-                tokens.append(x[order].view(np.int64))
-            yield pa.RecordBatch.from_arrays([pa.array(s, pa.int64()), pa.array(sizes, pa.int32()), pa.array(np.concatenate(tokens) if tokens else np.zeros(0, np.int64))], ["s", "n", "token"])
-
-    one = members.groupBy("s").agg(F.min("h").alias("h"))
-    once = cut(narrow.join(one.select("h"), "h", "left_semi"))
-    prefixes = cut(once.mapInArrow(lean(first), "s long, n int, token long").distinct())
+    spark = texts.sparkSession
+    counts = spark.sparkContext.broadcast(_counts(texts))
+
+    def first(shared: Broadcast | None) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                for x in _sets(batch):
+                    at = x.prefix(counts.value)
+                    if shared:
+                        at = at[shared.value.has(x.token[at])]
+                    columns = [pa.array(x.s[x.text[at]]), pa.array(x.n[x.text[at]].astype(np.int32)), pa.array(x.token[at].view(np.int64))]
+                    yield pa.RecordBatch.from_arrays(columns, ["s", "n", "token"])
+
+        return lean(run)
+
+    kinds = "s long, n int, token long"
+    twice = texts.mapInArrow(first(None), kinds).groupBy(F.col("token").alias("hash")).agg(F.min("s").alias("a"), F.max("s").alias("b")).where("a <> b")
+    shared = spark.sparkContext.broadcast(filter_of(twice.select("hash"), TOKEN_BITS))
+    prefixes = cut(texts.mapInArrow(first(shared), kinds).distinct())
     a, b = (prefixes.select(F.col("s").alias(x), F.col("n").alias(f"n{x}"), "token") for x in "ab")
     fits = (F.col("a") < F.col("b")) & (5 * F.least("na", "nb") >= 4 * F.greatest("na", "nb"))
     pairs = cut(a.hint("merge").join(b, "token").where(fits).select("a", "b").distinct())
+    asked = spark.sparkContext.broadcast(filter_of(pairs.select(F.explode(F.array("a", "b")).alias("hash")).distinct(), DOC_BITS))
 
     def whole(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known = Words()
         for batch in batches:
-            sets = list(_sets(batch, known))
-            yield pa.RecordBatch.from_arrays([pa.array([_of_set(x) for x in sets], pa.int64()), pa.array([x.view(np.int64) for x in sets], pa.list_(pa.int64()))], ["s", "set"])
+            for x in _sets(batch):
+                own = np.flatnonzero(asked.value.has(x.s.view(np.uint64)))
+                stops = np.cumsum(x.n)
+                sets = [x.token[stops[i] - x.n[i] : stops[i]].view(np.int64) for i in own]
+                yield pa.RecordBatch.from_arrays([pa.array(x.s[own]), pa.array(sets, pa.list_(pa.int64()))], ["s", "set"])
 
-    asked = pairs.select(F.explode(F.array("a", "b")).alias("s")).distinct().join(one, "s").select("h")
-    sets = cut(once.join(asked, "h", "left_semi").mapInArrow(lean(whole), "s long, set array<long>").dropDuplicates(["s"]))
+    sets = cut(texts.mapInArrow(lean(whole), "s long, set array<long>").dropDuplicates(["s"]))
     both = pairs.join(sets.select(F.col("s").alias("a"), F.col("set").alias("x")), "a").join(sets.select(F.col("s").alias("b"), F.col("set").alias("y")), "b")
-    shared = F.size(F.array_intersect("x", "y"))
-    return both.where(5 * shared >= 4 * (F.size("x") + F.size("y") - shared)).select("a", "b")
-
-
-def _of_set(x: np.ndarray) -> int:
-    h = xxhash.xxh64_intdigest(x.tobytes(), SEED)
-    return h - (1 << 64) if h >> 63 else h
+    shared_tokens = F.size(F.array_intersect("x", "y"))
+    links = cut(both.where(5 * shared_tokens >= 4 * (F.size("x") + F.size("y") - shared_tokens)).select("a", "b"))
+    for x in (counts, shared, asked):
+        x.destroy()
+    return links
 
 
 def first_of_similar(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -228,12 +267,12 @@ def first_of_similar(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
     narrow = docs.select(F.col(id_col).alias("doc_id"), F.xxhash64(text_col).alias("h"), F.col(text_col).alias("text"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known = Words()
         for batch in batches:
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("h"), pa.array([_of_set(x) for x in _sets(batch, known)], pa.int64())], ["doc_id", "h", "s"])
+            s = np.concatenate([np.zeros(0, np.int64), *(x.s for x in _sets(batch))])
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("h"), pa.array(s)], ["doc_id", "h", "s"])
 
     members = cut(narrow.mapInArrow(lean(run), f"doc_id {docs.schema[id_col].dataType.simpleString()}, h long, s long"))
     nodes = cut(members.groupBy("s").agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "h")).alias("least")))
-    roots = star_components(cut(similar_links(narrow.select("h", "text"), members)), "a", "b")
+    roots = star_components(similar_links(narrow.select("text")), "a", "b")
     rooted = nodes.join(roots, nodes["s"] == roots["node"], "left").select(F.coalesce("root", "s").alias("root"), "least")
-    return _kept(docs, rooted.groupBy("root").agg(F.min("least").alias("f")), id_col, text_col)
+    return _kept(docs, members, rooted.groupBy("root").agg(F.min("least").alias("f")), id_col, text_col)

@@ -22,16 +22,26 @@ def order(texts):
 
 
 def without_runs(texts, n=50):
-    """Each ``(id, text)`` to its words, line by line, without later occurrences of runs of ``n`` words. Ids are taken as different."""
+    """Each ``(id, text)`` to the text without later occurrences of runs of ``n`` words, and whether any went; the white space after what goes
+    goes too, but a line's rest leaves the line's break."""
     seen, out = {}, {}
     for i, t in order(texts):
-        words = [(m.group(), m.end()) for m in re.finditer(r"[^\x20\x09-\x0D]+", t)]
+        words = list(re.finditer(r"[^\x20\x09-\x0D]+", t))
         gone = [False] * len(words)
         for j in range(len(words) - n + 1):
-            key = tuple(w for w, _ in words[j : j + n])
+            key = tuple(w.group() for w in words[j : j + n])
             if seen.setdefault(key, (i, t, j)) != (i, t, j):
                 gone[j : j + n] = [True] * n
-        out[i, t] = [w for (w, _), g in zip(words, gone) if not g], any(gone)
+        left = t[: words[0].start()] if words else t
+        for j, (w, g) in enumerate(zip(words, gone)):
+            gap = t[w.end() : words[j + 1].start() if j + 1 < len(words) else len(t)]
+            if not g:
+                left += w.group() + gap
+            elif "\n" in gap and not (j + 1 < len(words) and gone[j + 1]):
+                first = max((k + 1 for k in range(j) if not gone[k]), default=0)
+                if first and "\n" not in t[words[first - 1].end() : words[first].start()]:
+                    left += gap
+        out[i, t] = (left if t.endswith("\n") or not any(gone) else left.rstrip()), any(gone)
     return out
 
 
@@ -41,18 +51,17 @@ def lines(text):
 
 
 def chunk_bounds(texts):
-    """Of each ``(id, text)`` the lines that must go and those that may: lines of three (two) in a row that stand at an earlier place, any two neighbours of ten words or more."""
-    found = {2: {}, 3: {}}
-    out = {}
+    """Of each ``(id, text)`` the lines that must go, those that may, and all. Two or three lines in a row that stand at an earlier place may go if two
+    neighbours among them have ten words; three must if any two have."""
+    found, out = {}, {}
     for i, t in order(texts):
-        ls = lines(t)
-        at = {2: set(), 3: set()}
+        ls, must, may = lines(t), set(), set()
         for n in (2, 3):
             for j in range(len(ls) - n + 1):
                 key = tuple(ls[j : j + n])
-                if any(len(a) + len(b) < 10 for a, b in zip(key, key[1:])):
-                    continue
-                if found[n].setdefault(key, (i, t, j)) != (i, t, j):
-                    at[n].update(range(j, j + n))
-        out[i, t] = Counter(ls[j] for j in at[3]), Counter(ls[j] for j in at[2]), Counter(ls)
+                if found.setdefault(key, (i, t, j)) != (i, t, j):
+                    long = [len(a) + len(b) >= 10 for a, b in zip(key, key[1:])]
+                    must.update(range(j, j + n) if n == 3 and all(long) else ())
+                    may.update(range(j, j + n) if any(long) else ())
+        out[i, t] = Counter(ls[j] for j in must), Counter(ls[j] for j in may), Counter(ls)
     return out
