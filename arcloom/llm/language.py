@@ -146,11 +146,14 @@ def bags_of(docs: DataFrame, id_col: str, text_col: str, s: Settings, *more: str
 def train(docs: DataFrame, learn: Column, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", settings: Settings = Settings()) -> Model | None:
     """A model from the rows for which ``learn`` holds, with non-null language, text and id; None if there are none.
 
-    At most ``settings.train_rows`` rows are used, chosen by the id's hash over the whole table.
+    At most ``settings.train_rows`` rows are used, chosen by the id's hash over the whole table; of an id with several texts that of the smallest hash.
     """
     labelled = docs.where(learn & F.col(lang_col).isNotNull() & F.col(text_col).isNotNull())
     keys = chosen(labelled.select(id_col), id_col, settings.train_rows)
-    rows = bags_of(with_keys(labelled, id_col, keys), id_col, text_col, settings, lang_col).collect()
+    one = F.min(F.struct(F.xxhash64(text_col), F.col(lang_col).alias("lang"), F.col(text_col).alias("text"))).alias("one")
+    few = with_keys(labelled.select(id_col, lang_col, text_col), id_col, keys).groupBy(id_col).agg(one)
+    few = few.select(id_col, F.col("one.lang").alias(lang_col), F.col("one.text").alias(text_col))
+    rows = bags_of(few, id_col, text_col, settings, lang_col).collect()
     rows = sorted(((r["id"], r[lang_col], bytes(r["buckets"]), bytes(r["counts"])) for r in rows if len(r["buckets"])))
     if not rows:
         return None

@@ -49,6 +49,34 @@ def test_classifier(spark, docs, module, column, least):
     assert len({r.score for r in module.score(docs, labels.where("false"), held_out(4, 2)).collect()}) == 1
 
 
+@pytest.fixture(scope="module")
+def twice(docs):
+    """Some rows twice, with columns that operators might use for themselves."""
+    some = docs.where("doc_id < 150 OR doc_id IS NULL")
+    return some.unionAll(some).withColumns({c: F.lit("clash") for c in ("id", "y", "k0", "lang_pred", "score", "predicted", "held_out", "accepted", "_h", "_key")})
+
+
+def pairs(rows, *columns):
+    found = {}
+    for r in rows:
+        found.setdefault(r.doc_id, []).append(tuple(r[c] for c in columns))
+    return found
+
+
+def test_language_of_repeated_rows(twice):
+    model = language.train(twice, F.lit(True), settings=language.Settings(train_rows=100, epochs=2))
+    found = pairs(language.identify(twice, model).collect(), "lang_pred", "score")
+    assert all(len(x) == 2 and x[0] == x[1] for x in found.values()) and len(found) > 100
+
+
+@pytest.mark.parametrize("module, settings", [(toxicity, toxicity.Settings(each=40, epochs=1)), (quality, quality.Settings(each=40, epochs=1))])
+def test_scores_of_repeated_rows(spark, twice, module, settings):
+    labels = table(spark, SMALL, "labels").select("doc_id", "quality", "toxic")
+    labels = labels.unionAll(labels).unionAll(labels.limit(1).select(F.lit(None).cast("bigint"), F.lit(None).cast(labels.schema["quality"].dataType), F.lit(7).cast(labels.schema["toxic"].dataType)))
+    found = pairs(module.score(twice, labels, held_out(4, 2), settings=settings).collect(), "score", "predicted")
+    assert all(len(x) == 2 and x[0] == x[1] for x in found.values()) and len(found) > 100
+
+
 def test_tables_score_as_the_network_does():
     s = toxicity.Settings(buckets=128)
     net = toxicity.Network(s)
