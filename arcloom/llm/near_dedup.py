@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Callable, Iterator
+from itertools import combinations
 
 import numpy as np
 import pyarrow as pa
@@ -19,8 +20,8 @@ from arcloom.scratch import cut
 
 SEED = 42
 RADIUS = 4
-#: The 32 two-bit segments are dealt to three bands of 11, 11 and 10.
-BANDS = ((0, 11), (11, 11), (22, 10))
+#: First segment and number of segments of the bands to which the 32 two-bit segments are dealt.
+BANDS = ((0, 5), (5, 5), (10, 5), (15, 5), (20, 4), (24, 4), (28, 4))
 #: Words of a shingle where similarity itself decides, bits of a shingle by which occurrences are counted, and bits of the filter of shared shingles.
 SIMILAR_WORDS, COUNT_BITS, TOKEN_BITS = 5, 20, 1 << 27
 _EVEN_BITS = 0x5555555555555555
@@ -78,31 +79,31 @@ def _manhattan(a: Column, b: Column) -> Column:
 
 
 def links(fps: DataFrame, radius: int = RADIUS) -> DataFrame:
-    """Pairs ``(a, b)`` of different fingerprints with at most ``radius`` (up to 5) differing bits, each once.
+    """Pairs ``(a, b)`` of different fingerprints with at most ``radius`` (less than the number of bands) differing bits, each once.
 
     A flipped bit changes one segment's popcount by one, so the Manhattan distance of the embeddings is at most
-    the Hamming distance. Over three bands a distance of 5 or less leaves one band with at most 1, so the grid
-    join meets each fingerprint's own cell with the same cell and with the cells one step higher in one segment;
-    Manhattan over all segments and then the bits themselves decide. The join is an equi-join on the cell, whose
-    crowded cells Spark's skew join divides among tasks.
+    the Hamming distance, and at most ``radius`` of the seven bands of segments differ at all. The grid's cells are the counts of the others, for every
+    choice of so many bands: two fingerprints meet in an equi-join on the cell, under the first choice on which they agree; Manhattan over all segments
+    and then the bits themselves decide. At radius 4 a cell has 13 or more segments, so one pair of random fingerprints in 50,000 meets. Crowded cells Spark's skew join divides among tasks.
     """
-    if radius > 2 * len(BANDS) - 1:
-        raise ValueError(f"the three bands find links of at most {2 * len(BANDS) - 1} bits")
-    embedded = fps.select("fp", _popcounts(F.col("fp")).alias("v"))
-    home, probe = [], []
-    for k, (first, count) in enumerate(BANDS):
-        cell = F.shiftrightunsigned(F.col("v"), 2 * first).bitwiseAND(F.lit((1 << 2 * count) - 1))
-        tag = F.lit(k << 60)
-        home.append(cell.bitwiseOR(tag))
-        probe.append(F.struct(cell.bitwiseOR(tag).alias("cell"), F.lit(False).alias("up")))
-        for s in range(count):
-            room = F.shiftrightunsigned(cell, 2 * s).bitwiseAND(F.lit(3)) < 2
-            probe.append(F.when(room, F.struct((cell + F.lit(1 << 2 * s)).bitwiseOR(tag).alias("cell"), F.lit(True).alias("up"))))
-    homes = embedded.select(F.col("fp").alias("b"), F.col("v").alias("vb"), F.explode(F.array(*home)).alias("cell"))
-    probes = embedded.select(F.col("fp").alias("a"), F.col("v").alias("va"), F.explode(F.array(*probe)).alias("p")).where("p is not null").select("a", "va", F.col("p.cell").alias("cell"), F.col("p.up").alias("up"))
+    need = len(BANDS) - radius
+    if need < 1:
+        raise ValueError(f"{len(BANDS)} bands find links of at most {len(BANDS) - 1} bits")
+    masks = [((1 << 2 * n) - 1) << 2 * first for first, n in BANDS]
+    signed = lambda x: x - (1 << 64) if x >> 63 else x
+    choices = list(combinations(range(len(BANDS)), need))
+    first = []
+    for agreeing in range(1 << len(BANDS)):
+        bands = tuple(k for k in range(len(BANDS)) if agreeing >> k & 1)[:need]
+        first.append(choices.index(bands) if len(bands) == need else -1)
+    cells = [F.struct(F.lit(k).alias("k"), F.xxhash64(F.lit(k), F.col("v").bitwiseAND(F.lit(signed(sum(masks[i] for i in c))))).alias("cell")) for k, c in enumerate(choices)]
+    met = fps.select("fp", _popcounts(F.col("fp")).alias("v")).select("fp", "v", F.explode(F.array(*cells)).alias("c"))
+    a, b = (met.select(F.col("fp").alias(x), F.col("v").alias(f"v{x}"), F.col("c.k").alias(f"k{x}"), F.col("c.cell").alias("cell")) for x in "ab")
+    apart = F.col("va").bitwiseXOR(F.col("vb"))
+    agreeing = sum((F.when(apart.bitwiseAND(F.lit(signed(m))) == 0, F.lit(1 << k)).otherwise(F.lit(0)) for k, m in enumerate(masks)), F.lit(0))
+    once = F.element_at(F.array(*map(F.lit, first)), agreeing + 1) == F.col("ka")
     near = (_manhattan(F.col("va"), F.col("vb")) <= radius) & (F.bit_count(F.col("a").bitwiseXOR(F.col("b"))) <= radius)
-    met = probes.hint("merge").join(homes, (probes["cell"] == homes["cell"]) & (F.col("up") | (F.col("a") < F.col("b"))) & near)
-    return met.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+    return a.hint("merge").join(b, "cell").where((F.col("a") < F.col("b")) & near & (F.col("ka") == F.col("kb")) & once).select("a", "b")
 
 
 def _classes(members: DataFrame, radius: int) -> DataFrame:
@@ -173,12 +174,16 @@ class ShingleSets:
         whole = mixed(self.token * np.uint64(0x9E3779B97F4A7C15) + np.uint64(SEED))
         self.s = np.add.reduceat(whole, starts).view(np.int64) if len(starts) else np.zeros(0, np.int64)
 
-    def prefix(self, counts: np.ndarray) -> np.ndarray:
-        """Places of the tokens of which one at least is shared by any two sets of similarity 0.8: the rarest fifth (and one more) of each."""
+    def prefix(self, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """The tokens of which one at least is shared by any two sets of similarity 0.8: the rarest fifth (and one more) of each. Their
+        places, their ranks in their set, and a number that orders each set's last such token among all tokens."""
         rarity = np.bitwise_count(_smeared(counts[self.token >> np.uint64(64 - COUNT_BITS)]))
         order = np.lexsort((self.token, rarity, self.text))
-        place = np.arange(len(order)) - np.repeat(np.cumsum(self.n) - self.n, self.n)
-        return order[place < np.repeat(self.n - (4 * self.n + 4) // 5 + 1, self.n)]
+        rank, size = np.arange(len(order)) - np.repeat(np.cumsum(self.n) - self.n, self.n), self.n - (4 * self.n + 4) // 5 + 1
+        place = (rarity.astype(np.uint64) << np.uint64(57) | self.token >> np.uint64(7)).view(np.int64)
+        last = place[order[np.cumsum(self.n) - self.n + size - 1]]
+        some = rank < np.repeat(size, self.n)
+        return order[some], rank[some], last
 
 
 def _smeared(x: np.ndarray) -> np.ndarray:
@@ -214,7 +219,9 @@ def similar_links(texts: DataFrame) -> DataFrame:
 
     In any one order of all shingles, sets so similar share a shingle among the first fifth of each (and one more). Rare
     ones come first, so that what many texts say makes no candidates unless it is most of a text. Only shingles that two different sets have among
-    their first (a filter of a fixed size says which may be) are joined, and only sets that are in a pair are gathered, to decide.
+    their first (a filter of a fixed size says which may be) are joined. Shared shingles that aren't among the first of both come after the last of the set
+    whose first ones end earlier, and after the last shared one of each; where what can follow is too little for a similarity of 0.8, as it is if
+    two sets of equal size share less than an eleventh of their shingles among their first, the pair goes. Only sets in the pairs that stay are gathered, to decide.
     """
     spark = texts.sparkSession
     counts = spark.sparkContext.broadcast(_counts(texts))
@@ -223,21 +230,27 @@ def similar_links(texts: DataFrame) -> DataFrame:
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for batch in batches:
                 for x in _sets(batch):
-                    at = x.prefix(counts.value)
+                    at, rank, last = x.prefix(counts.value)
                     if shared:
-                        at = at[shared.value.has(x.token[at])]
-                    columns = [pa.array(x.s[x.text[at]]), pa.array(x.n[x.text[at]].astype(np.int32)), pa.array(x.token[at].view(np.int64))]
-                    yield pa.RecordBatch.from_arrays(columns, ["s", "n", "token"])
+                        some = shared.value.has(x.token[at])
+                        at, rank = at[some], rank[some]
+                    of = x.text[at]
+                    columns = [pa.array(x.s[of]), pa.array(x.token[at].view(np.int64))]
+                    more = [pa.array(x.n[of].astype(np.int32)), pa.array(rank.astype(np.int32)), pa.array(last[of])] if shared else []
+                    yield pa.RecordBatch.from_arrays([*columns, *more], ["s", "token", "n", "rank", "last"][: len(columns) + len(more)])
 
         return lean(run)
 
-    kinds = "s long, n int, token long"
+    kinds = "s long, token long"
     twice = texts.mapInArrow(first(None), kinds).groupBy(F.col("token").alias("hash")).agg(F.min("s").alias("a"), F.max("s").alias("b")).where("a <> b")
     shared = spark.sparkContext.broadcast(filter_of(twice.select("hash"), TOKEN_BITS))
-    prefixes = cut(texts.mapInArrow(first(shared), kinds).distinct())
-    a, b = (prefixes.select(F.col("s").alias(x), F.col("n").alias(f"n{x}"), "token") for x in "ab")
+    prefixes = cut(texts.mapInArrow(first(shared), f"{kinds}, n int, rank int, last long").distinct())
+    a, b = (prefixes.select(F.col("s").alias(x), "token", *(F.col(c).alias(f"{c}{x}") for c in ("n", "rank", "last"))) for x in "ab")
     fits = (F.col("a") < F.col("b")) & (5 * F.least("na", "nb") >= 4 * F.greatest("na", "nb"))
-    pairs = cut(a.hint("merge").join(b, "token").where(fits).select("a", "b").distinct())
+    met = a.hint("merge").join(b, "token").where(fits).groupBy("a", "b").agg(F.count("*").alias("k"), F.max("ranka").alias("i"), F.max("rankb").alias("j"), *(F.first(f"{c}{x}").alias(f"{c}{x}") for c in ("n", "last") for x in "ab"))
+    behind = F.expr("(4 * if(lasta = lastb, greatest(na, nb), if(lasta < lastb, na, nb)) + 4) div 5 - 1")
+    follow = F.least(behind, F.expr("na - 1 - i"), F.expr("nb - 1 - j"))
+    pairs = cut(met.where(9 * (F.col("k") + follow) >= 4 * (F.col("na") + F.col("nb"))).select("a", "b"))
     asked = spark.sparkContext.broadcast(filter_of(pairs.select(F.explode(F.array("a", "b")).alias("hash")).distinct(), DOC_BITS))
 
     def whole(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
