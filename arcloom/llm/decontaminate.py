@@ -4,12 +4,13 @@ from __future__ import annotations
 
 from collections import Counter, defaultdict
 from collections.abc import Iterator
-from dataclasses import dataclass, field
+from dataclasses import dataclass
 from functools import reduce
 
 import numpy as np
 import pyarrow as pa
 import xxhash
+from pyspark import Broadcast
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_type
@@ -19,8 +20,11 @@ from arcloom.llm.filters import changed
 from arcloom.scratch import cut
 
 SHINGLE, SIMILARITY = 5, 0.8
-#: Of 64 bits. At a similarity of 0.8 about 10 bits differ, with a deviation of 3: the radius is five deviations off.
-RADIUS, BLOCKS = 26, 8
+#: Of 64 bits. At a similarity of 0.8 about 10 bits differ, with a deviation of 3: the radius is more than three deviations off. Two blocks
+#: of 32 bits filter best: one in twenty random pairs has a block within half the radius, while eight blocks would let nearly all through.
+RADIUS, BLOCKS = 20, 2
+#: Pairs of windows and items whose blocks are compared at a time.
+AT_A_TIME = 1 << 21
 #: Bytes of benchmark text that one pass over the documents looks for; a larger benchmark takes more passes.
 ITEM_BYTES = 8 << 20
 _PUNCTUATION = bytes(c for c in range(33, 127) if not chr(c).isalnum())
@@ -62,30 +66,26 @@ def fingerprint(sums: np.ndarray) -> np.ndarray:
     return np.packbits(sums > 0, axis=-1, bitorder="little").view(np.uint64)[..., 0]
 
 
-_NEAR = np.bitwise_count(np.arange(256, dtype=np.uint8)[:, None] ^ np.arange(256, dtype=np.uint8)[None, :]) <= RADIUS // BLOCKS
-
-
 @dataclass
 class Sized:
-    """The items of one length: multi-index over the eight bytes of their fingerprints."""
+    """The items of one length: multi-index over the blocks of their fingerprints."""
 
     ids: list[int]
     prints: np.ndarray
     counts: list[Counter]
-    near: np.ndarray = field(init=False)  # block, byte value, item
-
-    def __post_init__(self):
-        blocks = self.prints.view(np.uint8).reshape(-1, BLOCKS)
-        self.near = np.stack([_NEAR[:, blocks[:, b]] for b in range(BLOCKS)])
 
     def within(self, prints: np.ndarray) -> Iterator[tuple[int, int]]:
-        """(window, item) for every fingerprint within the radius: by the pigeonhole principle one of the eight
-        blocks of such a pair differs in at most ``RADIUS // BLOCKS`` bits, so the blocks' tables miss none."""
-        blocks = prints.view(np.uint8).reshape(-1, BLOCKS)
-        maybe = reduce(np.logical_or, (self.near[b][blocks[:, b]] for b in range(BLOCKS)))
-        for w, i in zip(*np.nonzero(maybe), strict=True):
-            if int(prints[w] ^ self.prints[i]).bit_count() <= RADIUS:
-                yield int(w), int(i)
+        """(window, item) for every fingerprint within the radius: by the pigeonhole principle one of the
+        blocks of such a pair differs in at most ``RADIUS // BLOCKS`` bits, so the blocks miss none; then all bits decide."""
+        step = max(1, AT_A_TIME // len(self.prints))
+        items = self.prints.view(np.uint32).reshape(-1, BLOCKS)
+        for k in range(0, len(prints), step):
+            some = np.ascontiguousarray(prints[k : k + step])
+            blocks = some.view(np.uint32).reshape(-1, BLOCKS)
+            maybe = reduce(np.logical_or, (np.bitwise_count(blocks[:, b, None] ^ items[None, :, b]) <= RADIUS // BLOCKS for b in range(BLOCKS)))
+            w, i = np.nonzero(maybe)
+            near = np.bitwise_count(some[w] ^ self.prints[i]) <= RADIUS
+            yield from zip((w[near] + k).tolist(), i[near].tolist(), strict=True)
 
 
 class Benchmark:
@@ -154,16 +154,18 @@ class Benchmark:
         return both / (sum(own.values()) + sum(item.values()) - both)
 
 
-def passes(benchmark: DataFrame, id_col: str, text_col: str, most: int = ITEM_BYTES) -> list[Benchmark]:
-    """The benchmark in parts of a bounded size; most benchmarks are one part."""
-    parts, part, held = [], [], 0
+def passes(benchmark: DataFrame, id_col: str, text_col: str, most: int = ITEM_BYTES) -> Iterator[Benchmark]:
+    """The benchmark in parts of a bounded size, of which one is held at a time; most benchmarks are one part."""
+    part, held = [], 0
     rows = benchmark.select(id_col, text_col).where(F.col(text_col).isNotNull()).orderBy(id_col, text_col)
     for item, text in rows.toLocalIterator():
         if part and held + len(text) > most:
-            parts, part, held = [*parts, Benchmark(part)], [], 0
+            yield Benchmark(part)
+            part, held = [], 0
         part.append((item, text.encode()))
         held += len(text)
-    return [*parts, Benchmark(part)] if part else parts
+    if part:
+        yield Benchmark(part)
 
 
 def leaks(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text: str = "text") -> DataFrame:
@@ -174,7 +176,8 @@ def leaks(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_co
     equals. Words are lower-cased and without ASCII punctuation. Only windows that share a shingle with an item of
     their size are looked at, which loses none, as no other reaches any similarity. Null texts and texts or items without words hold
     nothing; rows that repeat an id are one document each; two rows of one item id count as that item, and so do rows without an id, with a null item_id; empty tables give no rows.
-    The documents are read in place, without a shuffle, once for each bounded part of the benchmark.
+    The documents are read in place, without a shuffle, once for each bounded part of the benchmark; with several, each part's result is written before
+    the next part is taken, so that driver and executors hold one.
     """
     spark = docs.sparkSession
     small_batches(spark)
@@ -183,9 +186,7 @@ def leaks(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_co
     item_kind = to_arrow_type(benchmark.schema[item_col].dataType)
     narrow = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text")).where("text is not null")
 
-    def one(part: Benchmark) -> DataFrame:
-        items = spark.sparkContext.broadcast(part)
-
+    def one(items: Broadcast) -> DataFrame:
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             words, b = WordHashes(), items.value
             for batch in batches:
@@ -195,7 +196,14 @@ def leaks(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_co
 
         return narrow.mapInArrow(lean(run), kinds)
 
-    found = [one(part) for part in passes(benchmark, item_col, item_text)]
+    found, before = [], None
+    for part in passes(benchmark, item_col, item_text):
+        if before is not None:
+            found.append(cut(one(before)))
+            before.destroy()
+        before = spark.sparkContext.broadcast(part)
+    if before is not None:
+        found.append(one(before))
     return reduce(DataFrame.unionAll, found) if found else spark.createDataFrame([], kinds)
 
 

@@ -449,10 +449,22 @@ def test_leaks(spark):
     assert got == expected and len(got) > 15
     bad = {d for d, _ in expected}
     assert sorted(r.doc_id for r in decontaminate.clean(docs, bench).collect()) == sorted(d for d, _ in texts if d not in bad)
-    assert len(decontaminate.passes(bench, "item_id", "text", 100)) > 2
+    assert len([*decontaminate.passes(bench, "item_id", "text", 100)]) > 2
+    ties = spark.createDataFrame([(1, "a b c d e f g"), (2, "a b c d e f g"), (2, "a b c d e f g")], "item_id int, text string")
+    twice = decontaminate.leaks(frame(spark, [(5, "x a b c d e f g y a b c d e f g")]), ties)
+    assert sorted(tuple(r) for r in twice.collect()) == [(5, 1, 1.0, 1, 7), (5, 2, 1.0, 1, 7)] and twice.schema["item_id"].dataType.simpleString() == "int"
     assert decontaminate.leaks(docs, bench.where("false")).count() == 0 and decontaminate.leaks(frame(spark, []), bench).count() == 0
 
 
+def test_parts_of_a_benchmark_give_what_the_whole_gives(spark, monkeypatch):
+    items = [(i, " ".join(f"p{i}w{j}" for j in range(30))) for i in range(12)]
+    docs, bench = frame(spark, [(i, f"some {t} more") for i, t in items]), spark.createDataFrame(items, "item_id bigint, text string")
+    whole = sorted(map(tuple, decontaminate.leaks(docs, bench).collect()))
+    few = decontaminate.passes.__defaults__
+    monkeypatch.setattr(decontaminate.passes, "__defaults__", (400,))
+    assert sorted(map(tuple, decontaminate.leaks(docs, bench).collect())) == whole and len(whole) == 12 and few != (400,)
+
+
 def test_leaks_of_items_without_ids(spark):
     text = " ".join(f"t{i}" for i in range(30))
     bench = spark.createDataFrame([(None, text), (1, "other words that no document here holds"), (2, text)], "item_id bigint, text string")
