@@ -11,6 +11,8 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_schema
+from pyspark.sql.types import StructType
 
 #: Rows of one Arrow batch: a batch of very long texts stays in tens of MB.
 BATCH_ROWS = 512
@@ -47,12 +49,13 @@ _frozen: list[bool] = []
 def lean(run: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
     """``run``, after which the Python worker, which Spark keeps for later tasks, gives back the memory that it no longer uses.
 
-    What a worker has imported before its first task is left out of these collections: it stays anyway.
+    What a worker has imported before its first task is left out of these collections: it stays anyway. Arrow takes its memory from the system, so that all of it can be given back.
     """
 
     def through(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         if not _frozen:
             gc.freeze()
+            pa.set_memory_pool(pa.system_memory_pool())
             _frozen.append(True)
         yield from run(batches)
         gc.collect()
@@ -95,8 +98,31 @@ def chosen(df: DataFrame, key: str, n: int, *, salt: int = 0) -> list:
     return [r[0] for r in rows.collect()]
 
 
+def local(spark: SparkSession, schema: str, *columns: Iterable) -> DataFrame:
+    """A small frame of the driver's values, without a Python worker on the executors."""
+    kind = to_arrow_schema(StructType.fromDDL(schema))
+    return spark.createDataFrame(pa.table([pa.array(list(x), f.type) for x, f in zip(columns, kind, strict=True)], kind), schema)
+
+
+def summed(rows: DataFrame, tasks: int, kind: type) -> np.ndarray | None:
+    """The sum of the arrays in the binary column ``n`` of the ``tasks`` partitions: eight at a time on the executors, the last few on the driver."""
+
+    def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total = None
+        for batch in batches:
+            for x in batch.column("n").to_pylist():
+                total = np.frombuffer(x, kind).copy() if total is None else total + np.frombuffer(x, kind)
+        if total is not None:
+            yield pa.RecordBatch.from_arrays([pa.array([total.tobytes()], pa.binary())], ["n"])
+
+    while tasks > 8:
+        tasks = -(-tasks // 8)
+        rows = rows.repartition(tasks).mapInArrow(lean(add), "n binary")
+    found = [np.frombuffer(r[0], kind) for r in rows.collect()]
+    return np.sum(found, axis=0, dtype=kind) if found else None
+
+
 def with_keys(df: DataFrame, key: str, keys: Iterable) -> DataFrame:
     """The rows whose key is one of the given ones; ``keys`` is a bounded list."""
-    spark = df.sparkSession
-    few = spark.createDataFrame([(k,) for k in keys], f"{key} {df.schema[key].dataType.simpleString()}")
+    few = local(df.sparkSession, f"{key} {df.schema[key].dataType.simpleString()}", keys)
     return df.join(F.broadcast(few), key, "left_semi")

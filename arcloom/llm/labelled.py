@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from arcloom.llm.common import chosen, small_batches
+from arcloom.llm.common import chosen, local, small_batches
 
 
 def sample(docs: DataFrame, labels: DataFrame, label_col: str, learn: Column, each: int, id_col: str = "doc_id", text_col: str = "text") -> tuple[list[tuple[object, int, bytes]], dict[int, int]]:
@@ -20,7 +20,7 @@ def sample(docs: DataFrame, labels: DataFrame, label_col: str, learn: Column, ea
     keys = [(k, y) for y in (0, 1) for k in chosen(rows.where(F.col("y") == y), id_col, each)]
     if not keys:
         return [], sizes
-    few = docs.sparkSession.createDataFrame(keys, f"{id_col} {labels.schema[id_col].dataType.simpleString()}, y int")
+    few = local(docs.sparkSession, f"{id_col} {labels.schema[id_col].dataType.simpleString()}, y int", *zip(*keys, strict=True))
     found = docs.select(id_col, F.col(text_col).cast("binary").alias("text")).where("text is not null").join(F.broadcast(few), id_col)
     found = found.groupBy(id_col, "y").agg(F.min_by("text", F.xxhash64("text")).alias("text"))
     return sorted((r[id_col], int(r["y"]), bytes(r["text"])) for r in found.toLocalIterator()), sizes

@@ -12,7 +12,7 @@ from pyspark import Broadcast
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from arcloom.llm.common import lean, raw, small_batches
+from arcloom.llm.common import lean, raw, small_batches, summed
 from arcloom.llm.filters import DOC_BITS, changed, filter_of
 from arcloom.llm.spans import Texts, grouped, mixed
 from arcloom.operators.components import star_components
@@ -209,9 +209,9 @@ def _counts(texts: DataFrame) -> np.ndarray:
         if n.any():
             yield pa.RecordBatch.from_arrays([pa.array([n.tobytes()], pa.binary())], ["n"])
 
-    few = texts.coalesce(2 * texts.sparkSession.sparkContext.defaultParallelism)
-    tables = few.mapInArrow(lean(run), "n binary").rdd.map(lambda r: np.frombuffer(r[0], np.uint32))
-    return tables.treeAggregate(np.zeros(1 << COUNT_BITS, np.uint32), np.add, np.add)
+    tasks = 2 * texts.sparkSession.sparkContext.defaultParallelism
+    total = summed(texts.coalesce(tasks).mapInArrow(lean(run), "n binary"), tasks, np.uint32)
+    return np.zeros(1 << COUNT_BITS, np.uint32) if total is None else total
 
 
 def similar_links(texts: DataFrame) -> DataFrame:

@@ -19,7 +19,7 @@ from arcloom.scratch import cut
 CAPACITY = 2048
 TOKENIZER = "word_bpe_49k.json"
 #: Words whose ids a worker keeps, and the longest such word in bytes.
-CACHED_WORDS, CACHED_BYTES = 1 << 20, 64
+CACHED_WORDS, CACHED_BYTES = 1 << 19, 64
 #: Words of letters that are encoded together.
 TOGETHER = 256
 #: Pieces of one length that are numbered in one task.
@@ -52,7 +52,7 @@ class WordIds:
 
     def _clear(self) -> None:
         """Entry 0 is the id that ends a document."""
-        self.places = Places(4 * CACHED_WORDS)
+        self.places = Places(2 * CACHED_WORDS)
         self.hashes, self.used = np.zeros(CACHED_WORDS + 1, np.uint64), np.zeros(CACHED_WORDS + 1, bool)
         self.stops, self.ids, self.n = np.ones(CACHED_WORDS + 1, np.int64), np.zeros(1 << 16, np.uint32), 1
 
