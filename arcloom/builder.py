@@ -69,8 +69,10 @@ class Traversal:
         return (out.limit(self.most) if self.most >= 0 else out).select("start", "id", "depth", "path")
 
     def nodes(self) -> DataFrame:
-        """The hits with their nodes' columns."""
-        return self.rows().join(self.graph.nodes(), "id").orderBy("depth", "path")
+        """The hits with their nodes' columns; a property named like a hit's column comes as ``node_`` and its name."""
+        nodes = self.graph.nodes()
+        nodes = nodes.withColumnsRenamed({c: f"node_{c}" for c in ("start", "depth", "path") if c in nodes.columns})
+        return self.rows().join(nodes, "id").orderBy("depth", "path")
 
 
 def together(jobs: Iterable[Traversal | Callable[[], Any]], workers: int = 8) -> list:

@@ -15,9 +15,11 @@ def graph(spark, nodes, edges):
     return Graph.of_rows(spark, full, rels)
 
 
-def social(spark):
-    people = [("Alice", {"age": 30.0}), ("Bob", {"age": 25.0}), ("Charlie", {"age": 35.0}), ("Diana", {"age": 28.0})]
-    return graph(spark, people, [("Alice", "Bob", "FOLLOWS"), ("Bob", "Charlie", "FOLLOWS"), ("Charlie", "Diana", "FOLLOWS"), ("Alice", "Charlie", "LIKES")])
+def harbours(spark):
+    """Six harbours with their depths, lines that sail one way, and trade."""
+    depths = {"Aro": 11.5, "Brel": 7.0, "Cass": 19.0, "Dunn": 14.0, "Egg": 9.5, "Firth": 23.0}
+    sails = [("Aro", "Brel"), ("Brel", "Cass"), ("Cass", "Dunn"), ("Dunn", "Egg"), ("Aro", "Dunn")]
+    return graph(spark, [(n, {"depth": d}) for n, d in depths.items()], [*((a, b, "SAILS") for a, b in sails), ("Aro", "Cass", "TRADES"), ("Firth", "Aro", "TRADES")])
 
 
 def values(df, column=0):

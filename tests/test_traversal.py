@@ -43,9 +43,9 @@ def test_dfs(spark):
 
 
 def test_builder(spark):
-    g = graph(spark, [("Alice", {"age": 30.0}), ("Bob", {"age": 25.0}), ("Charlie", {"age": 35.0}), "topic"], [("Alice", "Bob", "follows"), ("Alice", "Charlie", "follows"), ("Bob", "Charlie", "follows"), ("Alice", "topic", "consumes")])
-    t = Traversal(g).start(1).follow("follows")
-    assert t.depth(1).rows().count() == 3 and t.depth(2).where(F.col("age") > 30).nodes().first().name == "Charlie"
+    g = graph(spark, [("Aro", {"depth": 11.5}), ("Brel", {"depth": 7.0}), ("Cass", {"depth": 19.0}), "cargo"], [("Aro", "Brel", "sails"), ("Aro", "Cass", "sails"), ("Brel", "Cass", "sails"), ("Aro", "cargo", "loads")])
+    t = Traversal(g).start(1).follow("sails")
+    assert t.depth(1).rows().count() == 3 and t.depth(2).where(F.col("depth") > 12).nodes().first().name == "Cass"
     assert [r.id for r in t.offset(1).limit(1).rows().collect()] == [2] and t.in_depth().rows().first().id == 1
     assert [len(x) for x in together([t.depth(1), t.depth(0), lambda: "xy"])] == [3, 1, 2]
     with pytest.raises(ValueError):
