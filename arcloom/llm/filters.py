@@ -37,12 +37,21 @@ class Bits:
 
 def filter_of(hashes: DataFrame, bits: int) -> Bits:
     """The filter of the column ``hash``; bitmaps are made where the rows are and only they come to the driver."""
-    at = F.pmod(F.col("hash"), F.lit(bits)) + 1
-    rows = hashes.groupBy(F.bitmap_bucket_number(at).alias("b")).agg(F.bitmap_construct_agg(F.bitmap_bit_position(at)).alias("m")).collect()
-    words = np.zeros(bits >> 3, np.uint8)
-    for b, m in rows:
-        words[(b - 1) << 12 : b << 12] = np.frombuffer(m, np.uint8)
-    return Bits(words)
+    return filters_of(hashes.select("hash", F.lit(1).alias("count")), [(bits, 0)])[0][0]
+
+
+def filters_of(counts: DataFrame, sizes: list[tuple[int, int]]) -> tuple[list[Bits], int]:
+    """For each ``(bits, least)`` the filter of the hashes in ``hash, count`` with a count above ``least``, all in one pass, and the sum of all counts."""
+    places = []
+    for k, (bits, least) in enumerate(sizes):
+        at = F.pmod(F.col("hash"), F.lit(bits)) + 1
+        places.append(F.when(F.col("count") > least, F.struct(F.lit(k).alias("k"), F.bitmap_bucket_number(at).alias("b"), F.bitmap_bit_position(at).alias("p"))))
+    each = counts.select("count", F.explode(F.array(*places)).alias("at")).where("at IS NOT NULL")
+    words, total = [np.zeros(bits >> 3, np.uint8) for bits, _ in sizes], 0
+    for k, b, m, n in each.groupBy("at.k", "at.b").agg(F.bitmap_construct_agg(F.col("at.p")), F.sum(F.col("count").cast("bigint"))).collect():
+        words[k][(b - 1) << 12 : b << 12] = np.frombuffer(m, np.uint8)
+        total += n if k == 0 else 0
+    return [Bits(w) for w in words], total
 
 
 def passing(bits: Broadcast, yes: bool) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:

@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from arcloom.llm.common import lean, raw, small_batches
-from arcloom.llm.filters import DOC_BITS, Bits, filter_of
+from arcloom.llm.filters import DOC_BITS, Bits, filter_of, filters_of
 from arcloom.llm.spans import Texts, grouped, mixed, sliding
 from arcloom.scratch import cut
 
@@ -178,9 +178,8 @@ class Repeats:
 
 
 def _repeats(hashes: DataFrame) -> Repeats:
-    counts = cut(hashes.groupBy("hash").count().where("count > 1"))
-    total = counts.agg(F.sum("count")).first()[0] or 0
-    return Repeats(filter_of(counts, SOME_BITS), filter_of(counts.where(F.col("count") > MANY), MANY_BITS), 16 + int(total) // EACH_GROUP)
+    (some, many), total = filters_of(hashes.groupBy("hash").count(), [(SOME_BITS, 1), (MANY_BITS, MANY)])
+    return Repeats(some, many, 16 + total // EACH_GROUP)
 
 
 def _segments(batch: pa.RecordBatch, repeats: Repeats) -> Iterator[pa.RecordBatch]:
