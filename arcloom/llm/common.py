@@ -6,6 +6,7 @@ import contextlib
 import ctypes
 import gc
 from collections.abc import Callable, Iterable, Iterator
+from typing import Any
 
 import numpy as np
 import pyarrow as pa
@@ -15,7 +16,7 @@ from pyspark.sql.pandas.types import to_arrow_schema
 from pyspark.sql.types import StructType
 
 #: Rows of one Arrow batch: a batch of very long texts stays in tens of MB.
-BATCH_ROWS = 512
+BATCH_ROWS = 256
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -44,24 +45,41 @@ def raw(batch: pa.RecordBatch, column: str) -> list[bytes]:
 
 
 _frozen: list[bool] = []
+#: What a worker keeps from one task to the next, by the name under which only tasks of the same kind ask for it.
+_kept: dict[str, Any] = {}
 
 
-def lean(run: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
-    """``run``, after which the Python worker, which Spark keeps for later tasks, gives back the memory that it no longer uses.
+def kept(name: str, make: Callable[[], Any]) -> Any:
+    """What tasks run by ``lean(..., keeps=name)`` keep in their worker, made by the first; a task of another kind lets it go."""
+    if name not in _kept:
+        _kept[name] = make()
+    return _kept[name]
 
-    What a worker has imported before its first task is left out of these collections: it stays anyway. Arrow takes its memory from the system, so that all of it can be given back.
-    """
+
+def _begin(keeps: str) -> None:
+    """A worker's first task leaves what has been imported out of later collections, and Arrow takes its memory from the system, so that all of it can be given back."""
+    if not _frozen:
+        gc.freeze()
+        pa.set_memory_pool(pa.system_memory_pool())
+        _frozen.append(True)
+    for name in [x for x in _kept if x != keeps]:
+        del _kept[name]
+
+
+def _end() -> None:
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    with contextlib.suppress(OSError, AttributeError):  # only glibc has it
+        ctypes.CDLL(None).malloc_trim(0)
+
+
+def lean(run: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], keeps: str = "") -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """``run``, after which the Python worker, which Spark keeps for later tasks, gives back the memory that it no longer uses."""
 
     def through(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        if not _frozen:
-            gc.freeze()
-            pa.set_memory_pool(pa.system_memory_pool())
-            _frozen.append(True)
+        _begin(keeps)
         yield from run(batches)
-        gc.collect()
-        pa.default_memory_pool().release_unused()
-        with contextlib.suppress(OSError, AttributeError):  # only glibc has it
-            ctypes.CDLL(None).malloc_trim(0)
+        _end()
 
     return through
 

@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from arcloom.llm.common import lean, raw, small_batches
+from arcloom.llm.common import kept, lean, raw, small_batches
 from arcloom.llm.spans import Places, Texts, grouped
 from arcloom.scratch import cut
 
@@ -143,9 +143,6 @@ def _spans(x: np.ndarray, first: np.ndarray, n: np.ndarray) -> np.ndarray:
     return x[np.repeat(first - (np.cumsum(n) - n), n) + np.arange(n.sum())]
 
 
-_loaded: dict[str | None, WordIds] = {}
-
-
 def pieces(docs: DataFrame, id_col: str, text_col: str, tokenizer: str | None, capacity: int, with_ids: bool) -> DataFrame:
     """``doc_id, piece, start, length, ids_crc32, n`` (and ``ids``, if asked for) of every piece of every document; ``n`` counts a task's pieces."""
     small_batches(docs.sparkSession)
@@ -153,9 +150,7 @@ def pieces(docs: DataFrame, id_col: str, text_col: str, tokenizer: str | None, c
     names = [f.split()[0] for f in fields.split(", ")]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        if tokenizer not in _loaded:
-            _loaded[tokenizer] = WordIds(tokenizer)
-        words, made = _loaded[tokenizer], 0
+        words, made = kept(f"word ids {tokenizer}", lambda: WordIds(tokenizer)), 0
         for batch in batches:
             texts = raw(batch, "text")
             special = {i: words.whole(x) for i, x in enumerate(texts) if b"<|" in x}
@@ -175,7 +170,7 @@ def pieces(docs: DataFrame, id_col: str, text_col: str, tokenizer: str | None, c
             made += len(row)
             yield pa.RecordBatch.from_arrays(columns + [pa.array(cut_ids, pa.binary())] * with_ids, names)
 
-    return docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text")).mapInArrow(lean(run), fields)
+    return docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text")).mapInArrow(lean(run, f"word ids {tokenizer}"), fields)
 
 
 class Capacities:
