@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterable, Mapping
+import contextlib
+from collections import ChainMap
+from collections.abc import Iterable, Iterator, Mapping
 from functools import reduce
 from typing import Any
 
+from pyspark import StorageLevel
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -129,6 +132,19 @@ class Graph:
         df = self.nodes((label,))
         return (df.where(F.col(key) == F.lit(value)) if key in df.columns else df.where(F.lit(False))).limit(1)
 
+    @contextlib.contextmanager
+    def kept(self, *labels: str, edges: Iterable[str] = ()) -> Iterator["Graph"]:
+        """The graph with the node tables that have one of the labels, and these edge tables, kept in executors' memory (what doesn't fit, on their disks) inside the block."""
+        nodes = {k: self.node_tables[k].persist(StorageLevel.MEMORY_AND_DISK) for k in self.node_tables if set(k) & set(labels)}
+        links = {k: self.edge_tables[k].persist(StorageLevel.MEMORY_AND_DISK) for k in edges}
+        hot = Graph(self.spark, ChainMap(nodes, self.node_tables), ChainMap(links, self.edge_tables))
+        hot.indexes = self.indexes
+        try:
+            yield hot
+        finally:
+            for df in (*nodes.values(), *links.values()):
+                df.unpersist()
+
     # queries
 
     def cypher(self, text: str, params: Mapping[str, Any] | None = None) -> DataFrame:

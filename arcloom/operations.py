@@ -17,6 +17,7 @@ from arcloom.model import BOTH, IN, OUT, Graph
 from arcloom.operators import adjacency, pages, paths, traversal
 from arcloom.queries import CUSTOMER, FOUND, NATION, ORDER, PART, REGION, SUPPLIER, _id, query
 from arcloom.scratch import shared_dir
+from arcloom.sources.files import FORMATS, files_graph
 from arcloom.sources.tables import KIND, LINES, PARTS, tables_graph
 from arcloom.store import Store
 from arcloom.streaming.replay import follow, replay
@@ -240,6 +241,37 @@ def engine_counters(g: Graph) -> DataFrame:
     return _rows(g.spark, [(k, int(shown[k])) for k in ("queries_total", "query_errors_total", "slow_queries_total", "rows_total")], "name string, value bigint")
 
 
+# sources
+
+_FORMATS = " UNION ALL ".join(f"SELECT '{k}' AS kind, n_nationkey AS nationkey, n_name AS name, r_name AS region FROM nation JOIN region ON n_regionkey = r_regionkey" for k in sorted(FORMATS))
+
+
+@query(_FORMATS)
+def file_formats(g: Graph) -> DataFrame:
+    """The same nations, regions and edges from files of each format, by a query."""
+    found, at = [], _place(g.spark, "files")
+    for kind in sorted(FORMATS):
+        tables = {"Nation": g.nodes(("Nation",), ("nationkey", "name")).drop("labels"), "Region": g.nodes(("Region",), ("name",)).drop("labels"), "IN_REGION": g.edges("IN_REGION", ()).drop("label")}
+        for name, df in tables.items():
+            df.write.format({"ndjson": "json", "tsv": "csv"}.get(kind, kind)).options(**FORMATS[kind]).save(f"{at}/{name}.{kind}")
+        paths_of = {name: f"{at}/{name}.{kind}" for name in tables}
+        read = files_graph(g.spark, {k: paths_of[k] for k in ("Nation", "Region")}, {"IN_REGION": paths_of["IN_REGION"]}, {name: df.schema for name, df in tables.items()} if kind != "json" else None)
+        rows = read.cypher("MATCH (n:Nation)-[:IN_REGION]->(r:Region) RETURN n.nationkey, n.name, r.name").toDF("nationkey", "name", "region")
+        found.append(rows.select(F.lit(kind).alias("kind"), F.col("nationkey").cast("bigint").alias("nationkey"), "name", "region"))
+    out = found[0]
+    for df in found[1:]:
+        out = out.unionAll(df)
+    return out
+
+
+@query(f"SELECT {REGION} AS id, count(*) AS n FROM region JOIN nation ON n_regionkey = r_regionkey GROUP BY 1")
+def kept_tables(g: Graph) -> DataFrame:
+    """Hot tables in executors' memory for as long as they are asked for."""
+    with g.kept("Nation", "Region", edges=("IN_REGION",)) as hot:
+        rows = hot.cypher("MATCH (n:Nation)-[:IN_REGION]->(r:Region) RETURN id(r)").toDF("id").groupBy("id").agg(F.count("*").alias("n")).collect()
+    return _rows(g.spark, [tuple(r) for r in rows], "id bigint, n bigint")
+
+
 # adjacency
 
 _FOUR = KIND * 2 + 1 + 4

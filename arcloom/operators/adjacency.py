@@ -78,8 +78,19 @@ def dangling_edges(graph: Graph) -> DataFrame:
 
 
 def verify(graph: Graph) -> DataFrame:
-    """``check_name, violations``: ids that repeat, edges with missing ends, and a checksum of each table's rows."""
+    """``check_name, violations``: ids that repeat, and edges with missing ends."""
     nodes, edges = graph.nodes(columns=()), graph.edges(columns=())
     repeats = lambda df: df.groupBy("id").count().where("count > 1").agg(F.count("*").alias("violations"))
     rows = [("repeated node ids", repeats(nodes)), ("repeated edge ids", repeats(edges)), ("dangling edges", dangling_edges(graph).agg(F.count("*").alias("violations")))]
     return reduce(DataFrame.unionAll, [df.select(F.lit(name).alias("check_name"), "violations") for name, df in rows])
+
+
+def checksums(graph: Graph) -> DataFrame:
+    """``kind, label, n, checksum`` of each table: the number of its rows and the sum of a 64-bit hash of each, whatever their order and files."""
+
+    def one(kind: str, label: str, df: DataFrame) -> DataFrame:
+        hashed = df.select(F.xxhash64(*sorted(df.columns)).cast("decimal(38,0)").alias("h"))
+        return hashed.agg(F.count("*").alias("n"), F.coalesce(F.sum("h"), F.lit(0)).cast("string").alias("checksum")).select(F.lit(kind).alias("kind"), F.lit(label).alias("label"), "n", "checksum")
+
+    tables = [one("node", ":".join(k), df) for k, df in graph.node_tables.items()] + [one("edge", k, df) for k, df in graph.edge_tables.items()]
+    return reduce(DataFrame.unionAll, tables) if tables else graph.spark.createDataFrame([], "kind string, label string, n bigint, checksum string")

@@ -193,13 +193,6 @@ def has_edge_all(g: Graph) -> DataFrame:
 FOUND["has_edge_all"] = (lambda spark, sf_dir: has_edge_all(tables_graph(spark, sf_dir)), f"SELECT DISTINCT {_id(4, 'l_suppkey')} AS src, {_id(6, 'l_partkey')} AS dst FROM lineitem WHERE l_suppkey IS NOT NULL AND l_partkey IS NOT NULL")
 
 
-@query(f"SELECT DISTINCT {SUPPLIER} AS src, {PART} AS dst FROM supplier, part WHERE p_partkey < 50 AND EXISTS (SELECT 1 FROM lineitem WHERE l_suppkey = s_suppkey AND l_partkey = p_partkey)")
-def has_edge(g: Graph) -> DataFrame:
-    few = g.nodes(("Part",), ("partkey",)).where("partkey < 50").select(F.col("id").alias("dst"))
-    some = g.nodes(("Supplier",), ()).select(F.col("id").alias("src"))
-    return has_edge_all(g).join(few, "dst", "left_semi").join(some, "src", "left_semi").select("src", "dst")
-
-
 @query(f"SELECT {_FIRST} AS id UNION ALL SELECT {CUSTOMER} FROM customer WHERE c_nationkey = 4 UNION ALL SELECT {SUPPLIER} FROM supplier WHERE s_nationkey = 4 UNION ALL SELECT {_id(1, 'n_regionkey')} FROM nation WHERE n_nationkey = 4")
 def neighborhood(g: Graph) -> DataFrame:
     return adjacency.neighborhood(g, _FIRST)[0].select("id")

@@ -218,6 +218,18 @@ def test_writes_add_small_parts(spark, store):
     assert len(store.state().nodes["N"]) <= 25 and store.graph().node(7).first().kind == 29
 
 
+def test_checksums_find_a_changed_row(store):
+    store.load_nodes(store.spark.range(1, 101).selectExpr("id", "concat('n', id) AS name"), ["N"])
+    store.add_edge(1, 2, "E")
+    rows = lambda: {(r.kind, r.label): (r.n, r.checksum) for r in adjacency.checksums(store.graph()).collect()}
+    before = rows()
+    store.compact(3)
+    assert rows() == before and before["node", "N"][0] == 100
+    store.update_node(7, {"name": "other"})
+    after = rows()
+    assert after["edge", "E"] == before["edge", "E"] and after["node", "N"][0] == 100 and after["node", "N"] != before["node", "N"]
+
+
 def test_compact_and_prune(store):
     for i in range(3):
         store.add_node({"n": i}, ["P"])
