@@ -26,6 +26,8 @@ LEAST_WORDS = 10
 SOME_BITS, MANY_BITS = 1 << 27, 1 << 24
 #: Places of one hash beyond which they are dealt to several groups, and places in all for which one more group is made.
 MANY, EACH_GROUP = 1000, 4_000_000
+#: Places of which one partition more is made.
+EACH_PARTITION = 500_000
 #: Rows that a task compares at a time, and keys of a dealt group that it keeps.
 _ROWS, _KEPT = 1 << 14, 1 << 20
 
@@ -170,16 +172,17 @@ def _signs(docs: DataFrame) -> DataFrame:
 
 @dataclass
 class Repeats:
-    """Filters of the hashes that repeat and of those that repeat often, and the number of groups that the latter are dealt to."""
+    """Filters of the hashes that repeat and of those that repeat often, the number of groups that the latter are dealt to, and of all their places."""
 
     some: Bits
     many: Bits
     groups: int
+    places: int
 
 
 def _repeats(hashes: DataFrame) -> Repeats:
     (some, many), total = filters_of(hashes.groupBy("hash").count(), [(SOME_BITS, 1), (MANY_BITS, MANY)])
-    return Repeats(some, many, 16 + total // EACH_GROUP)
+    return Repeats(some, many, 16 + total // EACH_GROUP, total)
 
 
 def _segments(batch: pa.RecordBatch, repeats: Repeats) -> Iterator[pa.RecordBatch]:
@@ -228,8 +231,8 @@ def _rows(batch: pa.RecordBatch, row: np.ndarray, k: np.ndarray, hashes: np.ndar
     return pa.RecordBatch.from_arrays(columns, ["id", "h", "k", "hash", "deal", "keys"])
 
 
-def _compared(places: DataFrame, kind: str, later: Callable[[pa.Table, list], tuple]) -> DataFrame:
-    """Runs ``later`` over all places of a hash in the order of places; gives ``(id, h, a, b)`` of the words or lines that go.
+def _compared(places: DataFrame, n: int, kind: str, later: Callable[[pa.Table, list], tuple]) -> DataFrame:
+    """Runs ``later`` over all places (about ``n``) of a hash in the order of places; gives ``(id, h, a, b)`` of the words or lines that go.
 
     A hash that many texts have is dealt to groups; the first key of each group then is compared among groups by one minimum for each key, combined before the shuffle.
     """
@@ -247,7 +250,8 @@ def _compared(places: DataFrame, kind: str, later: Callable[[pa.Table, list], tu
         if held:
             yield from _later(pa.Table.from_batches(held), state, later, fields)
 
-    done = cut(places.repartition("hash", "deal").sortWithinPartitions(*order).mapInArrow(lean(run), fields))
+    parts = max(2 * places.sparkSession.sparkContext.defaultParallelism, n // EACH_PARTITION)
+    done = cut(places.repartition(parts, "hash", "deal").sortWithinPartitions(*order).mapInArrow(lean(run), fields))
     place = F.struct(F.col("id").isNull().alias("none"), "id", "h", "a")
     open_ = done.where("key IS NOT NULL")
     least = open_.groupBy("hash", "key").agg(F.count("*").alias("n"), F.min(place).alias("least")).where("n > 1").drop("n")
@@ -426,13 +430,14 @@ def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
 
     def found(some: DataFrame, hashes: DataFrame, rows: Callable, later: Callable) -> DataFrame:
         """``(id, h, a, b)`` of what goes."""
-        repeats = spark.sparkContext.broadcast(_repeats(hashes))
+        known = _repeats(hashes)
+        repeats = spark.sparkContext.broadcast(known)
 
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for batch in batches:
                 yield from rows(batch, repeats.value)
 
-        gone = _compared(some.mapInArrow(lean(run), place), kind, later)
+        gone = _compared(some.mapInArrow(lean(run), place), known.places, kind, later)
         repeats.destroy()
         return gone
 
