@@ -36,7 +36,8 @@ class WordIds:
     full, the words that weren't used since the last time go. A text that may hold a special token's string is encoded whole.
     """
 
-    def __init__(self, path: str | None):
+    def __init__(self, path: str | None, words: int = CACHED_WORDS):
+        self.words = words
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
@@ -52,14 +53,14 @@ class WordIds:
 
     def _clear(self) -> None:
         """Entry 0 is the id that ends a document."""
-        self.places = Places(2 * CACHED_WORDS)
-        self.hashes, self.used = np.zeros(CACHED_WORDS + 1, np.uint64), np.zeros(CACHED_WORDS + 1, bool)
-        self.stops, self.ids, self.n = np.ones(CACHED_WORDS + 1, np.int64), np.zeros(1 << 16, np.uint32), 1
+        self.places = Places(2 * self.words)
+        self.hashes, self.used = np.zeros(self.words + 1, np.uint64), np.zeros(self.words + 1, bool)
+        self.stops, self.ids, self.n = np.ones(self.words + 1, np.int64), np.zeros(1 << 16, np.uint32), 1
 
     def _keep_used(self) -> None:
         """Make room: words that were met no second time since the last time go, or all, if that isn't half of them."""
         kept = np.flatnonzero(self.used[1 : self.n]) + 1
-        if len(kept) > CACHED_WORDS // 2:
+        if len(kept) > self.words // 2:
             kept = kept[:0]
         hashes, stops, ids = self.hashes[kept], self.stops, self.ids
         first, n = stops[kept - 1], stops[kept] - stops[kept - 1]
@@ -110,7 +111,7 @@ class WordIds:
         entry = self.places.find(h)
         new = np.flatnonzero(entry == 0)
         own, first, back = np.unique(h[new], return_index=True, return_inverse=True)
-        if self.n + len(own) > CACHED_WORDS:
+        if self.n + len(own) > self.words:
             self._keep_used()
             entry = self.places.find(h)
             new = np.flatnonzero(entry == 0)
@@ -118,7 +119,7 @@ class WordIds:
         self.used[entry] = True
         a, b = texts.starts[new[first]], texts.ends[new[first]]
         long = b - a > CACHED_BYTES
-        kept = np.flatnonzero(~long)[: CACHED_WORDS - self.n]
+        kept = np.flatnonzero(~long)[: self.words - self.n]
         once = np.setdiff1d(np.arange(len(own)), kept)
         order = np.concatenate([kept, once])
         ids, n = self._encode([texts.data[i:j] for i, j in zip(a[order].tolist(), b[order].tolist(), strict=True)])
@@ -143,14 +144,14 @@ def _spans(x: np.ndarray, first: np.ndarray, n: np.ndarray) -> np.ndarray:
     return x[np.repeat(first - (np.cumsum(n) - n), n) + np.arange(n.sum())]
 
 
-def pieces(docs: DataFrame, id_col: str, text_col: str, tokenizer: str | None, capacity: int, with_ids: bool) -> DataFrame:
+def pieces(docs: DataFrame, id_col: str, text_col: str, tokenizer: str | None, capacity: int, with_ids: bool, words_kept: int = CACHED_WORDS) -> DataFrame:
     """``doc_id, piece, start, length, ids_crc32, n`` (and ``ids``, if asked for) of every piece of every document; ``n`` counts a task's pieces."""
     small_batches(docs.sparkSession)
     fields = f"doc_id {docs.schema[id_col].dataType.simpleString()}, piece int, start long, length long, ids_crc32 long, n long" + ", ids binary" * with_ids
-    names = [f.split()[0] for f in fields.split(", ")]
+    names, keeps = [f.split()[0] for f in fields.split(", ")], f"{words_kept} words of {tokenizer}"
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        words, made = kept(f"word ids {tokenizer}", lambda: WordIds(tokenizer)), 0
+        words, made = kept(keeps, lambda: WordIds(tokenizer, words_kept)), 0
         for batch in batches:
             texts = raw(batch, "text")
             special = {i: words.whole(x) for i, x in enumerate(texts) if b"<|" in x}
@@ -170,7 +171,7 @@ def pieces(docs: DataFrame, id_col: str, text_col: str, tokenizer: str | None, c
             made += len(row)
             yield pa.RecordBatch.from_arrays(columns + [pa.array(cut_ids, pa.binary())] * with_ids, names)
 
-    return docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text")).mapInArrow(lean(run, f"word ids {tokenizer}"), fields)
+    return docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text")).mapInArrow(lean(run, keeps), fields)
 
 
 class Capacities:
@@ -241,19 +242,20 @@ def best_fit_decreasing(counts: dict[int, int], capacity: int) -> list[tuple[int
     return runs
 
 
-def pack(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", tokenizer: str | None = None, capacity: int = CAPACITY, with_ids: bool = False) -> DataFrame:
+def pack(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", tokenizer: str | None = None, capacity: int = CAPACITY, with_ids: bool = False, words_kept: int = CACHED_WORDS) -> DataFrame:
     """Pack every document's token ids, and id 0 after them, into as few sequences as best-fit decreasing finds.
 
     Returns ``doc_id, piece, start, length, ids_crc32, sequence_id, offset`` (and ``ids``, if asked for) for each
     piece; only documents of over ``capacity`` ids are cut. A null or empty text is the end id alone; repeated rows
     are packed each by itself; null ids stay null; an empty table gives no rows; other columns are ignored. Ties go to any order.
+    Of ``words_kept`` words each worker keeps the ids, which only saves time.
 
     Only the count of each length, at most ``capacity`` numbers, comes to the driver. Pieces of one length get their
     ranks in salted buckets, so a length that a third of the pieces have is spread out, even if these repeat one row; the runs of the plan, whose
     number the capacity bounds, then turn a rank into a bin and an offset.
     """
     spark = docs.sparkSession
-    made = cut(pieces(docs, id_col, text_col, tokenizer, capacity, with_ids))
+    made = cut(pieces(docs, id_col, text_col, tokenizer, capacity, with_ids, words_kept))
     counts = {int(r[0]): int(r[1]) for r in made.groupBy("length").count().collect()}
     buckets = max(64, sum(counts.values()) // PIECES_PER_BUCKET)
     runs = sorted(best_fit_decreasing(counts, capacity))

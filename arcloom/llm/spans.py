@@ -11,13 +11,10 @@ import numpy as np
 _BYTES, _WORDS, _AGAIN = 0x9E3779B185EBCA87, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9
 #: Bytes of a text that are hashed at a time, and bytes of texts that are taken together: what is made of them stays in a core's cache.
 _PART, GROUP = 1 << 16, 1 << 18
-SPACE = np.zeros(256, bool)
-SPACE[[9, 10, 11, 12, 13, 32]] = True
 _BLANK, _MARK, _ALNUM = np.zeros((3, 256), bool)
 _BLANK[[9, 32]] = True
 _ALNUM[[*range(48, 58), *range(65, 91), *range(97, 123)]] = True
 _MARK[list(b".!?")] = True
-_OF_BYTE = np.random.default_rng(11).integers(0, 1 << 64, 256, np.uint64)
 
 
 class Powers:
@@ -103,8 +100,9 @@ class Texts:
         self.data = b"\n".join([*texts, b""])
         self.bytes = np.frombuffer(self.data, np.uint8)
         self.offsets = np.cumsum([0, *(len(x) + 1 for x in texts)])
-        space = SPACE[self.bytes]
-        edges = np.flatnonzero(np.diff(space.view(np.int8), prepend=np.int8(1)))
+        space = (self.bytes == 32) | (self.bytes - np.uint8(9) <= 4)
+        edges = np.flatnonzero(space[1:] != space[:-1]) + 1
+        edges = edges if space[0] else np.append(0, edges)
         self.starts, self.ends = edges[::2], edges[1::2]
         if marks and len(self.starts):
             last = self.bytes[self.ends - 1]
@@ -117,7 +115,7 @@ class Texts:
         while i < len(self.starts):
             at = self.starts[i]
             j = max(i + 1, int(np.searchsorted(self.ends, at + _PART, "right")))
-            sums = Sums(_OF_BYTE[self.bytes[at : self.ends[j - 1]]], _of_bytes)
+            sums = Sums(self.bytes[at : self.ends[j - 1]].astype(np.uint64) + np.uint64(1), _of_bytes)
             self.hashes[i:j] = sums.of(self.starts[i:j] - at, self.ends[i:j] - at)
             i = j
         bounds = np.searchsorted(self.starts, self.offsets)
@@ -160,8 +158,9 @@ class Texts:
         ended = np.searchsorted(self.breaks, stops) - np.searchsorted(self.breaks, at)
         last = (self.first + self.n - 1)[some]
         closed = (stops > at) & (self.bytes[stops - 1] == 10)
-        rest = np.searchsorted(self.breaks, stops[some]) == np.searchsorted(self.breaks, self.ends[last])
-        closed[some] |= self.sentence_ends[last] & rest
+        other = np.flatnonzero((self.bytes >= 10) & (self.bytes <= 13))
+        blank = np.searchsorted(other, stops[some]) == np.searchsorted(other, self.ends[last])
+        closed[some] |= self.sentence_ends[last] & blank
         return sentences + ended + ~closed
 
 
