@@ -8,6 +8,7 @@ import uuid
 from collections.abc import Callable
 from typing import Any
 
+import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -660,7 +661,6 @@ def trimmed_log(store: Store) -> DataFrame:
 @query(f"SELECT {ORDER} AS id FROM orders WHERE o_totalprice > 400000")
 def opaque_predicate(g: Graph) -> DataFrame:
     """A filter that only Python knows, as a pandas UDF over batches."""
-    import pandas as pd
 
     @F.pandas_udf("boolean")
     def dear(x: pd.Series) -> pd.Series:

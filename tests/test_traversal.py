@@ -215,3 +215,14 @@ def test_ids_of_large_keys_never_meet(spark, tmp_path):
     spark.createDataFrame([(1, 1, PARTS, 3, 1.0, 1.0, 0.0, "N")], of_lines).write.parquet(str(tmp_path / "far" / "lineitem.parquet"))
     with pytest.raises(Exception, match="too large"):
         tables_graph(spark, str(tmp_path / "far")).edges("SUPPLIES").collect()
+
+
+def test_opaque_predicate(spark):
+    """A filter by a pandas UDF runs and takes the rows that its SQL takes."""
+    from arcloom import operations
+
+    d = "/root/testdata/sf0.01"
+    spark.read.parquet(f"{d}/orders.parquet").createOrReplaceTempView("orders")
+    run, sql = operations.FOUND["opaque_predicate"]
+    out = run(spark, d)
+    assert out.columns == ["id"] and sorted(map(tuple, out.collect())) == sorted(map(tuple, spark.sql(sql).collect())) != []
