@@ -24,7 +24,13 @@ RADIUS = 4
 BANDS = ((0, 5), (5, 5), (10, 5), (15, 5), (20, 4), (24, 4), (28, 4))
 #: Words of a shingle where similarity itself decides, bits of a shingle by which occurrences are counted, and bits of the filter of shared shingles.
 SIMILAR_WORDS, COUNT_BITS, TOKEN_BITS = 5, 20, 1 << 27
+#: Multipliers of the words of a set's fingerprint, one for each 64 of its bits, and its radius. At a similarity of 0.8 a bit differs with a probability of at most
+#: 0.162, or 0.1875 for sets of four and five shingles: over the radius is one such pair in 10^14 or more, or one in 3 * 10^10; within it four of a million random pairs.
+PRINT_WORDS, SIMILAR_RADIUS = (0x9E3779B185EBCA87, 0xD6E8FEB86659FD93, 0xA0761D6478BD642F, 0xE7037ED1A0B428DB), 92
+_F = [f"f{k}" for k in range(len(PRINT_WORDS))]
+_KINDS = ", ".join(f"{f} long" for f in _F)
 _EVEN_BITS = 0x5555555555555555
+_BYTE_ONES = np.uint64(0x0101010101010101)
 _STEP = 1 << 16
 
 
@@ -174,6 +180,20 @@ class ShingleSets:
         whole = mixed(self.token * np.uint64(0x9E3779B97F4A7C15) + np.uint64(SEED))
         self.s = np.add.reduceat(whole, starts).view(np.int64) if len(starts) else np.zeros(0, np.int64)
 
+    def prints(self) -> np.ndarray:
+        """The SimHash of each set, as rows of 64-bit words: a bit is 1 if set in over half the shingles' hashes."""
+        parts = -(-self.n // 255)  # of as many shingles as a byte can count
+        part = np.cumsum(parts) - parts
+        first = np.repeat(np.cumsum(self.n) - self.n - 255 * part, parts) + 255 * np.arange(parts.sum())
+        out = np.zeros((len(PRINT_WORDS), len(self.n)), np.int64)
+        for w, multiplier in enumerate(PRINT_WORDS):
+            h, ones = mixed(self.token * np.uint64(multiplier)), np.zeros((len(self.n), 8, 8), np.int64)
+            for k in range(8):
+                counted = np.add.reduceat(h >> np.uint64(k) & _BYTE_ONES, first).view(np.uint8).reshape(-1, 8)
+                ones[:, :, k] = np.add.reduceat(counted, part, axis=0, dtype=np.int64)
+            out[w] = np.packbits(2 * ones.reshape(-1, 64) > self.n[:, None], axis=1, bitorder="little").view(np.int64)[:, 0]
+        return out
+
     def prefix(self, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """The tokens of which one at least is shared by any two sets of similarity 0.8: the rarest fifth (and one more) of each. Their
         places, their ranks in their set, and a number that orders each set's last such token among all tokens."""
@@ -214,10 +234,33 @@ def _counts(texts: DataFrame) -> np.ndarray:
     return np.zeros(1 << COUNT_BITS, np.uint32) if total is None else total
 
 
-def similar_links(texts: DataFrame) -> DataFrame:
-    """Pairs ``(a, b)`` of different shingle sets, by their hashes, of Jaccard similarity 0.8 or more, each once; none is missed.
+def _sizes_fit() -> Column:
+    return 5 * F.least("na", "nb") >= 4 * F.greatest("na", "nb")
+
+
+def _within(radius: int) -> Column:
+    """Whether fingerprints of sets have at most ``radius`` differing bits: first the Manhattan distance of their embeddings, which is no more, then the bits."""
+    a, b = ([F.col(f"{f}{x}") for f in _F] for x in "ab")
+    manhattan = sum((_manhattan(_popcounts(x), _popcounts(y)) for x, y in zip(a, b, strict=True)), F.lit(0))
+    bits = sum((F.bit_count(x.bitwiseXOR(y)) for x, y in zip(a, b, strict=True)), F.lit(0))
+    return (manhattan <= radius) & (bits <= radius)
+
+
+def _grid(sets: DataFrame) -> DataFrame:
+    """Pairs ``(a, b)`` of sets of fitting sizes whose fingerprints have 1 to ``RADIUS`` differing bits in their first word, by the grid join of ``links``, and are within ``SIMILAR_RADIUS``."""
+    met = links(cut(sets.select(F.col("f0").alias("fp")).distinct())).toDF("f0a", "f0b")
+    a, b = (sets.select(F.col("s").alias(x), *(F.col(c).alias(f"{c}{x}") for c in ("n", *_F))) for x in "ab")
+    return met.join(a, "f0a").join(b, "f0b").where(_sizes_fit() & _within(SIMILAR_RADIUS)).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
 
-    In any one order of all shingles, sets so similar share a shingle among the first fifth of each (and one more). Rare
+
+def similar_links(texts: DataFrame, own: DataFrame) -> DataFrame:
+    """Pairs ``(a, b)`` of different shingle sets, by their hashes, of Jaccard similarity 0.8 or more, each once; ``own`` has ``s, n`` and the fingerprint of each set.
+
+    The fingerprint is a SimHash of 256 bits of the set. Pairs that differ in few bits of its first word meet in the grid of their popcounts. At a similarity of 0.8 about 10 bits of
+    a word differ, and no grid that is sure to meet such pairs tells them from others; so the rest of the pairs meet in cells that their shingles name, which lose none. Both kinds go on if the Manhattan distance of
+    the embeddings and then the bits are within the radius (see there), and whole sets decide.
+
+    The cells of the rest: in any one order of all shingles, sets so similar share a shingle among the first fifth of each (and one more). Rare
     ones come first, so that what many texts say makes no candidates unless it is most of a text. Only shingles that two different sets have among
     their first (a filter of a fixed size says which may be) are joined. Shared shingles that aren't among the first of both come after the last of the set
     whose first ones end earlier, and after the last shared one of each; where what can follow is too little for a similarity of 0.8, as it is if
@@ -235,22 +278,25 @@ def similar_links(texts: DataFrame) -> DataFrame:
                         some = shared.value.has(x.token[at])
                         at, rank = at[some], rank[some]
                     of = x.text[at]
-                    columns = [pa.array(x.s[of]), pa.array(x.token[at].view(np.int64))]
-                    more = [pa.array(x.n[of].astype(np.int32)), pa.array(rank.astype(np.int32)), pa.array(last[of])] if shared else []
-                    yield pa.RecordBatch.from_arrays([*columns, *more], ["s", "token", "n", "rank", "last"][: len(columns) + len(more)])
+                    columns = {"s": x.s[of], "token": x.token[at].view(np.int64)}
+                    if shared:
+                        columns |= {"n": x.n[of].astype(np.int32), "rank": rank.astype(np.int32), "last": last[of]} | dict(zip(_F, x.prints()[:, of], strict=True))
+                    yield pa.RecordBatch.from_pydict({k: pa.array(v) for k, v in columns.items()})
 
         return lean(run)
 
     kinds = "s long, token long"
     twice = texts.mapInArrow(first(None), kinds).groupBy(F.col("token").alias("hash")).agg(F.min("s").alias("a"), F.max("s").alias("b")).where("a <> b")
     shared = spark.sparkContext.broadcast(filter_of(twice.select("hash"), TOKEN_BITS))
-    prefixes = cut(texts.mapInArrow(first(shared), f"{kinds}, n int, rank int, last long").distinct())
-    a, b = (prefixes.select(F.col("s").alias(x), "token", *(F.col(c).alias(f"{c}{x}") for c in ("n", "rank", "last"))) for x in "ab")
-    fits = (F.col("a") < F.col("b")) & (5 * F.least("na", "nb") >= 4 * F.greatest("na", "nb"))
+    prefixes = cut(texts.mapInArrow(first(shared), f"{kinds}, n int, rank int, last long, {_KINDS}").distinct())
+    a, b = (prefixes.select(F.col("s").alias(x), "token", *(F.col(c).alias(f"{c}{x}") for c in ("n", "rank", "last", *_F))) for x in "ab")
+    in_grid = F.bit_count(F.col("f0a").bitwiseXOR(F.col("f0b"))).between(1, RADIUS)
+    fits = (F.col("a") < F.col("b")) & _sizes_fit() & ~in_grid & _within(SIMILAR_RADIUS)
     met = a.hint("merge").join(b, "token").where(fits).groupBy("a", "b").agg(F.count("*").alias("k"), F.max("ranka").alias("i"), F.max("rankb").alias("j"), *(F.first(f"{c}{x}").alias(f"{c}{x}") for c in ("n", "last") for x in "ab"))
     behind = F.expr("(4 * if(lasta = lastb, greatest(na, nb), if(lasta < lastb, na, nb)) + 4) div 5 - 1")
     follow = F.least(behind, F.expr("na - 1 - i"), F.expr("nb - 1 - j"))
-    pairs = cut(met.where(9 * (F.col("k") + follow) >= 4 * (F.col("na") + F.col("nb"))).select("a", "b"))
+    rest = met.where(9 * (F.col("k") + follow) >= 4 * (F.col("na") + F.col("nb"))).select("a", "b")
+    pairs = cut(_grid(own).unionAll(rest))
     asked = spark.sparkContext.broadcast(filter_of(pairs.select(F.explode(F.array("a", "b")).alias("hash")).distinct(), DOC_BITS))
 
     def whole(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -272,7 +318,7 @@ def similar_links(texts: DataFrame) -> DataFrame:
 
 def first_of_similar(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """The input's rows without near-duplicates: texts whose sets of five-word shingles (lower-cased, white space apart) have a Jaccard similarity
-    of 0.8 or more are linked, directly or through others, and of each class the row with the smallest id stays (null ids last).
+    of 0.8 or more are linked, directly or through others, and of each class the row with the smallest id stays (null ids last). See ``similar_links``.
 
     Null and empty texts are equal. Of rows that repeat the id that stays, the one whose text has the smallest hash does. All columns are returned as they were.
     """
@@ -281,11 +327,11 @@ def first_of_similar(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            s = np.concatenate([np.zeros(0, np.int64), *(x.s for x in _sets(batch))])
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("h"), pa.array(s)], ["doc_id", "h", "s"])
+            rows = np.concatenate([np.zeros((2 + len(_F), 0), np.int64), *(np.vstack([x.s, x.n, x.prints()]) for x in _sets(batch))], axis=1)
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("h"), *map(pa.array, rows)], ["doc_id", "h", "s", "n", *_F])
 
-    members = cut(narrow.mapInArrow(lean(run), f"doc_id {docs.schema[id_col].dataType.simpleString()}, h long, s long"))
+    members = cut(narrow.mapInArrow(lean(run), f"doc_id {docs.schema[id_col].dataType.simpleString()}, h long, s long, n long, {_KINDS}"))
     nodes = cut(members.groupBy("s").agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "h")).alias("least")))
-    roots = star_components(similar_links(narrow.select("text")), "a", "b")
+    roots = star_components(similar_links(narrow.select("text"), members.select("s", "n", *_F).distinct()), "a", "b")
     rooted = nodes.join(roots, nodes["s"] == roots["node"], "left").select(F.coalesce("root", "s").alias("root"), "least")
     return _kept(docs, members, rooted.groupBy("root").agg(F.min("least").alias("f")), id_col, text_col)

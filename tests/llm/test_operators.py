@@ -393,6 +393,43 @@ def test_first_of_similar_is_exact(spark):
     assert near_dedup.first_of_similar(frame(spark, [])).count() == 0
 
 
+def test_similar_links_go_through_simhash(spark, monkeypatch):
+    """All links are found; those of few bits come from the grid alone, and none without being within the radius of all bits."""
+    rng = random.Random(9)
+    texts = []
+    for _ in range(10):
+        w = [f"v{rng.randint(0, 5000)}" for _ in range(rng.randint(60, 400))]
+        texts.append(" ".join(w))
+        for edits in (1, 1, 2, 4, 8):
+            x = list(w)
+            for at in rng.sample(range(len(x)), edits):
+                x[at] = "edited"
+            texts.append(" ".join(x))
+    sets = [near_dedup.ShingleSets(near_dedup.Texts([t.encode()])) for t in texts]
+    prints = [[int(p) % 2**64 for p in x.prints()[:, 0]] for x in sets]
+    for x, got in zip(sets, prints, strict=True):
+        for word, multiplier in zip(got, near_dedup.PRINT_WORDS, strict=True):
+            h = [int(v) for v in near_dedup.mixed(x.token * np.uint64(multiplier))]
+            assert word == sum(1 << b for b in range(64) if 2 * sum(v >> b & 1 for v in h) > len(h))
+    want = {}
+    for i, t in enumerate(texts):
+        for j, u in enumerate(texts[:i]):
+            a, b = ({tuple(x[k : k + 5]) for k in range(len(x) - 4)} for x in (t.split(), u.split()))
+            if a != b and 5 * len(a & b) >= 4 * len(a | b):
+                want[tuple(sorted((int(sets[i].s[0]), int(sets[j].s[0]))))] = (prints[i][0] ^ prints[j][0]).bit_count()
+    few = {p for p, bits in want.items() if 1 <= bits <= near_dedup.RADIUS}
+    assert few and len(few) < len(want)
+    kinds = "s long, n long, f0 long, f1 long, f2 long, f3 long"
+    own = spark.createDataFrame([(int(x.s[0]), int(x.n[0]), *x.prints()[:, 0].tolist()) for x in sets], kinds).distinct()
+    found = lambda: sorted(tuple(r) for r in near_dedup.similar_links(spark.createDataFrame([(t,) for t in texts], "text string"), own).collect())
+    assert found() == sorted(want)
+    with monkeypatch.context() as m:
+        m.setattr(near_dedup, "links", lambda fps: spark.createDataFrame([], "a long, b long"))
+        assert found() == sorted(set(want) - few)
+    monkeypatch.setattr(near_dedup, "SIMILAR_RADIUS", 0)
+    assert found() == []
+
+
 def test_links_are_all_links(spark):
     rng = random.Random(3)
     start = [rng.getrandbits(64) for _ in range(30)]
