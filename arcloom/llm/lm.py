@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
+import contextlib
 import uuid
 from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from arcloom.llm.common import lean, raw, small_batches
@@ -102,9 +103,19 @@ def blocks_of(docs: DataFrame, id_col: str, text_col: str, held: Column) -> Data
     return narrow.mapInArrow(lean(run), "block long, payload binary")
 
 
-def opened(payload: bytes) -> Iterator[pa.RecordBatch]:
-    """A block's rows ``id, text, held``."""
-    yield from pa.ipc.open_stream(payload)
+@contextlib.contextmanager
+def one_by_one(spark: SparkSession) -> Iterator[None]:
+    """Within it, what is planned gives Python workers one row, a whole block, in a batch: neither side holds more of them at a time."""
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "1")
+    try:
+        yield
+    finally:
+        small_batches(spark)
+
+
+def opened(payload: pa.Scalar) -> Iterator[pa.RecordBatch]:
+    """A block's rows ``id, text, held``, read from the payload without a copy of it."""
+    yield from pa.ipc.open_stream(payload.as_buffer())
 
 
 def _texts(batch: pa.RecordBatch, which: np.ndarray | None = None) -> Iterator[tuple[int, Tokens]]:
@@ -120,7 +131,7 @@ def vocabulary(blocks: DataFrame, s: Settings) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for block, payload in zip(batch.column("block").to_pylist(), batch.column("payload").to_pylist(), strict=True):
+            for block, payload in zip(batch.column("block").to_pylist(), batch.column("payload"), strict=True):
                 parts = []
                 for rows in opened(payload):
                     held = rows.column("held").to_numpy(zero_copy_only=False)
@@ -242,7 +253,7 @@ def _step(table: np.ndarray, rows: list[np.ndarray], labels: np.ndarray, seen: n
 
 def train_round(blocks: DataFrame, model: Model, turn: int) -> tuple[np.ndarray, np.ndarray]:
     """One round: every task takes gradient steps over its documents of this turn, from the shared weights; the
-    weights' changes are averaged by the number of tokens, by way of a tree."""
+    weights' changes are averaged by the number of tokens."""
     s = model.settings
     shared = blocks.sparkSession.sparkContext.broadcast(model)
 
@@ -251,7 +262,7 @@ def train_round(blocks: DataFrame, model: Model, turn: int) -> tuple[np.ndarray,
         now = [m.classes.copy(), m.members.copy()]
         seen, taken = [np.ones(len(x), np.float32) for x in now], 0
         for batch in batches:
-            for payload in batch.column("payload").to_pylist():
+            for payload in batch.column("payload"):
                 for rows in opened(payload):
                     mine = ~rows.column("held").to_numpy(zero_copy_only=False) & (np.arange(rows.num_rows) % s.rounds == turn)
                     for _, t in _texts(rows, mine):
@@ -264,17 +275,36 @@ def train_round(blocks: DataFrame, model: Model, turn: int) -> tuple[np.ndarray,
                         taken += len(cells)
         if taken:
             changes = np.concatenate([(now[0] - m.classes).ravel(), (now[1] - m.members).ravel()])
+            changes *= np.float32(taken)
             yield pa.RecordBatch.from_arrays([pa.array([taken], pa.int64()), pa.array([changes.tobytes()], pa.binary())], ["n", "change"])
 
-    few = blocks.coalesce(2 * blocks.sparkSession.sparkContext.defaultParallelism)
-    changes = few.mapInArrow(lean(run), "n long, change binary").rdd.map(lambda r: (r[0], np.frombuffer(r[1], np.float32) * np.float32(r[0])))
-    n, total = changes.treeAggregate((0, np.zeros(model.classes.size + model.members.size, np.float32)), _add, _add)
-    total = total / max(1, n)
+    tasks = 2 * blocks.sparkSession.sparkContext.defaultParallelism
+    with one_by_one(blocks.sparkSession):
+        total = averaged(blocks.coalesce(tasks).mapInArrow(lean(run), "n long, change binary"), tasks, model.classes.size + model.members.size)
     return total[: model.classes.size].reshape(model.classes.shape), total[model.classes.size :].reshape(model.members.shape)
 
 
-def _add(a: tuple[int, np.ndarray], b: tuple[int, np.ndarray]) -> tuple[int, np.ndarray]:
-    return a[0] + b[0], a[1] + b[1]
+def averaged(changes: DataFrame, tasks: int, size: int) -> np.ndarray:
+    """The sum of ``change``, arrays of ``size`` numbers, over the sum of ``n``: eight at a time on the executors, the last few on the driver.
+    All of it goes through the Python workers that the gradients have; an RDD's functions would start others beside them."""
+
+    def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        n, total = 0, np.zeros(size, np.float32)
+        for batch in batches:
+            for k, x in zip(batch.column("n").to_pylist(), batch.column("change"), strict=True):
+                n += k
+                total += np.frombuffer(x.as_buffer(), np.float32)
+        if n:
+            yield pa.RecordBatch.from_arrays([pa.array([n], pa.int64()), pa.array([total.tobytes()], pa.binary())], ["n", "change"])
+
+    while tasks > 8:
+        tasks = -(-tasks // 8)
+        changes = changes.repartition(tasks).mapInArrow(lean(add), "n long, change binary")
+    n, total = 0, np.zeros(size, np.float32)
+    for r in changes.collect():
+        n += r["n"]
+        total += np.frombuffer(r["change"], np.float32)
+    return total / np.float32(max(1, n))
 
 
 def statistics(words: DataFrame, s: Settings) -> Model:
@@ -314,7 +344,8 @@ def score(docs: DataFrame, held: Column, id_col: str = "doc_id", text_col: str =
     """
     small_batches(docs.sparkSession)
     blocks = cut(blocks_of(docs, id_col, text_col, held))
-    pairs = cut(vocabulary(blocks, settings))
+    with one_by_one(docs.sparkSession):
+        pairs = cut(vocabulary(blocks, settings))
     words = cut(pairs.where("n > 0").groupBy("hash").agg(F.min("k").alias("k"), F.sum("n").alias("c")))
     model = statistics(words, settings)
     if model.tokens:
@@ -335,7 +366,7 @@ def score(docs: DataFrame, held: Column, id_col: str = "doc_id", text_col: str =
         index = Places(1 << max(10, int(4 * len(h)).bit_length()))
         index.insert(h, np.arange(1, len(h) + 1, dtype=np.int32))
         ids, out, held_out = [], [], []
-        for rows in opened(block.column("payload")[0].as_py()):
+        for rows in opened(block.column("payload")[0]):
             ids.append(rows.column("id"))
             held_out.append(rows.column("held"))
             for _, t in _texts(rows):

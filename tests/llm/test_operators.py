@@ -11,7 +11,7 @@ import xxhash
 from pyspark.sql import functions as F
 
 from arcloom.llm import decontaminate, lm, line_dedup, near_dedup, packing, secrets, topk
-from arcloom.llm.common import held_out
+from arcloom.llm.common import held_out, small_batches
 
 DOCS = "doc_id bigint, text string, lang string, source string, n_chars bigint"
 
@@ -204,6 +204,42 @@ def test_lm_probabilities_of_a_whole_vocabulary_sum_to_one(spark):
     assert all(np.isfinite(r.score) and r.score < 0 for r in rows.values())
 
 
+def test_lm_holds_one_block_at_a_time_in_one_kind_of_worker(spark, monkeypatch):
+    """Several blocks in a file come to a worker one by one, and no function of an RDD starts workers beside those of DataFrames."""
+
+    def lean(run):
+        def checked(batches):
+            for batch in batches:
+                assert "payload" not in batch.schema.names or batch.num_rows == 1
+                yield batch
+
+        return lambda batches: run(checked(batches))
+
+    def rdd(df):
+        raise AssertionError("an RDD's functions start Python workers of their own")
+
+    small_batches(spark)
+    texts = [(i, f"a{i % 7} b{i % 5} c") for i in range(1000)]
+    df = frame(spark, texts).coalesce(1)
+    monkeypatch.setattr(lm, "BLOCK_BYTES", 1)
+    assert lm.cut(lm.blocks_of(df, "doc_id", "text", F.lit(False))).count() == 4
+    monkeypatch.setattr(lm, "lean", lean)
+    monkeypatch.setattr(type(df), "rdd", property(rdd))
+    rows = lm.score(df, held_out(7, 2), settings=lm.Settings(top=8, spelled=8, buckets=64)).collect()
+    assert sorted((r.doc_id, r.n_tokens, r.n_known) for r in rows) == [(i, 4, 4) for i, _ in texts]
+    assert sum(r.score for r in rows) > sum(r.base_score for r in rows)
+
+
+def test_lm_changes_are_averaged_by_their_tokens(spark):
+    rng = np.random.default_rng(4)
+    n, x = rng.integers(1, 1000, 70), rng.normal(0, 1, (70, 50)).astype(np.float32)
+    weighted = [(int(k), (np.float32(k) * v).tobytes()) for k, v in zip(n, x)]
+    for some in (weighted, weighted[:1]):
+        df = spark.createDataFrame([(k, bytearray(v)) for k, v in some], "n long, change binary").repartition(70)
+        assert np.allclose(lm.averaged(df, 70, 50), np.average(x[: len(some)], axis=0, weights=n[: len(some)]), atol=1e-5)
+    assert not lm.averaged(df.where("n < 0"), 70, 50).any()
+
+
 # top-k
 
 
