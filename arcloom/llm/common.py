@@ -10,6 +10,7 @@ from typing import Any
 
 import numpy as np
 import pyarrow as pa
+from py4j.protocol import Py4JJavaError
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_schema
@@ -73,6 +74,19 @@ def _end() -> None:
         ctypes.CDLL(None).malloc_trim(0)
 
 
+def give_back(spark: SparkSession) -> None:
+    """The driver, its JVM and its Python, gives back the memory that it no longer uses. Else its heap keeps what plans left behind, and what native code has
+    freed (compilers, collectors, network buffers) stays in the C library's arenas, of which a JVM of hundreds of threads has many."""
+    _end()
+    jvm, new_array = spark._jvm, spark.sparkContext._gateway.new_array
+    jvm.java.lang.System.gc()
+    call = next(m for m in jvm.java.lang.Class.forName("javax.management.MBeanServer").getMethods() if m.getName() == "invoke")  # the server's own class is closed to reflection
+    what = new_array(jvm.java.lang.Object, 4)
+    what[0], what[1] = jvm.javax.management.ObjectName("com.sun.management:type=DiagnosticCommand"), "systemTrimNativeHeap"
+    with contextlib.suppress(Py4JJavaError):  # only a JVM on Linux with glibc, from 17.0.9 on, has it
+        call.invoke(jvm.java.lang.management.ManagementFactory.getPlatformMBeanServer(), what)
+
+
 def lean(run: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], keeps: str = "") -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
     """``run``, after which the Python worker, which Spark keeps for later tasks, gives back the memory that it no longer uses."""
 

@@ -12,7 +12,7 @@ from pyspark import Broadcast
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from arcloom.llm.common import lean, raw, small_batches, summed
+from arcloom.llm.common import give_back, lean, raw, small_batches, summed
 from arcloom.llm.filters import DOC_BITS, changed, filter_of
 from arcloom.llm.spans import Texts, grouped, mixed
 from arcloom.operators.components import star_components
@@ -288,7 +288,9 @@ def similar_links(texts: DataFrame, own: DataFrame) -> DataFrame:
     kinds = "s long, token long"
     twice = texts.mapInArrow(first(None), kinds).groupBy(F.col("token").alias("hash")).agg(F.min("s").alias("a"), F.max("s").alias("b")).where("a <> b")
     shared = spark.sparkContext.broadcast(filter_of(twice.select("hash"), TOKEN_BITS))
+    give_back(spark)
     prefixes = cut(texts.mapInArrow(first(shared), f"{kinds}, n int, rank int, last long, {_KINDS}").distinct())
+    give_back(spark)
     a, b = (prefixes.select(F.col("s").alias(x), "token", *(F.col(c).alias(f"{c}{x}") for c in ("n", "rank", "last", *_F))) for x in "ab")
     in_grid = F.bit_count(F.col("f0a").bitwiseXOR(F.col("f0b"))).between(1, RADIUS)
     fits = (F.col("a") < F.col("b")) & _sizes_fit() & ~in_grid & _within(SIMILAR_RADIUS)
@@ -297,6 +299,7 @@ def similar_links(texts: DataFrame, own: DataFrame) -> DataFrame:
     follow = F.least(behind, F.expr("na - 1 - i"), F.expr("nb - 1 - j"))
     rest = met.where(9 * (F.col("k") + follow) >= 4 * (F.col("na") + F.col("nb"))).select("a", "b")
     pairs = cut(_grid(own).unionAll(rest))
+    give_back(spark)
     asked = spark.sparkContext.broadcast(filter_of(pairs.select(F.explode(F.array("a", "b")).alias("hash")).distinct(), DOC_BITS))
 
     def whole(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -313,6 +316,7 @@ def similar_links(texts: DataFrame, own: DataFrame) -> DataFrame:
     links = cut(both.where(5 * shared_tokens >= 4 * (F.size("x") + F.size("y") - shared_tokens)).select("a", "b"))
     for x in (counts, shared, asked):
         x.destroy()
+    give_back(spark)
     return links
 
 
@@ -331,7 +335,9 @@ def first_of_similar(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("h"), *map(pa.array, rows)], ["doc_id", "h", "s", "n", *_F])
 
     members = cut(narrow.mapInArrow(lean(run), f"doc_id {docs.schema[id_col].dataType.simpleString()}, h long, s long, n long, {_KINDS}"))
+    give_back(docs.sparkSession)
     nodes = cut(members.groupBy("s").agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "h")).alias("least")))
     roots = star_components(similar_links(narrow.select("text"), members.select("s", "n", *_F).distinct()), "a", "b")
+    give_back(docs.sparkSession)
     rooted = nodes.join(roots, nodes["s"] == roots["node"], "left").select(F.coalesce("root", "s").alias("root"), "least")
     return _kept(docs, members, rooted.groupBy("root").agg(F.min("least").alias("f")), id_col, text_col)

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from arcloom.llm import decontaminate, language, line_dedup, near_dedup, packing
-from arcloom.llm.common import held_out, table
+from arcloom.llm.common import give_back, held_out, table
 from arcloom.scratch import cut
 
 #: SQL can't express the learned language model or the shift-resistant chunks; the tests hold run() against brute force.
@@ -15,28 +15,33 @@ ORACLE_SQL = None
 
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents whose language the model accepts; texts without letters and those under its threshold go."""
+    give_back(spark)
     model = language.train(docs, ~held_out(3, 1))
     return language.identify(docs, model, keep=tuple(docs.columns)).where("accepted").select(*docs.columns)
 
 
 def dedup_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Later occurrences of repeated multi-line chunks go, and documents of which nothing but white space is left."""
+    give_back(spark)
     done = line_dedup.dedup_lines(docs).where((F.col("n_removed") == 0) | F.col("text").rlike(r"\S"))
     return done.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType)).select(*docs.columns)
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The document of the smallest id of each class of texts of five-word similarity 0.8 or more stays."""
+    give_back(spark)
     return near_dedup.first_of_similar(docs).select(*docs.columns)
 
 
 def benchmark_free(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that hold a benchmark item go."""
+    give_back(spark)
     return decontaminate.clean(docs, table(spark, sf_dir, "benchmark")).select(*docs.columns)
 
 
 def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The place of every remaining document's pieces in the token sequences. Workers that have done the other stages keep fewer words."""
+    give_back(spark)
     return packing.pack(docs, words_kept=1 << 17)
 
 

@@ -1,13 +1,17 @@
 """The stages in turn, against plain versions of what each lets through."""
 
+import gc
+import re
+import time
 from collections import Counter
+from pathlib import Path
 
 import corpus_pipeline
 import plain
 import pytest
 from pyspark.sql import functions as F
 
-from arcloom.llm import decontaminate, near_dedup
+from arcloom.llm import decontaminate, language, line_dedup, near_dedup, packing
 from arcloom.llm.common import table
 
 SMALL = "/root/testdata/sf0.001"
@@ -88,3 +92,32 @@ def test_packing(stages):
     for r in packed:
         used[r.sequence_id] += r.length
     assert max(used.values()) <= 2048
+
+
+class Begun(Exception):
+    """Raised where a stage's operator begins."""
+
+
+@pytest.mark.parametrize("name, module, operator", [
+    ("language_id", language, "train"), ("line_dedup", line_dedup, "dedup_lines"), ("near_dedup", near_dedup, "first_of_similar"), ("decontamination", decontaminate, "clean"), ("packing", packing, "pack"),
+])
+def test_driver_gives_back(spark, monkeypatch, name, module, operator):
+    """What the driver's JVM has freed of native memory, among small blocks that stay, goes back to the system before a stage's operator begins."""
+    jvm = spark._jvm
+    status = Path(f"/proc/{jvm.java.lang.ProcessHandle.current().pid()}/status")
+    mb = lambda: int(re.search(r"RssAnon:\s+(\d+)", status.read_text())[1]) >> 10
+    buffers = [jvm.java.nio.ByteBuffer.allocateDirect(1 << 16) for _ in range(4000)]
+    buffers = buffers[::50]
+    gc.collect()
+    time.sleep(1)
+    jvm.java.lang.System.gc()  # so that only the memory of the buffers themselves is looked at
+    time.sleep(2)
+    before = mb()
+
+    def begun(*_, **__):
+        raise Begun
+
+    monkeypatch.setattr(module, operator, begun)
+    with pytest.raises(Begun):
+        dict(corpus_pipeline.STAGES)[name](spark, table(spark, SMALL, "documents"), SMALL)
+    assert before - mb() > 64 and len(buffers) == 80
