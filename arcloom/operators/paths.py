@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from arcloom.model import OUT, Graph
 from arcloom.operators.components import star_components
+from arcloom.operators.sized import with_ends
 from arcloom.operators.traversal import steps
 from arcloom.scratch import cut, written
 
@@ -47,7 +48,7 @@ def cheapest(graph: Graph, src: int, weight: str, default: float = 1.0, label: s
     links = edges.select(F.col("src").alias("near"), F.col("dst").alias("far"), F.col("id").alias("edge"), cost.alias("w"))
     if not links.where("w < 0").limit(1).isEmpty():
         raise ValueError("weights must not be negative")
-    links = cut(links.join(graph.nodes(columns=()).select(F.col("id").alias("far")), "far", "left_semi"))
+    links = with_ends(cut(links), graph.nodes(columns=()))
     empty = F.array().cast("array<bigint>")
     start = graph.nodes(columns=()).where(F.col("id") == src)
     best = cut(start.select("id", F.struct(F.lit(0.0).alias("cost"), F.lit(0).alias("hops"), empty.alias("edges"), F.array("id").alias("nodes")).alias("p")))

@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from arcloom.model import BOTH, IN, OUT, Graph
+from arcloom.operators.sized import among, follow, with_ends
 from arcloom.scratch import cut
 
 
@@ -23,18 +24,19 @@ def reach(edges: DataFrame, starts: DataFrame, most: int, direction: str = OUT)
     """``start, id, depth`` of every node within ``most`` hops (negative: any number) of every start, at its shortest depth.
 
     A level is one join of the frontier with the edges, a ``distinct`` and an anti-join with what was seen; it is written
-    to the shared folder, as are the different links once if there may be several levels. The driver only asks whether the frontier is empty.
+    to the shared folder, as are the links once if there may be several levels. The driver only counts the frontier.
     """
-    links = steps(edges, direction).select("near", "far").distinct()
-    if most < 0 or most > 1:
-        links = cut(links)
+    links = steps(edges, direction).select("near", "far")
+    return _levels(links if 0 <= most <= 1 else cut(links), starts, most)
+
+
+def _levels(links: DataFrame, starts: DataFrame, most: int) -> DataFrame:
     seen = cut(starts.select("start", F.col("start").alias("id"), F.lit(0).alias("depth")).distinct())
-    frontier, levels, depth = seen, [seen], 0
-    while (most < 0 or depth < most) and not frontier.isEmpty():
+    frontier, depth = seen, 0
+    while (most < 0 or depth < most) and (rows := frontier.count()):
         depth += 1
-        met = frontier.join(links, F.col("id") == F.col("near")).select("start", F.col("far").alias("id")).distinct()
+        met = follow(frontier, links, rows).select("start", F.col("far").alias("id")).distinct()
         frontier = cut(met.join(seen.select("start", "id"), ["start", "id"], "left_anti").withColumn("depth", F.lit(depth)))
-        levels.append(frontier)
         seen = seen.unionAll(frontier)
     return seen
 
@@ -56,16 +58,14 @@ def bfs(graph: Graph, start: int | list[int], max_depth: int = -1, direction: st
         edges = edges.where(F.col("label").isin(labels))
     if edge_filter is not None:
         edges = edges.where(edge_filter)
-    links = steps(edges, direction).join(known.select(F.col("id").alias("far")), "far", "left_semi")
-    if max_depth < 0 or max_depth > 1:
-        links = cut(links)
+    links = with_ends(cut(steps(edges, direction)), known)
     hop = F.struct("side", "edge")
     none = F.array().cast("array<struct<side:int,edge:bigint>>")
     seen = cut(begin.select(F.col("id").alias("start"), "id", F.lit(0).alias("depth"), none.alias("keys")))
     frontier, depth = seen, 0
-    while (max_depth < 0 or depth < max_depth) and not frontier.isEmpty():
+    while (max_depth < 0 or depth < max_depth) and (rows := frontier.count()):
         depth += 1
-        met = frontier.join(links, F.col("id") == F.col("near")).select("start", F.col("far").alias("id"), F.concat("keys", F.array(hop)).alias("keys"))
+        met = follow(frontier, links, rows).select("start", F.col("far").alias("id"), F.concat("keys", F.array(hop)).alias("keys"))
         best = met.groupBy("start", "id").agg(F.min("keys").alias("keys"))
         frontier = cut(best.join(seen.select("start", "id"), ["start", "id"], "left_anti").select("start", "id", F.lit(depth).alias("depth"), "keys"))
         seen = seen.unionAll(frontier)
@@ -106,9 +106,9 @@ def dfs(graph: Graph, start: int, max_depth: int = -1, direction: str = OUT, edg
         edges = edges.where(F.col("label").isin(labels))
     if edge_filter is not None:
         edges = edges.where(edge_filter)
-    edges = edges.select("id", "src", "dst")
-    near = reach(edges, begin.select(F.col("id").alias("start")), max_depth, direction).select("id").distinct()
-    links = steps(edges, direction).join(known.select(F.col("id").alias("far")), "far", "left_semi").join(near.select(F.col("id").alias("near")), "near", "left_semi")
+    links = cut(steps(edges, direction))
+    near = cut(_levels(links, begin.select(F.col("id").alias("start")), max_depth).select("id").distinct())
+    links = with_ends(cut(among(links, "near", near)), known)
     rows = links.select("near", "side", "edge", "far").limit(most_edges + 1).collect()
     if len(rows) > most_edges:
         raise RuntimeError(f"over {most_edges} edges are within reach; use bfs")

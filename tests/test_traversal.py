@@ -226,3 +226,24 @@ def test_opaque_predicate(spark):
     run, sql = operations.FOUND["opaque_predicate"]
     out = run(spark, d)
     assert out.columns == ["id"] and sorted(map(tuple, out.collect())) == sorted(map(tuple, spark.sql(sql).collect())) != []
+
+
+def nodes_of(spark, path, n):
+    spark.range(n).write.parquet(path)
+    return spark.read.parquet(path)
+
+
+def test_tasks_follow_the_size(spark, tmp_path, monkeypatch):
+    """Ids compress well; nevertheless they are dealt to as many tasks as the tables' size asks for, and the walks stay right."""
+    from arcloom.operators import sized
+
+    known = nodes_of(spark, str(tmp_path / "ids"), 300_000)
+    monkeypatch.setattr(sized, "PART", 100_000)
+    n = sized.parts(known, known)
+    gone = sized.absent(known.select((F.col("id") + 150_000).alias("id")), known)
+    assert n > 20 and len(gone.inputFiles()) == n and sorted(r.id for r in gone.collect()) == list(range(300_000, 450_000))
+    chain = Graph(spark, {"N": known}, {"e": spark.createDataFrame([(1, 5, 6), (2, 6, 7), (3, 5, 400_000), (4, 400_000, 8), (5, 7, None)], "id bigint, src bigint, dst bigint")})
+    for few in (0, 10):
+        monkeypatch.setattr(sized, "FEW", few)
+        assert [(r.id, r.path) for r in dfs(chain, 5).collect()] == [(r.id, r.path) for r in bfs(chain, 5).collect()] == [(5, []), (6, [1]), (7, [1, 2])]
+        assert sorted(r.id for r in paths.cheapest(chain, 5, "weight").collect()) == [5, 6, 7]
