@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from arcloom.model import Graph
+from arcloom.operators.sized import dealt
 
 #: An id is kind * KIND + key + 1 with a key below KIND, so ids of different tables never meet and all are positive 64-bit numbers.
 KIND = 1 << 58
@@ -86,7 +87,7 @@ def tables_graph(spark: SparkSession, sf_dir: str) -> Graph:
         return after.select(edge_id("NEXT", "o_orderkey").alias("id"), node_id("SalesOrder", "o_orderkey").alias("src"), node_id("SalesOrder", "next").alias("dst"), F.datediff("next_day", "day").alias("gap_days"))
 
     def supplies() -> DataFrame:
-        pairs = table("lineitem").select("l_suppkey", F.col("l_partkey").cast("bigint").alias("l_partkey")).distinct()
+        pairs = dealt(table("lineitem").select("l_suppkey", F.col("l_partkey").cast("bigint").alias("l_partkey")), "l_suppkey", "l_partkey").distinct()
         return pairs.select(edge_id("SUPPLIES", pair_key("l_suppkey", F.col("l_partkey"), PARTS)).alias("id"), node_id("Supplier", "l_suppkey").alias("src"), node_id("Part", "l_partkey").alias("dst"))
 
     nodes = {

@@ -247,3 +247,17 @@ def test_tasks_follow_the_size(spark, tmp_path, monkeypatch):
         monkeypatch.setattr(sized, "FEW", few)
         assert [(r.id, r.path) for r in dfs(chain, 5).collect()] == [(r.id, r.path) for r in bfs(chain, 5).collect()] == [(5, []), (6, [1]), (7, [1, 2])]
         assert sorted(r.id for r in paths.cheapest(chain, 5, "weight").collect()) == [5, 6, 7]
+
+
+def test_reach_over_repeated_links(spark, monkeypatch):
+    """Links are followed as they are, repeated ones too, whether the frontier is sent to them or both are dealt."""
+    from arcloom.operators import sized
+    from arcloom.operators.traversal import reach
+    from arcloom.sources.tables import tables_graph
+
+    edges = spark.createDataFrame([(i, a, b) for i, (a, b) in enumerate([(1, 2), (1, 2), (2, 3), (2, 3), (3, 1), (3, 4)])], "id bigint, src bigint, dst bigint")
+    for few in (0, 10):
+        monkeypatch.setattr(sized, "FEW", few)
+        assert sorted(tuple(r) for r in reach(edges, spark.createDataFrame([(1,), (3,)], "start bigint"), 2).collect()) == [(1, 1, 0), (1, 2, 1), (1, 3, 2), (3, 1, 1), (3, 2, 2), (3, 3, 0), (3, 4, 1)]
+    pairs = tables_graph(spark, "/root/testdata/sf0.001").edges("SUPPLIES", ())
+    assert "REPARTITION_BY_NUM" in pairs._jdf.queryExecution().executedPlan().toString()
