@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from arcloom.model import BOTH, IN, OUT, Graph
+from arcloom.operators.sized import dealt, parts
 
 
 def incident(graph: Graph, node: int | DataFrame, direction: str = OUT, label: str | None = None) -> DataFrame:
@@ -38,8 +39,10 @@ def has_edge(graph: Graph, src: int, dst: int, label: str | None = None) -> bool
 
 
 def having_edge(graph: Graph, pairs: DataFrame, label: str | None = None) -> DataFrame:
-    """The rows of ``pairs`` (with ``src, dst``) that an edge joins: a semi-join, exact, which Spark may help with a Bloom filter."""
-    return pairs.join(graph.edges(label, ()).select("src", "dst"), ["src", "dst"], "left_semi")
+    """The rows of ``pairs`` (with ``src, dst``) that an edge joins: a semi-join, exact, in as many tasks as its tables' size asks for."""
+    edges = graph.edges(label, ()).select("src", "dst")
+    n = parts(pairs, edges)
+    return dealt(pairs, "src", "dst", n=n).join(dealt(edges, "src", "dst", n=n), ["src", "dst"], "left_semi")
 
 
 def degree(graph: Graph, direction: str = OUT, label: str | None = None) -> DataFrame:

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from arcloom.model import BOTH, IN, OUT, Graph
 from arcloom.operators import adjacency, constraints, pages, paths, traversal
+from arcloom.operators.sized import dealt
 from arcloom.sources.tables import KIND, tables_graph
 
 FOUND: dict[str, tuple[Callable[[SparkSession, str], DataFrame], str | None]] = {}
@@ -183,7 +184,7 @@ def degree_both(g: Graph) -> DataFrame:
 def _asked(g: Graph) -> DataFrame:
     """Each supplier with each part that it supplies and with the part after it, which it mostly doesn't."""
     pairs = g.edges("SUPPLIES", ()).select("src", "dst")
-    return pairs.unionAll(pairs.select("src", F.col("dst") + 1)).distinct()
+    return dealt(pairs.unionAll(pairs.select("src", F.col("dst") + 1)), "src", "dst").distinct()
 
 
 def has_edge_all(g: Graph) -> DataFrame:

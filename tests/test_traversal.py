@@ -261,3 +261,14 @@ def test_reach_over_repeated_links(spark, monkeypatch):
         assert sorted(tuple(r) for r in reach(edges, spark.createDataFrame([(1,), (3,)], "start bigint"), 2).collect()) == [(1, 1, 0), (1, 2, 1), (1, 3, 2), (3, 1, 1), (3, 2, 2), (3, 3, 0), (3, 4, 1)]
     pairs = tables_graph(spark, "/root/testdata/sf0.001").edges("SUPPLIES", ())
     assert "REPARTITION_BY_NUM" in pairs._jdf.queryExecution().executedPlan().toString()
+
+
+def test_has_edge_in_as_many_tasks_as_the_size_asks_for(spark, monkeypatch):
+    from arcloom import queries
+    from arcloom.operators import sized
+
+    monkeypatch.setattr(sized, "PART", 2_000)
+    d = "/root/testdata/sf0.001"
+    rows = spark.read.parquet(f"{d}/lineitem.parquet").select("l_suppkey", "l_partkey").distinct().count()
+    found = queries.queries()["has_edge_all"](spark, d)
+    assert found.rdd.getNumPartitions() > 10 and found.count() == found.distinct().count() == rows
