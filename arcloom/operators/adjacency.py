@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from arcloom.model import BOTH, IN, OUT, Graph
-from arcloom.operators.sized import dealt, parts
+from arcloom.operators.sized import absent, among, dealt, parts
 
 
 def incident(graph: Graph, node: int | DataFrame, direction: str = OUT, label: str | None = None) -> DataFrame:
@@ -74,16 +74,21 @@ def display_label(columns: list[str]) -> Column:
 
 
 def dangling_edges(graph: Graph) -> DataFrame:
-    """Edges of which an end doesn't exist."""
-    known = graph.nodes(columns=()).select(F.col("id").alias("known"))
+    """Edges of which an end doesn't exist. The missing ends are found first; mostly there is none, and then no edge is looked at again."""
     edges = graph.edges(columns=())
-    return edges.join(known, edges["src"] == known["known"], "left_anti").unionByName(edges.join(known, edges["dst"] == known["known"], "left_anti")).distinct()
+    ends = edges.select(F.col("src").alias("id")).unionAll(edges.select(F.col("dst").alias("id")))
+    missing = absent(ends, graph.nodes(columns=()))
+    if missing.isEmpty():
+        return graph.spark.createDataFrame([], edges.schema)
+    open_ends = edges.where("src IS NULL OR dst IS NULL")
+    by_end = [among(edges, end, missing).select(edges.columns) for end in ("src", "dst")]
+    return reduce(DataFrame.unionAll, by_end, open_ends).distinct()
 
 
 def verify(graph: Graph) -> DataFrame:
     """``check_name, violations``: ids that repeat, and edges with missing ends."""
-    nodes, edges = graph.nodes(columns=()), graph.edges(columns=())
-    repeats = lambda df: df.groupBy("id").count().where("count > 1").agg(F.count("*").alias("violations"))
+    nodes, edges = graph.nodes(columns=()).select("id"), graph.edges(columns=()).select("id")
+    repeats = lambda df: dealt(df, "id").groupBy("id").count().where("count > 1").agg(F.count("*").alias("violations"))
     rows = [("repeated node ids", repeats(nodes)), ("repeated edge ids", repeats(edges)), ("dangling edges", dangling_edges(graph).agg(F.count("*").alias("violations")))]
     return reduce(DataFrame.unionAll, [df.select(F.lit(name).alias("check_name"), "violations") for name, df in rows])
 

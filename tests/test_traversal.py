@@ -272,3 +272,19 @@ def test_has_edge_in_as_many_tasks_as_the_size_asks_for(spark, monkeypatch):
     rows = spark.read.parquet(f"{d}/lineitem.parquet").select("l_suppkey", "l_partkey").distinct().count()
     found = queries.queries()["has_edge_all"](spark, d)
     assert found.rdd.getNumPartitions() > 10 and found.count() == found.distinct().count() == rows
+
+
+def test_verify_looks_for_missing_ends_first(spark, monkeypatch):
+    """Edges with a null or a missing end count once, repeated ones too; where no end is missing the edges aren't joined with the nodes again."""
+    from arcloom.operators import sized
+
+    nodes = spark.createDataFrame([(1,), (2,), (2,), (3,)], "id bigint")
+    good = [(1, 1, 2), (2, 2, 3), (2, 3, 3)]
+    graph_of = lambda rows: Graph(spark, {"N": nodes}, {"e": spark.createDataFrame(rows, "id bigint, src bigint, dst bigint")})
+    found = adjacency.verify(graph_of(good))
+    assert "LeftAnti" not in found._jdf.queryExecution().executedPlan().toString()
+    assert {r.check_name: r.violations for r in found.collect()} == {"repeated node ids": 1, "repeated edge ids": 1, "dangling edges": 0}
+    for few in (0, 10):
+        monkeypatch.setattr(sized, "FEW", few)
+        bad = graph_of([*good, (4, 1, 9), (4, 1, 9), (5, 8, 9), (6, None, 1), (7, 2, None), (8, None, 9)])
+        assert sorted(r.id for r in adjacency.dangling_edges(bad).collect()) == [4, 5, 6, 7, 8] and adjacency.verify(bad).collect()[2].violations == 5
